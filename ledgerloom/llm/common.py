@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -21,18 +24,34 @@ WORD = r"[^\x20\x09-\x0D]+"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: a zip of it goes to the executors unless PYTHONPATH already leads there."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or "ledgerloom.zip" in sc._python_includes:
+        return
+    at = f"{tempfile.mkdtemp()}/ledgerloom.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted((root / "ledgerloom").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(at)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch, so that very long texts cannot make one batch outgrow a Python worker."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`; only where that is unset (tests), a new local one."""
+    ship(spark)
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
