@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, tokens, warc
+from . import mixing, quality, substring, tokens, warc
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op4_token_output": tokens.op4_token_output,
     "op5_mixing": mixing.op5_mixing,
+    "op9_substring": substring.op9_substring,
     "op10_warc": warc.op10_warc,
 }
 ORACLES = {"op2_quality": quality.ORACLE, "op5_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE}
