@@ -20,7 +20,7 @@ from . import common as C
 
 WINDOW = 8
 MIN_WORDS = 20
-#: Documents, those with the smallest hashes of their ids, on which costs and rejection shares are estimated.
+#: About so many documents, drawn by a hash of their ids, on which costs and rejection shares are estimated.
 SAMPLE = 400
 
 
@@ -91,8 +91,7 @@ def rules() -> list[Rule]:
 
 def order(docs: DataFrame, which: list[Rule]) -> list[tuple[Rule, float, float]]:
     """The rules with their rejection share and seconds, best rejection per cost first. Reads the sample only."""
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = [(r.doc_id, r.text) for r in sample.collect()]
+    rows = [(r.doc_id, r.text) for r in C.sample(docs.select("doc_id", "text"), SAMPLE, "doc_id").collect()]
     if not rows:
         return [(r, 0.0, 0.0) for r in which]
     local = measured(docs.sparkSession.createDataFrame(rows, "doc_id long, text string").coalesce(1)).cache()

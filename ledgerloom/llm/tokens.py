@@ -11,12 +11,13 @@ table gives an empty folder and no rows; columns other than doc_id and text are
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -45,42 +46,66 @@ class Encoder:
     """Encodes with the tokenizers library, each distinct white-space-delimited word once.
 
     Sound only for tokenizers that never join characters across ASCII white space and drop it, which `word_wise` verifies from the
-    tokenizer's own definition; others encode whole texts.
+    tokenizer's own definition; others encode whole texts. Two more steps save repeated work and are as exact: words of ASCII letters are looked up in lower case
+    (the tokenizer lowers them itself), and a run of plain punctuation after a letter or digit is a word of its own (the tokenizer splits there).
     """
 
+    #: Closing punctuation that is split off; without < > = ' and anything that composes with a mark or belongs to a special token's ends.
+    PEEL = r"^(?P<core>.*[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?P<tail>[.,;:!?#*$%&|]+)$"
+
+    LETTERS = re.compile(r"[a-zà-öø-ÿ]+").fullmatch
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
         self.word_wise = self._drops_space(path)
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
         self.forget()
 
     @staticmethod
     def _drops_space(path: str) -> bool:
-        import json
-
         spec = json.load(open(path, encoding="utf-8"))
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         norms = (spec.get("normalizer") or {}).get("normalizers", [])
-        drops = bool(steps) and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and r"[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", "")
-        return drops and all(n["type"] in ("NFC", "Lowercase") or n.get("content") == " " for n in norms) and spec["model"]["type"] == "BPE" and all(not t["content"].count(" ") for t in spec["added_tokens"])
+        drops = bool(steps) and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", "")
+        plain = [n["type"] for n in norms] == ["NFC", "Replace", "Lowercase"] and norms[1].get("content") == " "
+        bpe = spec["model"]["type"] == "BPE" and spec["model"]["end_of_word_suffix"] == "</w>"
+        return bool(drops and plain and bpe and all(t["content"].startswith("<") and " " not in t["content"] for t in spec["added_tokens"]))
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
         self.pool = np.empty(1 << 20, np.int32)
         self.off = np.zeros(REMEMBERED_WORDS + 1, np.int64)
 
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and how many each has. `words` starts with those of letters alone.
+
+        Those are encoded in runs with spaces between them: each is one pre-token, so its last token, and no other, carries the end-of-word suffix.
+        """
+        n = next((i for i, w in enumerate(words) if not self.LETTERS(w)), len(words))
+        flat, size = [], []
+        for i in range(0, n, 1000):
+            ids = np.array(self.tok.encode(" ".join(words[i : min(n, i + 1000)]), add_special_tokens=False).ids, np.int32)
+            flat.append(ids)
+            size.append(np.diff(np.r_[-1, np.flatnonzero(self.ends[ids])]))
+        rest = [e.ids for e in self.tok.encode_batch_fast(words[n:], add_special_tokens=False)]
+        flat += [np.array(x, np.int32) for x in rest]
+        size.append(np.array([len(x) for x in rest], np.int64))
+        return np.concatenate([np.empty(0, np.int32), *flat]), np.concatenate(size)
+
     def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        words = sorted(words, key=lambda w: not self.LETTERS(w))
+        flat, size = self._ids(words)
         n, end = len(self.at), int(self.off[len(self.at)])
-        flat = np.fromiter((i for x in ids for i in x), np.int32)
         while end + len(flat) > len(self.pool):
             self.pool = np.r_[self.pool, np.empty_like(self.pool)]
         if n + len(words) + 1 > len(self.off):
             self.off = np.r_[self.off, np.zeros(max(len(self.off), len(words) + 1), np.int64)]
         self.pool[end : end + len(flat)] = flat
-        self.off[n + 1 : n + 1 + len(words)] = end + np.cumsum([len(x) for x in ids])
+        self.off[n + 1 : n + 1 + len(words)] = end + np.cumsum(size)
         self.at.update(zip(words, range(n, n + len(words))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,16 +114,33 @@ class Encoder:
             ids = [e.ids for e in self.tok.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
             return np.fromiter((i for x in ids for i in x), np.int32), np.array([len(x) for x in ids], np.int64)
         off, code, names = C.split_words(texts)
-        words = names.to_pylist()
+        plain = pc.and_(pc.string_is_ascii(names), pc.invert(pc.match_substring(names, "<")))
+        names = pc.if_else(plain, pc.ascii_lower(names), names)
+        parts = pc.extract_regex(names, self.PEEL)
+        core, tail = pc.struct_field(parts, "core"), pc.struct_field(parts, "tail")
+        core, tail = pc.coalesce(core, names).dictionary_encode(), pc.fill_null(tail, "").dictionary_encode()
+        words = core.dictionary.to_pylist(), tail.dictionary.to_pylist()
         if len(self.at) > REMEMBERED_WORDS:
             self.forget()
-        if new := [w for w in words if w not in self.at]:
-            self._learn(new)
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))[code]
-        begin, size = self.off[at], self.off[at + 1] - self.off[at]
-        total = np.r_[0, np.cumsum(size)]
-        flat = self.pool[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
-        return flat, np.diff(total[off])
+        if new := {w for part in words for w in part if w not in self.at}:
+            self._learn(list(new))
+        find = self.at.__getitem__
+        pair = np.empty((len(core), 2), np.int64)
+        for k, part in enumerate((core, tail)):
+            pair[:, k] = np.fromiter(map(find, words[k]), np.int64, len(words[k]))[part.indices.to_numpy()]
+        # the ids of the batch's distinct words, then of its texts
+        flat, size = self._gather(self.pool, self.off[pair.ravel()], self.off[pair.ravel() + 1])
+        ends = np.cumsum(size)[1::2]
+        flat, size = self._gather(flat, np.r_[0, ends[:-1]][code] if len(ends) else code, ends[code] if len(ends) else code)
+        return flat, np.diff(np.r_[0, np.cumsum(size)][off])
+
+    @staticmethod
+    def _gather(pool: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = end - begin
+        shift = begin - np.r_[0, np.cumsum(size)[:-1]] if len(size) else begin
+        at = np.repeat(shift.astype(np.int32) if len(pool) < 1 << 31 else shift, size)
+        at += np.arange(len(at), dtype=at.dtype)
+        return pool[at], size
 
 
 @cache
@@ -134,33 +176,43 @@ def write_tokens(docs: DataFrame, at: str, path: str, end_id: int = END_ID) -> N
     )
 
 
-def read_tokens(spark: SparkSession, at: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids of every document of a written folder. Files' own totals come from the metadata columns alone."""
-    files = spark.read.schema("doc_id long, file_no int, start_in_file long, n_tokens long, ids array<int>").parquet(at)
+FILE = "doc_id long, file_no int, start_in_file long, n_tokens long, ids array<int>"
+
+
+def _starts(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """Add start to rows that have file_no and start_in_file, from the files' metadata columns alone."""
     totals = files.groupBy("file_no").agg(F.sum("n_tokens").alias("t"))  # a row per file
     offsets = totals.select("file_no", F.coalesce(F.sum("t").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
-    return files.join(offsets, "file_no").select("doc_id", (F.col("o") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
+    return rows.join(offsets, "file_no").withColumn("start", F.col("o") + F.col("start_in_file")).drop("o", "file_no", "start_in_file")
+
+
+def read_tokens(spark: SparkSession, at: str) -> DataFrame:
+    """doc_id, n_tokens, ids and start of every document of a written folder."""
+    files = spark.read.schema(FILE).parquet(at)
+    return _starts(files, files)
 
 
-def digest(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
+def digest(spark: SparkSession, at: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) of a written folder."""
 
     def crc(it):
         for b in it:
-            lists = b.column(3)
+            lists = b.column(4)
             flat, off = lists.flatten().to_numpy().astype("<u4"), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             sums = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sums, pa.int64())], names=["doc_id", "file_no", "start_in_file", "n_tokens", "ids_crc32"])
 
-    C.batches(tokens.sparkSession, 500)
-    return tokens.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    C.batches(spark, 500)
+    files = spark.read.schema(FILE).parquet(at)
+    sums = files.mapInArrow(crc, "doc_id long, file_no int, start_in_file long, n_tokens long, ids_crc32 long")
+    return _starts(files, sums).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def token_output(docs: DataFrame, path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     at = C.scratch(spark, "tokens")
     write_tokens(docs, at, path or tokenizer_path())
-    return digest(read_tokens(spark, at))
+    return digest(spark, at)
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

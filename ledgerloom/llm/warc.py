@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from . import common as C
 
 MIN_REVISIT = 1000
-#: The dictionary is trained on at most so many records, those with the smallest hashes, and is at most so large.
+#: The dictionary is trained on about so many records, drawn by a hash of their ids (twice as many at most), and is at most so large.
 DICTIONARY_SAMPLE = 1000
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 64 << 10  # of a record longer than this, the dictionary sees only so much; archives hold all of it
@@ -106,7 +106,8 @@ def write_archives(pages: DataFrame, at: str) -> DataFrame:
     """Write archives into folder `at`; returns the manifest (path, records)."""
     spark = pages.sparkSession
     C.batches(spark, 500)
-    sample = pages.where("html is not null").select("page_id", F.substring("html", 1, SAMPLE_BYTES).alias("html")).orderBy(F.xxhash64("page_id"), "page_id").limit(DICTIONARY_SAMPLE)
+    sample = pages.where("html is not null").select("page_id", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
+    sample = C.sample(sample, DICTIONARY_SAMPLE, "page_id")
     dictionary = train([r.html.encode() for r in sample.collect() if r.html])
     # the one shuffle of the html; rows that repeat a page_id meet in one task, where the first is the response
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).repartition(C.partitions(spark), "page_id")
