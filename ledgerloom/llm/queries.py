@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, substring, tokens, toxicity, warc
+from . import mixing, neardup, quality, substring, tokens, toxicity, warc
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_output": tokens.op4_token_output,
     "op5_mixing": mixing.op5_mixing,
+    "op6_neardup": neardup.op6_neardup,
     "op9_substring": substring.op9_substring,
     "op10_warc": warc.op10_warc,
 }

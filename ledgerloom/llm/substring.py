@@ -103,8 +103,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = marks.groupBy("seed").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), (F.min("whole") < F.max("whole")).alias("differs")).where("d0 < d1").select("seed", "differs")
     alive = C.stash(marks.join(shared, "seed"), "substring-alive")
     # level 2, whole stretches; where they differ, the first document with each stretch shows its windows singly
-    first = alive.groupBy("whole").agg(F.min("doc_id").alias("first"))
-    judged = alive.join(first, "whole").withColumn("covered", F.col("first") < F.col("doc_id"))
+    first = C.stash(alive.groupBy("whole").agg(F.min("doc_id").alias("first")), "substring-first")
+    judged = C.stash(alive.join(first, "whole").withColumn("covered", F.col("first") < F.col("doc_id")), "substring-judged")  # the join's hot stretches can be split
     todo = judged.where("covered or differs").groupBy("doc_id").agg(
         F.collect_set(F.when(F.col("covered"), F.col("whole"))).alias("covered"), F.collect_set(F.when(~F.col("covered") & F.col("differs"), F.col("whole"))).alias("single")
     )

@@ -84,8 +84,8 @@ def choose_features(positive: list[list[str]], unlabelled: list[list[str]], prio
     return [s for r, s in found if -r > 2 * np.log(len(names))]
 
 
-def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, epochs: int = 120, rate: float = 0.05, l2: float = 2e-5, batch: int = 1000, seed: int = 7) -> Model:
-    """The non-negative PU fit of a logistic model by mini-batch Adam."""
+def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, epochs: int = 600, rate: float = 0.1, l2: float = 1e-4, batch: int = 1_000_000, seed: int = 7) -> Model:
+    """The non-negative PU fit of a logistic model by Adam; the whole sample is one batch unless `batch` is smaller."""
     if not positive or not unlabelled or prior <= 0:
         return Model(bias=-30.0)
     names = choose_features(positive, unlabelled, prior)
@@ -99,7 +99,7 @@ def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, ep
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     steps, t = max(1, len(xu) // batch), 0
-    epochs = max(epochs, 1200 // steps)
+
     for epoch in range(epochs):
         us, ps = np.array_split(rng.permutation(len(xu)), steps), np.array_split(rng.permutation(len(xp)), steps)
         for iu, ip in zip(us, ps):
