@@ -186,6 +186,19 @@ def shingle_sets(texts: pa.Array, n: int = 5, lower: bool = True) -> list[np.nda
     return out
 
 
+def larger(it, most: int = 8 << 20):
+    """Join consecutive Arrow batches until they hold about `most` bytes."""
+    held, size = [], 0
+    for b in it:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def list_array(rows: list[np.ndarray], kind=np.int64) -> pa.Array:
     """A list column; 64-bit hashes keep their bits as signed longs."""
     off = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)

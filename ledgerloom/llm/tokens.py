@@ -33,7 +33,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 DICTIONARY_BYTES = 256 << 10
 #: Distinct words whose ids a Python worker remembers; beyond that it forgets them all and starts again.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 600_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -154,7 +154,7 @@ def write_tokens(docs: DataFrame, at: str, path: str, end_id: int = END_ID) -> N
 
     def encode(it):
         enc, pid, before = encoder(path), TaskContext.get().partitionId(), 0
-        for b in it:
+        for b in C.larger(it):
             ids, size = enc.encode(b.column(1))
             ends = np.cumsum(size)
             ids = np.insert(ids, ends, end_id)
