@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, quality, substring, tokens, toxicity, warc
+from . import linededup, mixing, neardup, quality, substring, tokens, toxicity, warc
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -10,7 +10,8 @@ QUERIES = {
     "op4_token_output": tokens.op4_token_output,
     "op5_mixing": mixing.op5_mixing,
     "op6_neardup": neardup.op6_neardup,
+    "op8_linededup": linededup.op8_linededup,
     "op9_substring": substring.op9_substring,
     "op10_warc": warc.op10_warc,
 }
-ORACLES = {"op2_quality": quality.ORACLE, "op5_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE}
+ORACLES = {"op2_quality": quality.ORACLE, "op5_mixing": mixing.ORACLE, "op8_linededup": linededup.ORACLE, "op10_warc": warc.ORACLE}
