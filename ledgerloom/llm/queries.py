@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, neardup, quality, substring, tokens, toxicity, warc
+from . import decontaminate, linededup, mixing, neardup, quality, substring, tokens, toxicity, warc
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_token_output": tokens.op4_token_output,
     "op5_mixing": mixing.op5_mixing,
     "op6_neardup": neardup.op6_neardup,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_linededup": linededup.op8_linededup,
     "op9_substring": substring.op9_substring,
     "op10_warc": warc.op10_warc,
