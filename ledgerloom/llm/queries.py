@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, mixing, neardup, quality, substring, tokens, toxicity, warc
+from . import decontaminate, html, linededup, mixing, neardup, quality, substring, tokens, toxicity, warc
 
 QUERIES = {
+    "op1_html": html.op1_html,
     "op2_quality": quality.op2_quality,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_output": tokens.op4_token_output,
