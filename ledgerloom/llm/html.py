@@ -49,6 +49,7 @@ END_OPTIONAL = frozenset("p li dt dd tr td th thead tbody tfoot option".split())
 EXCLUDED_TAGS = frozenset("nav footer aside form menu".split())
 EXCLUDED_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 CONTAINERS = frozenset("html body div section main article center table tbody tr td".split())
+BARE = frozenset("div section main article body html".split())  # without a name these are not folded: alike tags may hold unlike things
 EXCLUDED_NAMES = frozenset(
     "nav navbar navigation menu menubar topbar breadcrumb breadcrumbs sidebar side aside widget footer header masthead ad ads adv advert adverts advertisement adsense adbox banner promo promotion "
     "sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification alert popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended recommendations "
@@ -155,7 +156,7 @@ def fold(tokens: list[str], longest: int = 8) -> tuple[tuple[str, ...], list[int
         n = len(out)
         while i < n:
             j = i + size
-            if j + size <= n and out[i:j] == out[j : j + size] and not all(t.startswith("/") for t in out[i:j]):
+            if j + size <= n and out[i:j] == out[j : j + size] and not all(t.startswith("/") for t in out[i:j]) and not BARE.intersection(out[i:j]):
                 while out[i:j] == out[j : j + size] and j + size <= n:
                     j += size
                 new.append((len(kept), len(kept) + size))

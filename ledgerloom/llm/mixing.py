@@ -46,7 +46,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     """doc_id, size, source_size, target, taken for every row of docs (with doc_id, source and text), and the columns named in keep."""
     spark = docs.sparkSession
     base = docs.select(
-        "doc_id", "source", *keep,
+        "doc_id", "source", *(c for c in keep if c != "source"),
         F.coalesce(F.concat(F.lit("a"), "source"), F.lit("b")).alias("skey"),
         C.word_count(F.col("text")).alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("deal"),
