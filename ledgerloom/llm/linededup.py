@@ -60,7 +60,8 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
 def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     """docs (with doc_id and text) and n_lines (with a word), n_removed and kept_text."""
     gone = repeated_runs(docs, run).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("at").alias("_gone"))
-    d = docs.join(gone, docs.doc_id == F.col("_gone_id"), "left").drop("_gone_id")
+    # merge join at every size, so that what a run needs grows as its input does
+    d = docs.join(gone.hint("merge"), docs.doc_id == F.col("_gone_id"), "left").drop("_gone_id")
     d = d.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_worded", numbered_lines(F.col("text")))
     # the repeated runs' lines, by their rank among the lines with a word, then by their number in the text
     ranks = F.array_distinct(F.flatten(F.transform("_gone", lambda at: F.sequence(at, at + run - 1))))
