@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import analytics, documents, scalars, storage
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "analytics", "documents", "scalars", "storage"]
