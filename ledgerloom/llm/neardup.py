@@ -7,7 +7,7 @@
 3. Round one: in each list all members are held against one hub, the member whose values are the most common. The estimate from the
    sketch of the union filters the pairs; exact Jaccard similarity of the full sets confirms them.
 4. Round two makes the result complete: in every list whose members are not yet one component, each member outside the list's main
-   component is held against all members of other components, exactly, in blocks of bounded size. Nothing is capped, and only links are emitted.
+   component is held against all members of other components, exactly, in blocks of bounded size. Long lists around one component are taken together. Nothing is capped, and only links are emitted.
 
 The components of the confirmed links are the groups. Sketches of k values find a pair of similarity 0.75 unless fewer than overlap(k) of an expected 0.75 k
 values are shared, which for k = 48 has a probability below 1e-6; pairs above that similarity are missed more rarely still.
@@ -126,14 +126,15 @@ def links_left(lists: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFra
     m = C.stash(lists.join(labels, "id", "left").select("v", "id", F.coalesce("comp", "id").alias("comp")), "near-members")
     parts = m.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
     open_lists = parts.groupBy("v").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.bit_xor("x").alias("x")).where("parts > 1 and n > 2")
-    # lists of the same members are one list
-    open_lists = open_lists.groupBy("n", "x", "main").agg(F.min("v").alias("v")).select("v", F.col("main.comp").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("ask_blocks"))
-    open_lists = C.stash(open_lists, "near-open")
-    m = m.join(open_lists, "v").withColumn("h", F.xxhash64("id"))
-    answer = m.select("v", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("i"), F.pmod("h", "blocks").alias("j"), "id", "comp", F.lit(False).alias("asks"))
-    ask = m.where("comp <> main").select("v", F.pmod("h", "ask_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "id", "comp", F.lit(True).alias("asks"))
-    rows = answer.unionByName(ask).join(texts, "id").select("v", "i", "j", "id", "comp", "asks", "text")
-    return rows.groupBy("v", "i", "j").applyInArrow(_block, "a long, b long")
+    # lists of the same members are one list, and so are long lists around one main component, which share most members
+    open_lists = open_lists.groupBy("n", "x", "main").agg(F.min("v").alias("v")).select("v", F.col("main.comp").alias("main"), F.when(F.col("n") > BLOCK, F.xxhash64("main.comp")).otherwise(F.col("v")).alias("g"))
+    m = C.stash(m.join(C.stash(open_lists, "near-open"), "v").select("g", "id", "comp", "main").distinct(), "near-open-members")
+    size = m.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / BLOCK).alias("ask_blocks"))
+    m = m.join(C.stash(size, "near-blocks"), "g").withColumn("h", F.xxhash64("id"))
+    answer = m.select("g", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("i"), F.pmod("h", "blocks").alias("j"), "id", "comp", F.lit(False).alias("asks"))
+    ask = m.where("comp <> main").select("g", F.pmod("h", "ask_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "id", "comp", F.lit(True).alias("asks"))
+    rows = answer.unionByName(ask).join(texts, "id").select("g", "i", "j", "id", "comp", "asks", "text")
+    return rows.groupBy("g", "i", "j").applyInArrow(_block, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = K) -> DataFrame:
