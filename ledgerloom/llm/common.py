@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -20,6 +21,8 @@ from ..session import ship
 #: A word is a maximal run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
+pa.set_memory_pool(pa.system_memory_pool())  # the default pools keep what they once held
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,6 +59,21 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def lean(f):
+    """A batch function that gives freed memory back to the system when its task ends: workers are reused, and would keep it."""
+
+    def run(it):
+        try:
+            yield from f(it)
+        finally:
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except OSError:  # another C library
+                pass
+
+    return run
+
+
 def sample(df: DataFrame, size: int, *keys: str) -> DataFrame:
     """About `size` rows by a hash of `keys`, the same in every run; at most twice as many. All rows if there are no more than `size`."""
     n = df.count()
@@ -102,7 +120,7 @@ def running_sum(df: DataFrame, group: str, order: list[str], value: str) -> Data
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, pid, np.int32)), pa.array(uid), pa.array(out)], names=[f.name for f in schema.fields])
 
     ranged = df.repartitionByRange(partitions(spark), group, *order).sortWithinPartitions(group, *order)
-    local = stash(ranged.mapInArrow(sums, schema), "running")
+    local = stash(ranged.mapInArrow(lean(sums), schema), "running")
     totals = local.groupBy(group, "pid").agg(F.sum(value).alias("t"))
     earlier = Window.partitionBy(group).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(group, "pid", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("o"))

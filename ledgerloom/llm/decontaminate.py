@@ -106,7 +106,7 @@ def search(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
                 new = [pa.array([f and f[0] for f in found], pa.int64()), pa.array([f and f[1] for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep) + 1], *new], names=[*names[: len(keep) + 1], "contained_item", "containment"])
 
-        d = d.mapInArrow(probe, f"{schema}{', ' if keep else ''}_text string, contained_item long, containment double")
+        d = d.mapInArrow(C.lean(probe), f"{schema}{', ' if keep else ''}_text string, contained_item long, containment double")
     return d.drop("_text")
 
 

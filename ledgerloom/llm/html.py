@@ -358,7 +358,7 @@ def infer(pages: DataFrame) -> DataFrame:
 
     C.batches(pages.sparkSession, 500)
     schema = "host string, part int, wrapper string"
-    w = C.stash(pages.mapInArrow(local, schema), "wrappers")
+    w = C.stash(pages.mapInArrow(C.lean(local), schema), "wrappers")
     most = w.agg(F.max("part")).first()[0]
     while True:  # a tree of merges: a group holds the wrappers of at most SALT tasks
         w = C.stash(w.groupBy("host", F.floor(F.col("part") / SALT).alias("g")).applyInArrow(merged, schema), "wrappers")
@@ -407,7 +407,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> Dat
     if table is None:  # hosts are dealt over many tasks by a salt, and their wrappers to all of these
         salted = wrappers.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumnRenamed("host", "_host")
         pages = pages.withColumn("_s", F.pmod(F.xxhash64("_html"), F.lit(64)).cast("int")).join(salted, ["_host", "_s"]).select(*keep, "_host", "_html", "wrapper")
-    return pages.mapInArrow(read, schema)
+    return pages.mapInArrow(C.lean(read), schema)
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:

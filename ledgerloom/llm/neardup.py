@@ -56,7 +56,7 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.string()), C.list_array([s[:k] >> np.uint64(1) for s in sets])], names=["doc_id", "n_shingles", "setkey", "sketch"])
 
     C.batches(docs.sparkSession, 500)
-    return docs.select("doc_id", "text").mapInArrow(look, "doc_id long, n_shingles long, setkey string, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(C.lean(look), "doc_id long, n_shingles long, setkey string, sketch array<long>")
 
 
 def estimate(a: Column, b: Column, k: int = K) -> Column:
@@ -77,7 +77,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     t = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias("t" + c))
-    return pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", "ta", "tb").mapInArrow(judge, "a long, b long")
+    return pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", "ta", "tb").mapInArrow(C.lean(judge), "a long, b long")
 
 
 def _intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 8192) -> np.ndarray:

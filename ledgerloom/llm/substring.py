@@ -93,7 +93,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     wholes.append(np.empty(0, np.uint64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(sha), C.list_array(seeds), C.list_array(wholes)], names=["doc_id", "n_words", "sha", "seeds", "wholes"])
 
-    seen = C.stash(docs.mapInArrow(look, "doc_id long, n_words long, sha string, seeds array<long>, wholes array<long>"), "substring-seen")
+    seen = C.stash(docs.mapInArrow(C.lean(look), "doc_id long, n_words long, sha string, seeds array<long>, wholes array<long>"), "substring-seen")
     long = seen.where(F.col("n_words") >= window).select("doc_id", "sha")
     copies = long.groupBy("sha").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = C.stash(long.join(copies, "sha").where("doc_id > keeper").select("doc_id", "sha").distinct(), "substring-copies")
@@ -122,7 +122,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows.append(hashes)
             yield pa.RecordBatch.from_arrays([b.column(0), C.list_array(rows)], names=["doc_id", "hashes"])
 
-    shown = work.where(F.size("single") > 0).mapInArrow(show, "doc_id long, hashes array<long>")
+    shown = work.where(F.size("single") > 0).mapInArrow(C.lean(show), "doc_id long, hashes array<long>")
     shown = C.stash(shown.select("doc_id", F.explode("hashes").alias("hash")), "substring-windows")
     twice = shown.groupBy("hash").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("hash", "d0")
     found = shown.join(twice, "hash").where("doc_id > d0").groupBy("doc_id").agg(F.collect_set("hash").alias("found"))
@@ -154,7 +154,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "sha", "gone", "kept_sha", "kept_text"])
 
     cut = work.select("doc_id", "text", "covered").join(found, "doc_id", "left").where(F.size("covered") + F.coalesce(F.size("found"), F.lit(0)) > 0)
-    cut = cut.mapInArrow(remove, "doc_id long, sha string, gone long, kept_sha string, kept_text string")
+    cut = cut.mapInArrow(C.lean(remove), "doc_id long, sha string, gone long, kept_sha string, kept_text string")
     cut = cut.where("gone > 0").groupBy("doc_id", "sha").agg(F.first("gone").alias("gone"), F.first("kept_sha").alias("kept_sha"), F.first("kept_text").alias("kept_text"))
     done = later.select("doc_id", "sha", F.lit(-1).cast("long").alias("gone"), F.lit(EMPTY).alias("kept_sha"), F.lit("").alias("kept_text")).unionByName(cut)
     return seen.select("doc_id", "n_words", "sha").join(done, ["doc_id", "sha"], "left").select(

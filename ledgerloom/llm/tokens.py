@@ -168,7 +168,7 @@ def write_tokens(docs: DataFrame, at: str, path: str, end_id: int = END_ID) -> N
 
     rows = docs.select("doc_id", "text").repartitionByRange(C.partitions(docs.sparkSession), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     (
-        rows.mapInArrow(encode, "doc_id long, file_no int, start_in_file long, n_tokens long, ids array<int>")
+        rows.mapInArrow(C.lean(encode), "doc_id long, file_no int, start_in_file long, n_tokens long, ids array<int>")
         .write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "true")
         .option("parquet.dictionary.page.size", str(DICTIONARY_BYTES)).option("parquet.enable.dictionary#doc_id", "false").option("parquet.enable.dictionary#start_in_file", "false")
         .option("parquet.block.size", str(ROW_GROUP_BYTES)).option("parquet.page.size", str(PAGE_BYTES)).option("parquet.page.row.count.limit", "1000")
@@ -204,7 +204,7 @@ def digest(spark: SparkSession, at: str) -> DataFrame:
 
     C.batches(spark, 500)
     files = spark.read.schema(FILE).parquet(at)
-    sums = files.mapInArrow(crc, "doc_id long, file_no int, start_in_file long, n_tokens long, ids_crc32 long")
+    sums = files.mapInArrow(C.lean(crc), "doc_id long, file_no int, start_in_file long, n_tokens long, ids_crc32 long")
     return _starts(files, sums).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -22,7 +22,6 @@ result; columns other than doc_id and text are ignored, whatever their names.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -66,16 +65,18 @@ class Model:
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
-def choose_features(positive: list[list[str]], unlabelled: list[list[str]], prior: float, size: int = FEATURES) -> list[str]:
-    """Strings commoner in positives than in negatives beyond chance. The rate among negatives is that among the unlabelled less the positives' share
-    of it; the log-likelihood ratio of the two rates must exceed what the best of so many strings reaches by chance."""
-    p, u = Counter(s for x in positive for s in x), Counter(s for x in unlabelled for s in x)
-    n_p, n_n = max(1, len(positive)), max(1, round((1 - prior) * len(unlabelled)))
-    names = [s for s, c in p.items() if c > 2]
+def choose_features(counts: dict[str, tuple[int, int]], n_positive: int, n_unlabelled: int, prior: float, size: int = FEATURES) -> list[str]:
+    """From the texts of either kind that each string occurs in: the strings commoner in positives than in negatives beyond chance.
+
+    The rate among negatives is that among the unlabelled less the positives' share of it; the log-likelihood ratio of the two rates must exceed what the best
+    of so many strings reaches by chance.
+    """
+    names = sorted(s for s, (p, _) in counts.items() if p > 2)
     if not names:
         return []
-    a = np.array([p[s] for s in names], float)
-    b = np.maximum(np.array([u[s] for s in names], float) - prior * len(unlabelled) * a / n_p, 0.0).clip(0, n_n)
+    n_p, n_n = max(1, n_positive), max(1, round((1 - prior) * n_unlabelled))
+    a = np.array([counts[s][0] for s in names], float)
+    b = np.maximum(np.array([counts[s][1] for s in names], float) - prior * n_unlabelled * a / n_p, 0.0).clip(0, n_n)
     both = (a + b) / (n_p + n_n)
     part = lambda k, n, q: k * np.log(np.maximum(k, 1e-12) / (n * q)) + (n - k) * np.log(np.maximum(n - k, 1e-12) / (n * np.maximum(1 - q, 1e-12)))
     ratio = 2 * (part(a, n_p, both) + part(b, n_n, both))
@@ -84,39 +85,26 @@ def choose_features(positive: list[list[str]], unlabelled: list[list[str]], prio
     return [s for r, s in found if -r > 2 * np.log(len(names))]
 
 
-def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, epochs: int = 600, rate: float = 0.1, l2: float = 1e-4, batch: int = 1_000_000, seed: int = 7) -> Model:
-    """The non-negative PU fit of a logistic model by Adam; the whole sample is one batch unless `batch` is smaller."""
-    if not positive or not unlabelled or prior <= 0:
-        return Model(bias=-30.0)
-    names = choose_features(positive, unlabelled, prior)
+def fit(positive: list[list[int]], unlabelled: list[list[int]], names: list[str], prior: float, epochs: int = 600, rate: float = 0.1, l2: float = 1e-4) -> Model:
+    """The non-negative PU fit of a logistic model by Adam over the whole sample; rows are the numbers of the names that a text holds."""
+    if not positive or not unlabelled or not 0 < prior < 1:
+        return Model()
     if not names:
         return Model(bias=float(np.log(prior / (1 - prior))))
-    at = {s: i for i, s in enumerate(names)}
-    dense = lambda rows: _matrix([[at[s] for s in x if s in at] for x in rows], len(names))
-    xp, xu = dense(positive), dense(unlabelled)
-    rng = np.random.default_rng(seed)
-    w, b = np.zeros(len(names)), float(np.log(prior / (1 - prior)))
+    xp, xu = _matrix(positive, len(names)), _matrix(unlabelled, len(names))
+    w, b = np.zeros(len(names), np.float32), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    steps, t = max(1, len(xu) // batch), 0
-
-    for epoch in range(epochs):
-        us, ps = np.array_split(rng.permutation(len(xu)), steps), np.array_split(rng.permutation(len(xp)), steps)
-        for iu, ip in zip(us, ps):
-            if not len(ip):
-                ip = rng.integers(0, len(xp), 1)
-            a, c = xp[ip], xu[iu]
-            gp, gu = sigmoid(a @ w + b), sigmoid(c @ w + b)  # logistic loss: dl(g,+1) = g - 1, dl(g,-1) = g
-            negative = np.mean(-np.log1p(-gu + 1e-12)) - prior * np.mean(-np.log1p(-gp + 1e-12))
-            dp, du = prior * (gp - 1) / len(gp), gu / len(gu)
-            dn = -prior * gp / len(gp)
-            if negative < 0:  # the estimate of the negatives' risk fell below 0: undo
-                dp, dn, du = np.zeros_like(dp), -dn, -du
-            g = np.r_[a.T @ (dp + dn) + c.T @ du + l2 * w, np.sum(dp + dn) + np.sum(du)]
-            t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            step = rate / (1 + 2 * epoch / epochs) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            w, b = w - step[:-1], b - step[-1]
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
+    for t in range(1, epochs + 1):
+        gp, gu = sigmoid(xp @ w + np.float32(b)), sigmoid(xu @ w + np.float32(b))  # logistic loss: dl(g,+1) = g - 1, dl(g,-1) = g
+        negative = np.mean(-np.log1p(-gu + 1e-12)) - prior * np.mean(-np.log1p(-gp + 1e-12))
+        dp, du, dn = prior * (gp - 1) / len(gp), gu / len(gu), -prior * gp / len(gp)
+        if negative < 0:  # the estimate of the negatives' risk fell below 0: undo
+            dp, dn, du = np.zeros_like(dp), -dn, -du
+        g = np.r_[(dp + dn).astype(np.float32) @ xp + du.astype(np.float32) @ xu + l2 * w, np.sum(dp + dn) + np.sum(du)]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = rate / (1 + 2 * t / epochs) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, b = (w - step[:-1]).astype(np.float32), b - float(step[-1])
     return Model(float(b), {s: float(x) for s, x in zip(names, w) if abs(x) > 1e-3})
 
 
@@ -147,17 +135,22 @@ def learn(docs: DataFrame, labels: DataFrame, learns: F.Column | None = None) ->
 
     def look(it):
         for b in it:
-            found = [sorted(strings(t), key=hash_of)[:MAX_STRINGS] if t and len(t) > 50_000 else sorted(strings(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(x) for x in found], pa.string())], names=["uses", "strings"])
-
-    rows = texts.mapInArrow(look, "uses array<boolean>, strings string").toLocalIterator()
+            found = [sorted(sorted(x, key=hash_of)[:MAX_STRINGS]) for x in map(strings, b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=["uses", "strings"])
+
+    rows = C.stash(texts.mapInArrow(C.lean(look), "uses array<boolean>, strings array<string>"), "toxic-sample")
+    uses = rows.select(F.explode("uses").alias("c")).agg(F.count_if("c").alias("p"), F.count_if(~F.col("c")).alias("u")).first()
+    each = rows.select(F.aggregate("uses", F.lit(0), lambda a, c: a + c.cast("int")).alias("p"), F.size("uses").alias("n"), F.explode("strings").alias("s"))
+    counts = each.groupBy("s").agg(F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("u")).where("p > 2")
+    names = choose_features({r.s: (r.p, r.u) for r in counts.toLocalIterator()}, uses.p, uses.u, prior)
+    chosen = F.array(*[F.lit(s) for s in names]).cast("array<string>")
+    at = {s: i for i, s in enumerate(names)}
     positive, unlabelled = [], []
-    for r in rows:
-        x = r.strings.split(" ") if r.strings else []
+    for r in rows.select("uses", F.array_intersect("strings", chosen).alias("strings")).toLocalIterator():
+        x = sorted(at[s] for s in r.strings)
         for confirmed in r.uses:
             (positive if confirmed else unlabelled).append(x)
-    key = lambda x: (len(x), x)  # noqa: E731  the order of rows must not depend on tasks
-    return fit(sorted(positive, key=key), sorted(unlabelled, key=key), prior)
+    return fit(sorted(positive), sorted(unlabelled), names, prior)
 
 
 def hash_of(s: str) -> int:
@@ -181,7 +174,7 @@ def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id"
             s = pa.array([m.score(t) for t in b.column(n - 1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[: n - 1], s], names=[*keep, "score"])
 
-    return d.mapInArrow(score, f"{schema}, score double")
+    return d.mapInArrow(C.lean(score), f"{schema}, score double")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

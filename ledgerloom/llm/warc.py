@@ -145,7 +145,7 @@ def write_archives(pages: DataFrame, at: str) -> DataFrame:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", "records"])
 
-    return C.stash(rows.mapInArrow(write, "path string, records long"), "warc-manifest")
+    return C.stash(rows.mapInArrow(C.lean(write), "path string, records long"), "warc-manifest")
 
 
 def read_archives(spark: SparkSession, at: str) -> DataFrame:
@@ -167,7 +167,7 @@ def read_archives(spark: SparkSession, at: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     C.batches(spark, 1)  # an archive a batch
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(at).select("content").mapInArrow(read, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(at).select("content").mapInArrow(C.lean(read), schema)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
