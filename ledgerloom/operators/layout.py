@@ -103,8 +103,8 @@ def merge_words(words: DataFrame, keys: list[str]) -> DataFrame:
 
     zero = F.struct(F.array().cast(f"array<{block}>").alias("done"), F.lit(None).cast(block).alias("cur"))
     blocks = F.aggregate("ws", zero, step, lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
-    out = w.select(*keys, F.explode(blocks).alias("k"))
-    return out.select(*keys, "k.n", "k.x", "k.y", F.col("k.r").alias("right"), F.col("k.b").alias("bottom"), F.col("k.c").alias("confidence"), F.array_join("k.t", " ").alias("text"))
+    out = w.select(*keys, F.explode(blocks).alias("_k"))
+    return out.select(*keys, "_k.n", "_k.x", "_k.y", F.col("_k.r").alias("right"), F.col("_k.b").alias("bottom"), F.col("_k.c").alias("confidence"), F.array_join("_k.t", " ").alias("text"))
 
 
 def table_type(text: Column) -> Column:

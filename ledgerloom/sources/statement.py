@@ -15,7 +15,7 @@ ASSETS = {"fixed_income": "Renta Fija", "investment_fund": "FIC", "cash_balance"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file; text that is no JSON is kept in _corrupt. A missing path raises."""
+    """One row per file. Text that is no JSON, or has fields of a wrong type, is also kept in _corrupt; such fields are null, the others are read. A missing path raises."""
     return spark.read.schema(STATEMENT + ", _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
