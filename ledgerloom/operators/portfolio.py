@@ -50,12 +50,19 @@ def concentration(holdings: DataFrame, by: list[str], value: str = "value") -> D
     return g.withColumn("category", hhi_category(F.col("hhi")))
 
 
-def exposure(holdings: DataFrame, by: list[str], value: str = "value", tops: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    """The share in percent of the largest 1, 3 and 5 holdings. Only the largest survive the window; totals come from one aggregate."""
+TOPS = (1, 3, 5)
+
+
+def largest(h: DataFrame, by: list[str], value: str = "value", tops: tuple[int, ...] = TOPS) -> DataFrame:
+    """(by, t1, t3, t5): the sums of the largest holdings. Ranks are limited before the shuffle, so a hot group sends a few rows from each task."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value)))
-    best = holdings.withColumn("_r", rank).where(F.col("_r") <= max(tops)).groupBy(*by).agg(*[F.sum(F.when(F.col("_r") <= n, F.col(value))).alias(f"t{n}") for n in tops])
-    total = holdings.groupBy(*by).agg(F.sum(value).alias("total"))
-    return total.join(best, by).select(*by, *[F.when(F.col("total") > 0, 100 * F.col(f"t{n}") / F.col("total")).otherwise(0.0).alias(f"top{n}") for n in tops])
+    return h.withColumn("_r", rank).where(F.col("_r") <= max(tops)).groupBy(*by).agg(*[F.sum(F.when(F.col("_r") <= n, F.col(value))).alias(f"t{n}") for n in tops])
+
+
+def exposure(h: DataFrame, by: list[str], value: str = "value", tops: tuple[int, ...] = TOPS) -> DataFrame:
+    """The share in percent of the largest 1, 3 and 5 holdings."""
+    total = h.groupBy(*by).agg(F.sum(value).alias("total"))
+    return total.join(largest(h, by, value, tops), by).select(*by, *[F.when(F.col("total") > 0, 100 * F.col(f"t{n}") / F.col("total")).otherwise(0.0).alias(f"top{n}") for n in tops])
 
 
 def bucket(days: Column, config: FinanceConfig = FinanceConfig()) -> Column:
@@ -85,14 +92,15 @@ def composition(df: DataFrame, by: list[str]) -> DataFrame:
 
 def holdings(instruments: DataFrame, funds: DataFrame, cash: DataFrame, positive: bool = False) -> DataFrame:
     """(holder_id, kind, name, value) of all three kinds. positive drops funds and cash that are not above 0, as the Pareto chart does."""
-    f, c = funds, cash
     if positive:
-        f, c = f.where("new_balance > 0"), c.where("total > 0")
-    return (
-        instruments.select("holder_id", F.lit("RF").alias("kind"), F.col("instrument_id").alias("name"), F.col("market_value").alias("value"))
-        .unionByName(f.select("holder_id", F.lit("FIC").alias("kind"), "name", F.col("new_balance").alias("value")))
-        .unionByName(c.select("holder_id", F.lit("Efectivo").alias("kind"), F.lit("Efectivo").alias("name"), F.col("total").alias("value")))
-    )
+        funds, cash = funds.where("new_balance > 0"), cash.where("total > 0")
+    fixed = instruments.select("holder_id", F.lit("RF").alias("kind"), F.col("instrument_id").alias("name"), F.col("market_value").alias("value"))
+    return fixed.unionByName(other_holdings(funds, cash))
+
+
+def other_holdings(funds: DataFrame, cash: DataFrame) -> DataFrame:
+    f = funds.select("holder_id", F.lit("FIC").alias("kind"), "name", F.col("new_balance").alias("value"))
+    return f.unionByName(cash.select("holder_id", F.lit("Efectivo").alias("kind"), F.lit("Efectivo").alias("name"), F.col("total").alias("value")))
 
 
 def pareto(h: DataFrame, by: list[str]) -> DataFrame:
@@ -113,14 +121,25 @@ def suffix_duplicates(df: DataFrame, by: list[str], name: str, order: list[str],
     return d.withColumn("label", label).drop("_n")
 
 
-def kpis(instruments: DataFrame, all_holdings: DataFrame, by: list[str]) -> DataFrame:
-    """The wide row of a portfolio: yields, durations, concentration, exposure and maturities."""
-    g = instruments.groupBy(*by).agg(
-        weighted("valuation_rate").alias("weighted_yield"), weighted("face_rate").alias("face_yield"), macaulay().alias("macaulay"), F.count_if(F.col("days") <= 0).alias("n_matured"),
-        ratio(F.sum(live(F.col("market_value") * F.col("days"))), F.sum(live(F.col("market_value")))).alias("mean_days"),
-    )
-    g = g.withColumns({"spread": F.col("weighted_yield") - F.col("face_yield"), "modified": F.when(1 + F.col("weighted_yield") / 100 > 0, F.col("macaulay") / (1 + F.col("weighted_yield") / 100)).otherwise(0.0)})
-    return g.join(concentration(all_holdings, by), by).join(exposure(all_holdings, by), by)
+RF_ONLY = ["market_value", "valuation_rate", "face_rate", "days"]
+
+
+def kpis(instruments: DataFrame, funds: DataFrame, cash: DataFrame, by: list[str]) -> DataFrame:
+    """The wide row of a portfolio with instruments: yields, durations, concentration, exposure and maturities.
+
+    All sums come from one pre-aggregated pass over the union of the holdings, in which funds and cash have no rates; only the largest holdings take a second one.
+    """
+    rest = other_holdings(funds, cash).select(*by, "value", *[F.lit(None).cast(dict(instruments.dtypes)[c]).alias(c) for c in RF_ONLY])
+    every = instruments.select(*by, F.col("market_value").alias("value"), *RF_ONLY).unionByName(rest)
+    total = F.sum("value")
+    g = every.groupBy(*by).agg(
+        weighted("valuation_rate").alias("weighted_yield"), weighted("face_rate").alias("face_yield"), macaulay().alias("macaulay"), F.count_if(F.col("days") <= 0).alias("n_matured"), F.count("days").alias("_rf"),
+        ratio(F.sum(live(F.col("market_value") * F.col("days"))), F.sum(live(F.col("market_value")))).alias("mean_days"), hhi("value").alias("hhi"), F.count(F.lit(1)).alias("n_holdings"), total.alias("_total"),
+    ).where("_rf > 0")
+    g = g.withColumns({"spread": F.col("weighted_yield") - F.col("face_yield"), "modified": F.when(1 + F.col("weighted_yield") / 100 > 0, F.col("macaulay") / (1 + F.col("weighted_yield") / 100)).otherwise(0.0), "category": hhi_category(F.col("hhi"))})
+    best = largest(every.select(*by, "value"), by)
+    share = lambda n: F.when(F.col("_total") > 0, 100 * F.col(f"t{n}") / F.col("_total")).otherwise(0.0).alias(f"top{n}")
+    return g.join(best, by).select(*[c for c in g.columns if c[0] != "_"], *[share(n) for n in TOPS])
 
 
 def status_sharpe(x: Column) -> Column:

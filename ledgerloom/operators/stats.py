@@ -40,23 +40,28 @@ def interval95(x: str, sign: int) -> Column:
 
 
 def outliers(df: DataFrame, by: list[str], x: str, sigma: float = 2.0) -> DataFrame:
-    """Rows farther than sigma deviations from their group's mean; groups need 3 rows and some spread."""
-    w = Window.partitionBy(*by)
-    d = df.withColumns({"mean": F.avg(x).over(w), "std_dev": F.stddev_samp(x).over(w), "n": F.count(x).over(w)})
-    return d.where((F.col("n") >= 3) & (F.col("std_dev") >= 1e-9) & (F.abs(F.col(x) - F.col("mean")) > sigma * F.col("std_dev")))
+    """Rows farther than sigma deviations from their group's mean; groups need 3 rows and some spread.
+
+    The groups' figures come from a pre-aggregated pass and are joined back, so that a hot group's rows need not meet in one task.
+    """
+    g = df.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std_dev"), F.count(x).alias("n")).where("n >= 3 and std_dev >= 1e-9")
+    return df.join(g, by).where(F.abs(F.col(x) - F.col("mean")) > sigma * F.col("std_dev"))
 
 
 def boxplot(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """q1, median, q3 (the values at n/4 and 3n/4 of the sorted row, without interpolation), iqr, whiskers within the data, and outliers outside them.
 
-    Groups of fewer than 5 values have no box.
+    Groups of fewer than 5 values have no box. One shuffle: positions, the box and the count of outliers share the partitioning, and sorts spill.
     """
-    s = df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(F.col(x))).alias("v")).withColumn("n", F.size("v")).where("n >= 5")
-    at = lambda i: F.get("v", i.cast("int"))
-    s = s.withColumns({"q1": at(F.floor(F.col("n") / 4)), "q3": at(F.floor(3 * F.col("n") / 4)), "median": F.when(F.col("n") % 2 == 1, at(F.floor(F.col("n") / 2))).otherwise((at(F.floor(F.col("n") / 2) - 1) + at(F.floor(F.col("n") / 2))) / 2)})
-    s = s.withColumn("iqr", F.col("q3") - F.col("q1"))
-    s = s.withColumns({"low": F.greatest(F.col("q1") - 1.5 * F.col("iqr"), F.element_at("v", 1)), "high": F.least(F.col("q3") + 1.5 * F.col("iqr"), F.element_at("v", -1))})
-    return s.select(*by, F.col("n").cast("long").alias("n"), "q1", "median", "q3", "iqr", "low", "high", F.size(F.filter("v", lambda z: (z < F.col("low")) | (z > F.col("high")))).cast("long").alias("n_outliers"))
+    every = Window.partitionBy(*by)
+    d = df.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("v"))
+    d = d.withColumns({"r": F.row_number().over(every.orderBy("v")) - 1, "n": F.count(F.lit(1)).over(every)}).where("n >= 5")
+    at = lambda i: F.max(F.when(F.col("r") == i, F.col("v"))).over(every)
+    half = F.floor(F.col("n") / 2)
+    d = d.withColumns({"q1": at(F.floor(F.col("n") / 4)), "q3": at(F.floor(3 * F.col("n") / 4)), "hi": at(half), "lo": at(F.when(F.col("n") % 2 == 1, half).otherwise(half - 1)), "least": F.min("v").over(every), "most": F.max("v").over(every)})
+    d = d.withColumns({"median": (F.col("lo") + F.col("hi")) / 2, "iqr": F.col("q3") - F.col("q1")})
+    d = d.withColumns({"low": F.greatest(F.col("q1") - 1.5 * F.col("iqr"), F.col("least")), "high": F.least(F.col("q3") + 1.5 * F.col("iqr"), F.col("most"))})
+    return d.groupBy(*by).agg(*[F.first(c).alias(c) for c in ("n", "q1", "median", "q3", "iqr", "low", "high")], F.count_if((F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))).alias("n_outliers"))
 
 
 def regression(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:

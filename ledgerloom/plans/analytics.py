@@ -92,7 +92,7 @@ def portfolio_composition(spark, d):
 SELECT holder_id, {R('wy')} AS weighted_yield, {R('fy')} AS face_yield, {R('wy - fy')} AS spread, {R('md / 365')} AS macaulay, {R('md / 365 / (1 + wy / 100)')} AS modified, {R('md')} AS mean_days, n_matured, {R('hhi')} AS hhi, n_holdings,
 CASE WHEN hhi < 1500 THEN 'bajo' WHEN hhi < 2500 THEN 'moderado' ELSE 'alto' END AS category, {R('top1')} AS top1, {R('top3')} AS top3, {R('top5')} AS top5 FROM i JOIN h USING (holder_id) JOIN t USING (holder_id)""")
 def portfolio_kpis(spark, d):
-    k = portfolio.kpis(V.instruments(spark, d), holdings(spark, d), H)
+    k = portfolio.kpis(V.instruments(spark, d), V.funds(spark, d), V.cash(spark, d), H)
     return rounded(k, "weighted_yield", "face_yield", "spread", "macaulay", "modified", "mean_days", "hhi", "top1", "top3", "top5")
 
 
@@ -275,7 +275,7 @@ UNION ALL SELECT holder_id, 'sharpe', sh, CASE WHEN sh > 1.5 THEN 'positive' WHE
 SELECT holder_id, kpi, {R('value')} AS value, status FROM k""")
 def dashboard_kpis(spark, d):
     """The dashboard's figures, one row each, with their colour class."""
-    k = portfolio.kpis(V.instruments(spark, d), holdings(spark, d), H).join(portfolio.fund_sharpe(V.fund_returns(spark, d), H).select(*H, "sharpe"), H, "left")
+    k = portfolio.kpis(V.instruments(spark, d), V.funds(spark, d), V.cash(spark, d), H).join(portfolio.fund_sharpe(V.fund_returns(spark, d), H).select(*H, "sharpe"), H, "left")
     names = ["weighted_yield", "macaulay", "modified", "spread", "hhi", "sharpe"]
     rows = k.select(*H, "category", F.explode(F.array(*[F.struct(F.lit(n).alias("kpi"), F.col(n).alias("value")) for n in names])).alias("x")).select(*H, "x.kpi", "x.value", "category").where("value is not null")
     return rounded(rows.select(*H, "kpi", "value", portfolio.status(F.col("kpi"), F.col("value"), F.col("category")).alias("status")), "value")
