@@ -72,7 +72,7 @@ def topn_exposure(spark, d):
 
 @query(f"SELECT holder_id, {BUCKET} AS bucket, round(sum(market_value), 2) AS amount, count(*) AS n, CASE {BUCKET} WHEN '<90d' THEN 1 WHEN '90-365d' THEN 2 WHEN '365d-3a' THEN 3 ELSE 4 END AS ordinal FROM instruments WHERE days > 0 GROUP BY 1, 2")
 def maturity_ladder(spark, d):
-    return rounded(portfolio.ladder(V.instruments(spark, d), H), "amount", digits=2)
+    return rounded(portfolio.ladder(V.instruments(spark, d, live=True), H), "amount", digits=2)
 
 
 @query(f"SELECT holder_id, {R(LIVE)} AS mean_days, count(*) FILTER (WHERE days <= 0) AS n_matured FROM instruments GROUP BY 1")
@@ -125,14 +125,14 @@ def boxplot_quartiles(spark, d):
 @query("SELECT holder_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, days, round(valuation_rate, 6) AS rate, CASE WHEN count(*) OVER (PARTITION BY holder_id, instrument_id) > 1 THEN instrument_id || ' #' || row_number() OVER (PARTITION BY holder_id, instrument_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) ELSE instrument_id END AS label, row_number() OVER (PARTITION BY holder_id ORDER BY days, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS position FROM instruments WHERE days > 0")
 def yield_curve_points(spark, d):
     """Live instruments by days to maturity, with labels that are unique within the holder."""
-    p = portfolio.suffix_duplicates(V.instruments(spark, d).where("days > 0"), H, "instrument_id", KEY)
+    p = portfolio.suffix_duplicates(V.instruments(spark, d, live=True), H, "instrument_id", KEY)
     p = p.withColumn("position", F.row_number().over(stats.Window.partitionBy(*H).orderBy("days", *KEY)))
-    return p.select(*H, *KEY, "days", F.round("valuation_rate", 6).alias("rate"), "label", "position")
+    return longs(p.select(*H, *KEY, "days", F.round("valuation_rate", 6).alias("rate"), "label", "position"), "position")
 
 
 @query(f"SELECT holder_id, n, round(slope, 9) + 0.0::DOUBLE AS slope, {R('icept')} AS intercept, {R('r2')} AS r2 FROM (SELECT holder_id, count(*) AS n, regr_slope(valuation_rate, days) AS slope, regr_intercept(valuation_rate, days) AS icept, CASE WHEN min(valuation_rate) = max(valuation_rate) THEN 0 ELSE regr_r2(valuation_rate, days) END AS r2, max(days) - min(days) AS spread FROM instruments WHERE days > 0 GROUP BY 1) WHERE n >= 3 AND spread >= 1")
 def yield_curve_regression(spark, d):
-    r = stats.regression(V.instruments(spark, d).where("days > 0"), H, "valuation_rate", "days")
+    r = stats.regression(V.instruments(spark, d, live=True), H, "valuation_rate", "days")
     return rounded(rounded(r, "intercept", "r2"), "slope", digits=9)
 
 
@@ -287,12 +287,12 @@ def dashboard_kpis(spark, d):
 @query(f"SELECT holder_id, {BUCKET} AS bucket, round(sum(market_value), 2) AS amount, count(*) AS n FROM instruments WHERE days > 0 GROUP BY ROLLUP (1, 2)")
 def ladder_rollup(spark, d):
     """An extension: the ladder with subtotals by holder and overall."""
-    g = V.instruments(spark, d).where("days > 0").withColumn("bucket", portfolio.bucket(F.col("days"))).rollup("holder_id", "bucket").agg(F.sum("market_value").alias("amount"), F.count(F.lit(1)).alias("n"))
+    g = V.instruments(spark, d, live=True).withColumn("bucket", portfolio.bucket(F.col("days"))).rollup("holder_id", "bucket").agg(F.sum("market_value").alias("amount"), F.count(F.lit(1)).alias("n"))
     return rounded(g, "amount", digits=2)
 
 
 @query(f"SELECT payment_frequency, {BUCKET} AS bucket, round(sum(market_value), 2) AS amount, count(DISTINCT instrument_id) AS n_instruments FROM instruments WHERE days > 0 GROUP BY CUBE (1, 2)")
 def ladder_cube(spark, d):
     """An extension: the ladder by payment frequency and bucket, with all subtotals."""
-    g = V.instruments(spark, d).where("days > 0").withColumn("bucket", portfolio.bucket(F.col("days"))).cube("payment_frequency", "bucket").agg(F.sum("market_value").alias("amount"), F.countDistinct("instrument_id").alias("n_instruments"))
+    g = V.instruments(spark, d, live=True).withColumn("bucket", portfolio.bucket(F.col("days"))).cube("payment_frequency", "bucket").agg(F.sum("market_value").alias("amount"), F.countDistinct("instrument_id").alias("n_instruments"))
     return rounded(g, "amount", digits=2)

@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def instruments(spark: SparkSession, sf_dir: str, issuer: bool = False) -> DataFrame:
-    """One row per holding of fixed income; days are from the as-of date to maturity."""
+def instruments(spark: SparkSession, sf_dir: str, issuer: bool = False, live: bool = False) -> DataFrame:
+    """One row per holding of fixed income; days are from the as-of date to maturity. `live` keeps what matures later than that, by a filter that the scan can use."""
     line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    if live:
+        line = line.where(F.col("l_shipdate") >= F.expr(f"timestamp_ntz'{AS_OF} 00:00:00' + interval 1 day"))
     d = line.join(orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     if issuer:
         d = d.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
