@@ -66,7 +66,7 @@ _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def _signature(tag: str, attrs: str) -> str:
-    """tag, and what of its attributes tells its role: !x for excluded, !m for main."""
+    """tag, and what of its attributes tells its role: !x for excluded, !h for a header (excluded outside articles), !m for main."""
     if not attrs or "=" not in attrs and "hidden" not in attrs:
         return tag
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
@@ -74,8 +74,10 @@ def _signature(tag: str, attrs: str) -> str:
     names = _NAMES.findall(_HUMP.sub(" ", f"{found.get('class', '')} {found.get('id', '')}").lower())
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
         mark = "!x"
-    elif role in EXCLUDED_ROLES or tag not in ("h1", "h2", "h3", "h4", "h5", "h6", "body", "html", "main", "article") and EXCLUDED_NAMES.intersection(names):
+    elif role in EXCLUDED_ROLES:
         mark = "!x"
+    elif tag not in ("h1", "h2", "h3", "h4", "h5", "h6", "body", "html", "main", "article") and (out := EXCLUDED_NAMES.intersection(names)):
+        mark = "!h" if out == {"header"} else "!x"
     elif tag == "article" and {"comment", "comments", "reply", "ad", "advert", "related", "promo"}.intersection(names):
         mark = "!x"
     elif role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
@@ -280,7 +282,7 @@ def main_slots(tokens, stats, pages: int) -> list[bool]:
             paths[i] = tuple(open_)
             inside[i] = any((p in ("article", "main") or x.endswith("!m")) and not x.endswith("!x") for p, x in zip(plain, names))
             in_article = "article" in plain
-            bad[i] = any(x.endswith("!x") or p in EXCLUDED_TAGS or p == "header" and not in_article for p, x in zip(plain, names))
+            bad[i] = any(x.endswith("!x") or p in EXCLUDED_TAGS or (p == "header" or x.endswith("!h")) and not in_article for p, x in zip(plain, names))
         elif t.startswith("/"):
             name = t[1:]
             for k in range(len(open_) - 1, -1, -1):
@@ -307,9 +309,12 @@ def main_slots(tokens, stats, pages: int) -> list[bool]:
     if any(o and x for o, x in zip(ok, inside)):
         return [o and x for o, x in zip(ok, inside)]
 
+    unlinked = [ok[i] and 2 * stats[i][2] < max(1, stats[i][1]) for i in range(n)]
+    constant = [stats[i][0] >= CONSTANT_PAGES and stats[i][3] == stats[i][4] for i in range(n)]
+    telling = any(u and not c for u, c in zip(unlinked, constant))  # else all pages are copies of one
+
     def varies(i):
-        s = stats[i]
-        return ok[i] and not (s[0] >= CONSTANT_PAGES and s[3] == s[4]) and 2 * s[2] < max(1, s[1])
+        return unlinked[i] and not (telling and constant[i])
 
     weight = [stats[i][1] - stats[i][2] if varies(i) else 0 for i in range(n)]
     region, total = None, sum(weight)
@@ -325,7 +330,13 @@ def main_slots(tokens, stats, pages: int) -> list[bool]:
         if best is None or 4 * inner[best] < 3 * total:
             break
         region, total = best, inner[best]
-    return [varies(i) and (region is None or region in paths[i]) for i in range(n)]
+    main = [varies(i) and (region is None or region in paths[i]) for i in range(n)]
+    # the page's own heading may stand before the region that holds its text
+    heading = lambda i: bool(paths[i]) and tokens[paths[i][-1]].split(".")[0].split("!")[0] == "h1"
+    if any(main) and not any(m and heading(i) for i, m in enumerate(main)):
+        for i in range(main.index(True)):
+            main[i] = heading(i) and varies(i)
+    return main
 
 
 def infer(pages: DataFrame) -> DataFrame:

@@ -119,6 +119,30 @@ def test_html_wrapper_finds_the_varying_text_where_no_article_is_marked(spark):
     assert got == {i: " ".join(v[i : i + 30]) + "\n" + " ".join(v[i + 30 : i + 50]) for i in range(12)}
 
 
+TEMPLATES = {
+    "blog": '<html><body class="home"><header id="masthead" class="site-header"><h1 class="site-title"><a href=/>My Site</a></h1><nav><ul><li><a>A</a></ul></nav></header><main><article id="post-{n}" class="post"><header class="entry-header"><h2>{t}</h2></header>'
+    '<div class="entry-content">{p}<div class="share">Share this</div></div><footer>Posted</footer></article><div id="comments" class="comments-area"><ol class="comment-list"><li><p>{c}</p></ol></div></main><aside><h2>Recent</h2>{c}</aside></body></html>',
+    "tables": '<HTML><BODY><DIV id="hdr"><A href=/>Home</A> | <A href=/a>About</A></DIV><TABLE><TR><TD class="left"><A>l1</A><BR><A>l2</A></TD><TD class="mid"><H1>{t}</H1>{p}</TD></TR></TABLE><DIV id="ftr">All rights reserved by us</DIV></BODY></HTML>',
+    "named": '<html><body><div class="top-nav"><a>a</a></div><div class="wrapper"><div class="content"><h1>{t}</h1><div class="text">{p}</div><div class="ad-slot">Buy {c}</div></div><div class="sidebar"><p>{c}</p></div></div><div class="cookie-banner">Cookies</div>'
+    '<form><p>Subscribe</p></form><div id="comments"><p>{c}</p></div></body></html>',
+    "sections": '<html><body><section class="hero"><h1>{t}</h1></section><section class="body">{p}</section><section class="newsletter"><p>Join our list</p></section></body></html>',
+}
+
+
+@pytest.mark.parametrize("name", list(TEMPLATES))
+def test_html_of_other_templates(spark, name):
+    r, v = random.Random(3), vocabulary()
+    text = lambda n: " ".join(r.choice(v) for _ in range(n))
+    rows, want = [], {}
+    for i in range(20):
+        title, ps = text(5), [text(r.randint(8, 50)) for _ in range(r.randint(1, 5))]
+        rows.append((i, "https://site.org/x", TEMPLATES[name].format(n=i, t=title, p="".join(f"<p>{p}</p>" for p in ps), c=text(12))))
+        want[i] = "\n".join([title, *ps])
+    got = html.extract(spark.createDataFrame([*rows, (99, "https://copies.org/", rows[0][2])] + [(100 + k, "https://copies.org/", rows[0][2]) for k in range(7)], "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.where("page_id < 99").collect()} == want
+    assert all(want[0].split("\n")[-1] in r.text for r in got.where("page_id >= 99").collect())
+
+
 def test_html_mismatches_become_optional_and_repeated_groups():
     w = html.Wrapper()
     for body in ("<h1>a</h1><p>x</p><p>y</p>", "<h1>b</h1><h2>s</h2><p>z</p>", "<h1>c</h1><p>q</p><hr><table><tr><td>1</td></tr></table>"):
