@@ -159,7 +159,7 @@ def fold(tokens: list[str], longest: int = 8) -> tuple[tuple[str, ...], list[int
         while i < n:
             j = i + size
             if j + size <= n and out[i:j] == out[j : j + size] and not all(t.startswith("/") for t in out[i:j]) and not BARE.intersection(out[i:j]):
-                while out[i:j] == out[j : j + size] and j + size <= n:
+                while out[i : i + size] == out[j : j + size] and j + size <= n:
                     j += size
                 new.append((len(kept), len(kept) + size))
                 place += [len(kept) + (k - i) % size for k in range(i, j)]
