@@ -32,7 +32,7 @@ from .components import components
 SHINGLE = 5
 SIMILARITY = (75, 100)
 K = 48
-BLOCK = 512
+BLOCK = 256
 #: Least estimated similarity of a pair that is verified: 4.6 standard errors of the estimate below the bound.
 ESTIMATE = 0.46
 
