@@ -27,7 +27,7 @@ def json_roundtrip(spark, d):
 def statements(spark, d):
     """Version-1 statement texts of all customers, with their instruments and cash."""
     i = V.instruments(spark, d, issuer=True)
-    item = F.struct(*[F.col(c) for c in KEY], F.col("instrument_id"), F.col("issuer"), F.col("issue_date"), F.col("maturity_date"), (F.col("face_rate") / 100).alias("face_rate"), (F.col("valuation_rate") / 100).alias("valuation_rate"), F.col("payment_frequency"), F.col("nominal_value"), F.col("market_value"))
+    item = F.struct(*[F.col(c) for c in KEY], F.col("instrument_id"), F.col("issuer"), F.col("issue_date"), F.col("maturity_date"), F.col("face_rate"), F.col("valuation_rate"), F.col("payment_frequency"), F.col("nominal_value"), F.col("market_value"))
     per = i.groupBy("holder_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     c = V.table(spark, d, "customer").select(F.col("c_custkey").alias("holder_id"), "c_name", "c_acctbal").join(per, "holder_id", "left")
     fixed = F.struct(F.lit("fixed_income").alias("section_type"), F.coalesce("items", F.array()).alias("items"))

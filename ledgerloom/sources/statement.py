@@ -49,7 +49,7 @@ def header(df: DataFrame, *keys: str) -> DataFrame:
     warnings = F.array_compact(F.array(F.when(~F.col("schema_version").eqNullSafe("1.0"), "unknown version"), F.when(F.exists("sections", lambda s: ~s["section_type"].isin(SECTIONS)), "unknown section"), F.when(F.col("sections").isNull(), "no sections")))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     return d.select(
-        *keys, F.coalesce("period.issue_date", "period.end_date").alias("fecha_extracto"), text("account_holder.full_name").alias("nombre_cliente"), text("account_holder.id_number").alias("nit"), text("account_holder.city").alias("ciudad"),
+        *keys, F.col("period.end_date").alias("fecha_extracto"), text("account_holder.full_name").alias("nombre_cliente"), text("account_holder.id_number").alias("nit"), text("account_holder.city").alias("ciudad"),
         F.coalesce("currency", F.lit("COP")).alias("currency"), "activos", or_zero(F.col("summary.total_assets")).alias("total_activos"), or_zero(F.col("summary.total_liabilities")).alias("total_pasivos"),
         F.when(total == 0, assets).otherwise(total).alias("total_portafolio"), warnings.alias("warnings"),
     )
@@ -61,7 +61,7 @@ def _items(df: DataFrame, kind: str, keys: tuple[str, ...]) -> DataFrame:
 
 def instruments(df: DataFrame, *keys: str) -> DataFrame:
     i = _items(df, "fixed_income", keys)
-    rate = lambda c: fraction_to_percent(F.col(f"i.{c}")).alias(c)
+    rate = lambda c: or_zero(F.col(f"i.{c}")).alias(c)  # noqa: E731  already percentages, unlike funds' returns
     return i.select(*keys, "pos", "i.instrument_id", "i.issuer", "i.issue_date", "i.maturity_date", "i.purchase_date", rate("face_rate"), rate("negotiated_rate"), rate("valuation_rate"), F.coalesce("i.payment_frequency", F.lit("")).alias("payment_frequency"), or_zero(F.col("i.nominal_value")).alias("nominal_value"), or_zero(F.col("i.market_value")).alias("market_value"))
 
 

@@ -125,7 +125,7 @@ def test_merge_words_folds_confidence(spark):
 
 STATEMENT = """{"schema_version": "1.0", "account_holder": {"full_name": "Demo"}, "period": {"start_date": "2026-04-01", "end_date": "2026-04-30", "issue_date": null}, "summary": {"total_assets": null, "net_worth": 0},
 "sections": [{"section_type": "cash_balance", "items": [{"account_id": "1", "total": 5}, {"account_id": "2", "total": "oops"}]},
-{"section_type": "fixed_income", "subtotal": 300, "items": [{"instrument_id": "A", "face_rate": 0.0913, "market_value": 100, "maturity_date": "2026-05-20"}, {"instrument_id": "B", "market_value": 120}]},
+{"section_type": "fixed_income", "subtotal": 300, "items": [{"instrument_id": "A", "face_rate": 9.13, "market_value": 100, "maturity_date": "2026-05-20"}, {"instrument_id": "B", "market_value": 120}]},
 {"section_type": "investment_fund", "fund": {"name": "F1"}, "movements": {"new_balance": 7}, "historical_returns": {"monthly": 0.0335}}, {"section_type": "investment_fund", "fund": {"name": "F2"}, "movements": {"new_balance": 9}},
 {"section_type": "transactions", "account_id": "X", "items": [{"date": "2026-04-02", "debit": 10}, {"date": "2026-04-03", "credit": 25, "balance_after": 15}]},
 {"section_type": "transactions", "account_id": "Y", "items": [{"date": "2026-04-02", "debit": 10}], "totals": {"debits": 1, "credits": null}}, {"section_type": "odd"}]}"""
