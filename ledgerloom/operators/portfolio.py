@@ -157,12 +157,12 @@ def status(kpi: Column, x: Column, category: Column) -> Column:
 def fund_sharpe(returns: DataFrame, by: list[str], config: FinanceConfig = FinanceConfig()) -> DataFrame:
     """From (by, horizon, pct): the annual return, the deviation of the horizons' returns and the Sharpe ratio.
 
-    The annual return is that of the first horizon, in byte order, whose name contains 'ano' or 'ultimo año'; without one, the mean.
+    The annual return is that of the first horizon, in byte order, whose name contains 'ano' or 'ultimo año'; without one, or where it is 0, the mean.
     """
     h = F.lower("horizon")
     yearly = F.contains(h, F.lit("ano")) | F.contains(h, F.lit("ultimo año"))
     g = returns.groupBy(*by).agg(F.min_by(F.when(yearly, F.col("pct")), F.when(yearly, F.col("horizon"))).alias("picked"), F.avg("pct").alias("mean"), or_zero(F.stddev_samp("pct")).alias("sigma"), F.count(F.lit(1)).alias("n_horizons"))
-    g = g.select(*by, "n_horizons", F.coalesce("picked", "mean").alias("annual_return"), "sigma")
+    g = g.select(*by, "n_horizons", F.when(or_zero(F.col("picked")) != 0, F.col("picked")).otherwise(F.col("mean")).alias("annual_return"), "sigma")
     return g.withColumn("sharpe", ratio(F.col("annual_return") - config.risk_free * 100, F.col("sigma")))
 
 

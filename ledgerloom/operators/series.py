@@ -44,10 +44,9 @@ def real_return(grown: DataFrame, fund: Column | None = None) -> DataFrame:
 
 
 def trend(series: DataFrame, by: list[str]) -> DataFrame:
-    """An alert on the change from the first total, which must be above 0, to the last."""
+    """The change in percent from the first total, which must be above 0, to the last."""
     g = series.groupBy(*by).agg(F.min_by("total", "period").alias("first"), F.max_by("total", "period").alias("last"), F.count(F.lit(1)).alias("n")).where("n >= 2 and first > 0")
-    pct = 100 * (F.col("last") - F.col("first")) / F.col("first")
-    return g.select(*by, "n", pct.alias("change_pct"), F.when(pct >= 0, "INFO").otherwise("WARNING").alias("type"), F.when(pct >= 0, "Crecimiento").otherwise("Caida").alias("direction"))
+    return g.select(*by, "n", (100 * (F.col("last") - F.col("first")) / F.col("first")).alias("change_pct"), F.lit("INFO").alias("type"))
 
 
 def account_totals(tx: DataFrame, by: list[str]) -> DataFrame:

@@ -79,10 +79,9 @@ class Analysis:
     def alerts(self) -> DataFrame:
         """(statement_id, seq, type, message) in order of the rules, growth last."""
         shares = self.composition().withColumnRenamed("statement_id", "holder_id")
-        a = alerts.messages(self.instruments, ["pos"], shares, self.fund_returns().withColumnRenamed("statement_id", "holder_id")).withColumnRenamed("holder_id", "statement_id")
+        a = alerts.messages(self.instruments, ["pos"], shares, self.funds.withColumnRenamed("statement_id", "holder_id")).withColumnRenamed("holder_id", "statement_id")
         t = series.trend(self.series, ID)
-        text = F.concat("direction", F.lit(" del portafolio: "), F.format_string("%.6f", F.abs("change_pct")), F.lit("% en "), F.col("n").cast("string"), F.lit(" periodos"))
-        return a.unionByName(t.select(*ID, F.lit(5).alias("seq"), "type", text.alias("message")))
+        return a.unionByName(t.select(*ID, F.lit(5).alias("seq"), "type", alerts.growth_message("change_pct", "n").alias("message")))
 
     def findings(self) -> DataFrame:
         total = F.aggregate(F.map_values("activos"), F.lit(0.0), lambda a, v: a + v)

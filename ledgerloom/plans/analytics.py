@@ -165,14 +165,14 @@ def fisher_real_return(spark, d):
     return rounded(series.real_return(series.growth(V.history(spark, d), S).where("n >= 2")).select("segment", "real_return_pct"), "real_return_pct")
 
 
-@query(f"SELECT segment, count(*) AS n, {R('100 * (arg_max(total, period) - arg_min(total, period)) / arg_min(total, period)')} AS change_pct, CASE WHEN arg_max(total, period) >= arg_min(total, period) THEN 'INFO' ELSE 'WARNING' END AS type, CASE WHEN arg_max(total, period) >= arg_min(total, period) THEN 'Crecimiento' ELSE 'Caida' END AS direction FROM history GROUP BY 1 HAVING count(*) >= 2 AND arg_min(total, period) > 0")
+@query(f"SELECT segment, count(*) AS n, {R('100 * (arg_max(total, period) - arg_min(total, period)) / arg_min(total, period)')} AS change_pct, 'INFO' AS type FROM history GROUP BY 1 HAVING count(*) >= 2 AND arg_min(total, period) > 0")
 def trend_alert(spark, d):
     return rounded(series.trend(V.history(spark, d), S), "change_pct")
 
 
 # ---------------------------------------------------------------- funds and accounts
 
-SHARPE = "f AS (SELECT holder_id, count(*) AS n_horizons, coalesce(arg_min(pct, horizon) FILTER (WHERE lower(horizon) LIKE '%ano%' OR lower(horizon) LIKE '%ultimo año%'), avg(pct)) AS ar, coalesce(stddev_samp(pct), 0) AS sigma FROM fund_returns GROUP BY 1)"
+SHARPE = "f AS (SELECT holder_id, count(*) AS n_horizons, coalesce(nullif(arg_min(pct, horizon) FILTER (WHERE lower(horizon) LIKE '%ano%' OR lower(horizon) LIKE '%ultimo año%'), 0), avg(pct)) AS ar, coalesce(stddev_samp(pct), 0) AS sigma FROM fund_returns GROUP BY 1)"
 
 
 @query(f"{SHARPE} SELECT holder_id, n_horizons, {R('ar')} AS annual_return, {R('sigma')} AS sigma, {R('coalesce((ar - 9.25) / nullif(sigma, 0), 0)')} AS sharpe FROM f")
@@ -209,7 +209,7 @@ def outlier_alerts(spark, d):
     return rounded(alerts.outliers(V.instruments(spark, d), KEY), "valuation_rate")
 
 
-@query(f"{OUT}, a AS (SELECT {KEYS}, row_number() OVER (PARTITION BY holder_id ORDER BY {KEYS}) AS pos FROM instruments WHERE valuation_rate > 0), b AS (SELECT *, row_number() OVER (PARTITION BY holder_id ORDER BY {KEYS}) AS pos FROM instruments), h AS (SELECT hits.holder_id, pos, valuation_rate AS v FROM hits JOIN a USING ({KEYS})) SELECT holder_id, {KEYS}, instrument_id, round(v, 6) AS valuation_rate FROM b JOIN h USING (holder_id, pos)")
+@query(f"{OUT}, a AS (SELECT {KEYS}, row_number() OVER (PARTITION BY holder_id ORDER BY {KEYS}) AS pos FROM instruments WHERE valuation_rate > 0), b AS (SELECT *, row_number() OVER (PARTITION BY holder_id ORDER BY {KEYS}) AS pos FROM instruments), h AS (SELECT hits.holder_id, pos FROM hits JOIN a USING ({KEYS})) SELECT holder_id, {KEYS}, instrument_id, round(valuation_rate, 6) + 0.0::DOUBLE AS valuation_rate FROM b JOIN h USING (holder_id, pos)")
 def outlier_alerts_compat(spark, d):
     return rounded(alerts.outliers(V.instruments(spark, d), KEY, compat=True), "valuation_rate")
 
@@ -224,22 +224,20 @@ def low_rate_alerts(spark, d):
     return rounded(alerts.low_rates(V.instruments(spark, d)).select(*H, *KEY, "instrument_id", "face_rate"), "face_rate")
 
 
-@query("SELECT holder_id, horizon, round(pct, 6) AS pct FROM fund_returns WHERE pct < 0.25")
+@query("SELECT holder_id, name, round(returns, 6) AS returns FROM funds WHERE returns < 0")
 def negative_fund_alerts(spark, d):
-    """Event values are never negative; returns below a quarter of a percent stand for losses, after the same shift on either side."""
-    shifted = V.fund_returns(spark, d).withColumn("pct", F.col("pct") - 0.25)
-    return rounded(alerts.negative_returns(shifted).withColumn("pct", F.col("pct") + 0.25), "pct")
+    return rounded(alerts.negative_returns(V.funds(spark, d)).select("holder_id", "name", "returns"), "returns")
 
 
-@query(f"""{OUT}, {SHARES} SELECT holder_id, 1 AS seq, 'WARNING' AS type, 'Tasa atipica en ' || instrument_id || ': ' || printf('%.6f', valuation_rate) AS message FROM hits UNION ALL SELECT holder_id, 2, 'WARNING', 'Concentracion alta en ' || asset || ': ' || printf('%.6f', pct) FROM shares WHERE pct > 80
-UNION ALL SELECT holder_id, 3, 'CRITICAL', 'Rendimiento negativo en ' || horizon || ': ' || printf('%.6f', pct) FROM fund_returns WHERE pct < 0 UNION ALL SELECT holder_id, 4, 'INFO', 'Tasa facial baja en ' || instrument_id || ': ' || printf('%.6f', face_rate) FROM instruments WHERE face_rate > 0 AND face_rate < 5""")
+@query(f"""{OUT}, {SHARES} SELECT holder_id, 1 AS seq, 'WARNING' AS type, 'Tasa de valoracion atipica en ' || instrument_id || ': ' || printf('%.6f', valuation_rate) || '%' AS message FROM hits UNION ALL SELECT holder_id, 2, 'WARNING', 'Alta concentracion en ' || asset || ': ' || printf('%.6f', pct) || '%' FROM shares WHERE pct > 80
+UNION ALL SELECT holder_id, 3, 'CRITICAL', 'Rendimiento negativo en fondo: ' || name FROM funds WHERE returns < 0 UNION ALL SELECT holder_id, 4, 'INFO', 'Tasa facial baja en ' || instrument_id || ': ' || printf('%.6f', face_rate) || '%' FROM instruments WHERE face_rate > 0 AND face_rate < 5""")
 def alerts_all(spark, d):
-    return alerts.messages(V.instruments(spark, d), KEY, portfolio.composition(V.composition(spark, d), H), V.fund_returns(spark, d))
+    return alerts.messages(V.instruments(spark, d), KEY, portfolio.composition(V.composition(spark, d), H), V.funds(spark, d))
 
 
 @query("""i AS (SELECT holder_id, sum(market_value) AS s FROM instruments GROUP BY 1), st AS (SELECT c_custkey AS holder_id, c_name AS client, c_acctbal AS total, s FROM customer LEFT JOIN i ON holder_id = c_custkey)
-SELECT holder_id, 'missing client' AS rule, '' AS detail FROM st WHERE coalesce(client, '') = '' UNION ALL SELECT holder_id, 'total not above zero', '' FROM st WHERE NOT total > 0 UNION ALL SELECT holder_id, 'no fixed income', '' FROM st WHERE s IS NULL
-UNION ALL SELECT holder_id, 'assets do not add up', '' FROM st WHERE total * 100 > 0 AND abs(s - total * 100) > 0.05 * total * 100 UNION ALL SELECT holder_id, 'market value not above zero', instrument_id FROM instruments WHERE NOT market_value > 0""")
+SELECT holder_id, 'Nombre del cliente no encontrado' AS rule, '' AS detail FROM st WHERE coalesce(client, '') = '' UNION ALL SELECT holder_id, 'Total portafolio es 0 o negativo', '' FROM st WHERE NOT total > 0 UNION ALL SELECT holder_id, 'No se encontraron instrumentos de renta fija', '' FROM st WHERE s IS NULL
+UNION ALL SELECT holder_id, 'Suma de activos difiere del total en mas del 5%', '' FROM st WHERE total * 100 > 0 AND abs(s - total * 100) > 0.05 * total * 100 UNION ALL SELECT holder_id, 'Instrumento tiene valor mercado <= 0', instrument_id FROM instruments WHERE NOT market_value > 0""")
 def validate_rules(spark, d):
     """Customers as statements: the balance is the total, and a hundred times it what the assets should add up to."""
     i = V.instruments(spark, d)

@@ -99,7 +99,7 @@ def days_between(spark, d):
     return longs(i, "term")
 
 
-@query("f AS (SELECT holder_id, coalesce(arg_min(pct, horizon) FILTER (WHERE lower(horizon) LIKE '%ano%' OR lower(horizon) LIKE '%ultimo año%'), avg(pct)) AS ar, coalesce(stddev_samp(pct), 0) AS sigma FROM fund_returns GROUP BY 1), s AS (SELECT holder_id, coalesce((ar - 9.25) / nullif(sigma, 0), 0) AS x FROM f) SELECT holder_id, CASE WHEN x > 1.5 THEN 'positive' WHEN x >= 0 THEN 'warning' ELSE 'negative' END AS status FROM s")
+@query("f AS (SELECT holder_id, coalesce(nullif(arg_min(pct, horizon) FILTER (WHERE lower(horizon) LIKE '%ano%' OR lower(horizon) LIKE '%ultimo año%'), 0), avg(pct)) AS ar, coalesce(stddev_samp(pct), 0) AS sigma FROM fund_returns GROUP BY 1), s AS (SELECT holder_id, coalesce((ar - 9.25) / nullif(sigma, 0), 0) AS x FROM f) SELECT holder_id, CASE WHEN x > 1.5 THEN 'positive' WHEN x >= 0 THEN 'warning' ELSE 'negative' END AS status FROM s")
 def kpi_status(spark, d):
     f = portfolio.fund_sharpe(V.fund_returns(spark, d), ["holder_id"])
     return f.select("holder_id", portfolio.status(F.lit("sharpe"), F.col("sharpe"), F.lit(None).cast("string")).alias("status"))

@@ -40,7 +40,7 @@ def cash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def funds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("holder_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("new_balance"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("holder_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("new_balance"), (F.col("s_acctbal") / 10).alias("returns"))
 
 
 def fund_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ instruments AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey
     l_extendedprice AS market_value, datediff('day', DATE '{AS_OF}', l_shipdate::DATE)::INTEGER AS days, CASE l_returnflag WHEN 'A' THEN 'AV' WHEN 'N' THEN 'MV' ELSE 'TV' END AS payment_frequency, s_name AS issuer
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey),
 cash AS (SELECT c_custkey AS holder_id, c_acctbal AS total FROM customer),
-funds AS (SELECT s_suppkey AS holder_id, s_name AS name, s_acctbal AS new_balance FROM supplier),
+funds AS (SELECT s_suppkey AS holder_id, s_name AS name, s_acctbal AS new_balance, s_acctbal / 10 AS returns FROM supplier),
 fund_returns AS (SELECT user_id AS holder_id, CASE event_type WHEN 'view' THEN 'Mensual' WHEN 'click' THEN 'Semestral' WHEN 'signup' THEN 'YTD' WHEN 'purchase' THEN 'Ultimo Año' ELSE '2 Años' END AS horizon, avg(value) / 100 AS pct
     FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase', 'error') GROUP BY 1, 2),
 history AS (SELECT c_mktsegment AS segment, date_trunc('month', o_orderdate)::DATE AS period, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),

@@ -5,6 +5,7 @@ import json
 
 import pytest
 
+from ledgerloom.operators import alerts
 from ledgerloom.plans.analysis import Analysis
 from ledgerloom.sources import statement
 
@@ -69,7 +70,7 @@ def test_composition_and_summaries(done):
 
 def test_alerts_findings_and_charts(done, tmp_path):
     assert [(r.statement_id, r.seq, r.type, r.message) for r in done.alerts().collect()] == [("one", 5, "INFO", "Crecimiento del portafolio: 4.699612% en 13 periodos")]
-    assert {(r.statement_id, r.rule) for r in done.findings().collect()} == {("bare", "missing client"), ("bare", "total not above zero"), ("bare", "no fixed income")}
+    assert {(r.statement_id, r.rule) for r in done.findings().collect()} == {("bare", x) for x in (alerts.NO_CLIENT, alerts.NO_TOTAL, alerts.NO_FIXED)}
     c = {n: d.where("statement_id = 'one'").collect() for n, d in done.charts().items()}
     assert sorted((r.days, r.valuation_rate) for r in c["yield_curve"]) == [(20, 12.41), (32, 11.36)] and not c["yield_regression"] and not c["boxplot"]
     assert len(c["pareto"]) == 5 and len(c["drawdown"]) == 13 and len(c["dashboard"]) == 8 and {r.kpi: r.status for r in c["dashboard"]}["hhi"] == "warning"

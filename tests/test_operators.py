@@ -64,15 +64,15 @@ def test_outliers_and_alerts(spark):
     d = spark.createDataFrame(rows, "holder_id string, pos int, instrument_id string, valuation_rate double, face_rate double")
     assert [r.instrument_id for r in alerts.outliers(d, ["pos"]).collect()] == ["odd"] == [r.instrument_id for r in alerts.outliers(d, ["pos"], compat=True).collect()]
     shares = portfolio.composition(spark.createDataFrame([("H", "x", 90.0), ("H", "y", 10.0)], "holder_id string, asset string, value double"), ["holder_id"])
-    returns = spark.createDataFrame([("H", "Mensual", -1.0)], "holder_id string, horizon string, pct double")
+    returns = spark.createDataFrame([("H", "F", -1.0), ("H", "G", 1.0)], "holder_id string, name string, returns double")
     got = alerts.messages(d, ["pos"], shares, returns).orderBy("seq").collect()
-    assert [(r.seq, r.type) for r in got] == [(1, "WARNING"), (2, "WARNING"), (3, "CRITICAL"), (4, "INFO")] and got[1].message.endswith("90.000000")
+    assert [(r.seq, r.type) for r in got] == [(1, "WARNING"), (2, "WARNING"), (3, "CRITICAL"), (4, "INFO")] and got[1].message.endswith("90.000000%") and got[2].message.endswith(": F")
 
 
 def test_validation(spark):
     s = spark.createDataFrame([(1, "", 10.0, 100.0, 100.0), (2, "b", 0.0, 100.0, 90.0), (3, "c", 1.0, 0.0, 5.0)], "holder_id int, client string, total double, total_assets double, assets_sum double")
     i = spark.createDataFrame([(1, "x", 1.0), (3, "y", 0.0)], "holder_id int, instrument_id string, market_value double")
-    assert sorted((r.holder_id, r.rule) for r in alerts.validate(s, i).collect()) == [(1, "missing client"), (2, "assets do not add up"), (2, "no fixed income"), (2, "total not above zero"), (3, "market value not above zero")]
+    assert sorted((r.holder_id, r.rule) for r in alerts.validate(s, i).collect()) == sorted([(1, alerts.NO_CLIENT), (2, alerts.SUM_DIFFERS), (2, alerts.NO_FIXED), (2, alerts.NO_TOTAL), (3, alerts.NO_VALUE)])
 
 
 def test_series(spark):
