@@ -32,8 +32,11 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 DICTIONARY_BYTES = 256 << 10
-#: Distinct words whose ids a Python worker remembers; beyond that it forgets them all and starts again.
-REMEMBERED_WORDS = 400_000
+#: Distinct words whose ids a Python worker remembers, at some 40 bytes each; beyond that it forgets them all and starts again.
+REMEMBERED_WORDS = 1_000_000
+#: Bytes of a word up to which it is remembered.
+LONGEST = 64
+_MULTIPLIERS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, LONGEST + 1), dtype=np.uint64) | np.uint64(1)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -76,9 +79,23 @@ class Encoder:
         return bool(drops and plain and bpe and all(t["content"].startswith("<") and " " not in t["content"] for t in spec["added_tokens"]))
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.pool = np.empty(1 << 20, np.int32)
-        self.off = np.zeros(REMEMBERED_WORDS + 1, np.int64)
+        """The remembered words: sorted 64-bit keys, a 32-bit check each, and where their ids lie in the pool."""
+        self.key, self.check = np.empty(0, np.uint64), np.empty(0, np.uint32)
+        self.begin, self.size = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.pool, self.used = np.empty(1 << 18, np.int32), 0
+
+    @staticmethod
+    def _keys(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, check and length of each word, from its bytes and random multipliers by position (universal hashing)."""
+        _, offsets, data = words.buffers()
+        off = np.frombuffer(offsets, np.int64, len(words) + 1, words.offset * 8)
+        raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.empty(0, np.uint8)
+        size = np.diff(off)
+        at = np.minimum(np.arange(len(raw)) - np.repeat(off[:-1] - off[0], size), LONGEST)
+        c = raw.astype(np.uint64) + np.uint64(1)
+        ends = off - off[0]
+        sums = [np.diff(np.r_[np.uint64(0), np.cumsum(c * r[at])][ends]) for r in _MULTIPLIERS]
+        return C.mix(sums[0] + size.astype(np.uint64)), (C.mix(sums[1]) >> np.uint64(32)).astype(np.uint32), size
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after the other, and how many each has. `words` starts with those of letters alone.
@@ -96,17 +113,33 @@ class Encoder:
         size.append(np.array([len(x) for x in rest], np.int64))
         return np.concatenate([np.empty(0, np.int32), *flat]), np.concatenate(size)
 
-    def _learn(self, words: list[str]) -> None:
-        words = sorted(words, key=lambda w: not self.LETTERS(w))
-        flat, size = self._ids(words)
-        n, end = len(self.at), int(self.off[len(self.at)])
-        while end + len(flat) > len(self.pool):
-            self.pool = np.r_[self.pool, np.empty_like(self.pool)]
-        if n + len(words) + 1 > len(self.off):
-            self.off = np.r_[self.off, np.zeros(max(len(self.off), len(words) + 1), np.int64)]
-        self.pool[end : end + len(flat)] = flat
-        self.off[n + 1 : n + 1 + len(words)] = end + np.cumsum(size)
-        self.at.update(zip(words, range(n, n + len(words))))
+    def _spans(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each of these distinct words lie in the pool; words not remembered are encoded first."""
+        key, check, size = self._keys(words)
+        at = np.searchsorted(self.key, key)
+        safe = np.minimum(at, max(0, len(self.key) - 1))
+        known = (self.key[safe] == key) & (self.check[safe] == check) if len(self.key) else np.zeros(len(key), bool)
+        begin, end = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        begin[known] = self.begin[safe[known]]
+        end[known] = begin[known] + self.size[safe[known]]
+        if len(new := np.flatnonzero(~known)):
+            spelled = words.take(pa.array(new)).to_pylist()
+            letters = np.array([self.LETTERS(w) is None for w in spelled])
+            order = np.argsort(letters, kind="stable")
+            new = new[order]
+            flat, n = self._ids([spelled[i] for i in order])
+            while self.used + len(flat) > len(self.pool):
+                self.pool = np.r_[self.pool, np.empty_like(self.pool)]
+            self.pool[self.used : self.used + len(flat)] = flat
+            stop = self.used + np.cumsum(n)
+            begin[new], end[new] = stop - n, stop
+            self.used += len(flat)
+            keep = new[size[new] < LONGEST]  # longer words are not told apart by their keys
+            keep = keep[np.argsort(key[keep])]
+            put = np.searchsorted(self.key, key[keep])
+            insert = lambda old, v: np.insert(old, put, v.astype(old.dtype))
+            self.key, self.check, self.begin, self.size = insert(self.key, key[keep]), insert(self.check, check[keep]), insert(self.begin, begin[keep]), insert(self.size, end[keep] - begin[keep])
+        return begin, end
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each text has."""
@@ -119,17 +152,13 @@ class Encoder:
         parts = pc.extract_regex(names, self.PEEL)
         core, tail = pc.struct_field(parts, "core"), pc.struct_field(parts, "tail")
         core, tail = pc.coalesce(core, names).dictionary_encode(), pc.fill_null(tail, "").dictionary_encode()
-        words = core.dictionary.to_pylist(), tail.dictionary.to_pylist()
-        if len(self.at) > REMEMBERED_WORDS:
+        if len(self.key) > REMEMBERED_WORDS:
             self.forget()
-        if new := {w for part in words for w in part if w not in self.at}:
-            self._learn(list(new))
-        find = self.at.__getitem__
-        pair = np.empty((len(core), 2), np.int64)
-        for k, part in enumerate((core, tail)):
-            pair[:, k] = np.fromiter(map(find, words[k]), np.int64, len(words[k]))[part.indices.to_numpy()]
+        spans = [self._spans(part.dictionary) for part in (core, tail)]
+        code_of = [part.indices.to_numpy() for part in (core, tail)]
+        begin, end = (np.column_stack([s[k][i] for s, i in zip(spans, code_of)]).ravel() for k in (0, 1))
         # the ids of the batch's distinct words, then of its texts
-        flat, size = self._gather(self.pool, self.off[pair.ravel()], self.off[pair.ravel() + 1])
+        flat, size = self._gather(self.pool, begin, end)
         ends = np.cumsum(size)[1::2]
         flat, size = self._gather(flat, np.r_[0, ends[:-1]][code] if len(ends) else code, ends[code] if len(ends) else code)
         return flat, np.diff(np.r_[0, np.cumsum(size)][off])
