@@ -142,7 +142,7 @@ PEAKS = "p AS (SELECT segment, period, total, row_number() OVER w - 1 AS positio
 S = ["segment"]
 
 
-@query(f"{PEAKS} SELECT segment, period, total, position, peak, {R('100 * (total - peak) / peak')} AS drawdown FROM p")
+@query(f"{PEAKS} SELECT segment, period, total, position, peak, {R('100 * (total - peak) / peak')} AS drawdown FROM p", dates=("period",))
 def running_peak_drawdown(spark, d):
     return rounded(longs(series.drawdowns(V.history(spark, d), S), "position"), "drawdown")
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +12,19 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str | None = None) -> Callable:
-    """Register a query under its function's name; `oracle` is SQL over the domain views."""
+def query(oracle: str | None = None, dates: tuple[str, ...] = ()) -> Callable:
+    """Register a query under its function's name; `oracle` is SQL over the domain views. The columns `dates` are given as ISO text on both sides."""
 
     def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark, d):
+            df = f(spark, d)
+            return df.withColumns({c: F.col(c).cast("string") for c in dates}) if dates else df
+
+        QUERIES[f.__name__] = run
         if oracle:
-            ORACLES[f.__name__] = views.sql(oracle)
+            sql = views.sql(oracle)
+            ORACLES[f.__name__] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in dates)}) FROM ({sql})" if dates else sql
         return f
 
     return add

@@ -119,7 +119,7 @@ HELD = "held AS (SELECT holder_id, round(sum(market_value), 2) AS rf, count(*) A
 CUSTOMERS = f"{HELD}, cu AS (SELECT c_custkey AS holder_id, c_name, c_nationkey, greatest(c_acctbal, 0) AS cash, rf, n FROM customer JOIN held ON holder_id = c_custkey)"
 
 
-@query(f"{CUSTOMERS} SELECT holder_id, c_name AS client, (holder_id + 900000000)::VARCHAR AS nit, 'Calle ' || c_nationkey AS address, 'C' || c_nationkey AS city, 'A' AS adviser, DATE '1998-06-30' AS end_date FROM cu")
+@query(f"{CUSTOMERS} SELECT holder_id, c_name AS client, (holder_id + 900000000)::VARCHAR AS nit, 'Calle ' || c_nationkey AS address, 'C' || c_nationkey AS city, 'A' AS adviser, DATE '1998-06-30' AS end_date FROM cu", dates=("end_date",))
 def parse_v1_header(spark, d):
     return T1.header(prepared(spark, d), "holder_id")
 
@@ -132,7 +132,7 @@ def parse_v1_summary(spark, d):
 RATE = "round({0}, 2) + 0.0::DOUBLE"
 
 
-@query(f"SELECT holder_id, instrument_id AS name, issue_date, maturity_date, issue_date AS purchase_date, round(face_rate, 2) + 0.0::DOUBLE AS face_rate, round(valuation_rate, 2) + 0.0::DOUBLE AS valuation_rate, payment_frequency AS period, nominal_value, market_value FROM instruments")
+@query(f"SELECT holder_id, instrument_id AS name, issue_date, maturity_date, issue_date AS purchase_date, round(face_rate, 2) + 0.0::DOUBLE AS face_rate, round(valuation_rate, 2) + 0.0::DOUBLE AS valuation_rate, payment_frequency AS period, nominal_value, market_value FROM instruments", dates=("issue_date", "maturity_date", "purchase_date"))
 def parse_v1_instruments(spark, d):
     i = T1.instruments(prepared(spark, d), "holder_id")
     return i.select("holder_id", "name", "issue_date", "maturity_date", "purchase_date", "face_rate", "valuation_rate", "period", "nominal_value", "market_value")
@@ -188,7 +188,7 @@ def labelled_assets(spark, d):
     return rounded(legacy.labelled_amounts(p, [a for a in legacy.ASSETS if a[0] != "FIC"], "holder_id"), "value", digits=2)
 
 
-@query("SELECT holder_id, instrument_id AS name, issue_date, maturity_date, round(face_rate, 2) + 0.0::DOUBLE AS face_rate, round(valuation_rate, 2) + 0.0::DOUBLE AS valuation_rate, market_value FROM instruments")
+@query("SELECT holder_id, instrument_id AS name, issue_date, maturity_date, round(face_rate, 2) + 0.0::DOUBLE AS face_rate, round(valuation_rate, 2) + 0.0::DOUBLE AS valuation_rate, market_value FROM instruments", dates=("issue_date", "maturity_date"))
 def legacy_instruments(spark, d):
     return legacy.positional_rows(prepared(spark, d), "holder_id").select("holder_id", "name", "issue_date", "maturity_date", "face_rate", "valuation_rate", "market_value")
 

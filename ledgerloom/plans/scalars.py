@@ -84,7 +84,7 @@ def fuzzy_match(spark, d):
     return V.table(spark, d, "documents").select("doc_id", text.fuzzy_match(t, "The OF").alias("en"), text.fuzzy_match(t, "que ción").alias("es"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, o_orderdate::DATE AS parsed, strftime(o_orderdate, '%Y-%m-%d') AS long_form FROM orders")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, o_orderdate::DATE AS parsed, strftime(o_orderdate, '%Y-%m-%d') AS long_form FROM orders", dates=("parsed",))
 def iso_dates(spark, d):
     o = V.table(spark, d, "orders").withColumn("dt", F.to_date("o_orderdate"))
     written = F.concat(F.lit("Fecha: "), F.date_format("dt", "d/M/yyyy"), F.lit(" (corte)"))

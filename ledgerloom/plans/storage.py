@@ -17,7 +17,7 @@ KEYS = ", ".join(KEY)
 ROW = "instrument_id string, issue_date date, maturity_date date, face_rate double, market_value double"
 
 
-@query(f"SELECT {KEYS}, instrument_id, issue_date, maturity_date, face_rate, market_value FROM instruments")
+@query(f"SELECT {KEYS}, instrument_id, issue_date, maturity_date, face_rate, market_value FROM instruments", dates=("issue_date", "maturity_date"))
 def json_roundtrip(spark, d):
     i = V.instruments(spark, d)
     text = F.to_json(F.struct("instrument_id", "issue_date", "maturity_date", "face_rate", "market_value"))
@@ -39,7 +39,7 @@ def statements(spark, d):
 
 
 @query("""i AS (SELECT holder_id, count(*) AS n, sum(market_value) AS mv, sum(face_rate) AS fr FROM instruments GROUP BY 1)
-SELECT c_custkey AS holder_id, c_name AS nombre_cliente, 'COP' AS currency, DATE '1998-06-30' AS fecha_extracto, round(coalesce(mv, 0) + c_acctbal, 2) AS total_portafolio, coalesce(n, 0) AS n_instruments, round(coalesce(mv, 0), 2) AS market_value, round(coalesce(fr, 0), 6) AS face_rates, round(c_acctbal, 2) AS cash FROM customer LEFT JOIN i ON holder_id = c_custkey""")
+SELECT c_custkey AS holder_id, c_name AS nombre_cliente, 'COP' AS currency, DATE '1998-06-30' AS fecha_extracto, round(coalesce(mv, 0) + c_acctbal, 2) AS total_portafolio, coalesce(n, 0) AS n_instruments, round(coalesce(mv, 0), 2) AS market_value, round(coalesce(fr, 0), 6) AS face_rates, round(c_acctbal, 2) AS cash FROM customer LEFT JOIN i ON holder_id = c_custkey""", dates=("fecha_extracto",))
 def load_statement_v1(spark, d):
     """Statements are parsed from their JSON and mapped; the total falls back to the assets."""
     s = statements(spark, d).select("holder_id", statement.parse(F.col("json")).alias("s")).select("holder_id", "s.*")
@@ -50,7 +50,7 @@ def load_statement_v1(spark, d):
     return rounded(rounded(out, "face_rates"), "total_portafolio", "market_value", "cash", digits=2)
 
 
-@query("SELECT segment, period, total FROM history")
+@query("SELECT segment, period, total FROM history", dates=("period",))
 def history_csv(spark, d):
     line = F.concat_ws(",", F.col("period").cast("string"), F.format_string(" %.2f ", "total"), F.lit(""), F.lit("1"), F.lit("2"), F.lit("3"), F.lit("4"))
     h = V.history(spark, d).select("segment", F.from_csv(line, HISTORY, {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("r"))
@@ -83,7 +83,7 @@ def instruments_export(spark, d):
     return i.select(*KEY, "instrument_id", sinks.two("market_value"), "payment_frequency")
 
 
-@query("SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 6) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
+@query("SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 6) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2", dates=("day",))
 def events_daily(spark, d):
     """An extension: the daily activity summary whose streaming form is in `streaming.events`."""
     return rounded(events.daily(V.table(spark, d, "events"), exact=True).select(F.to_date("window.start").alias("day"), "event_type", "n", "total", "users"), "total")
