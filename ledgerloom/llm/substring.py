@@ -95,8 +95,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     seen = C.stash(docs.mapInArrow(C.lean(look), "doc_id long, n_words long, sha string, seeds array<long>, wholes array<long>"), "substring-seen")
     long = seen.where(F.col("n_words") >= window).select("doc_id", "sha")
-    copies = long.groupBy("sha").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = C.stash(long.join(copies, "sha").where("doc_id > keeper").select("doc_id", "sha").distinct(), "substring-copies")
+    copies = C.stash(long.groupBy("sha").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "substring-classes")
+    later = C.stash(long.join(copies, "sha").where("doc_id > keeper").select("doc_id", "sha"), "substring-copies")
 
     # level 1: half-windows that two documents share
     marks = seen.where(F.col("n_words") >= window).join(later, ["doc_id", "sha"], "left_anti").select("doc_id", F.explode(F.arrays_zip("seeds", "wholes")).alias("m")).select("doc_id", F.col("m.seeds").alias("seed"), F.col("m.wholes").alias("whole"))
@@ -156,7 +156,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     cut = work.select("doc_id", "text", "covered").join(found, "doc_id", "left").where(F.size("covered") + F.coalesce(F.size("found"), F.lit(0)) > 0)
     cut = cut.mapInArrow(C.lean(remove), "doc_id long, sha string, gone long, kept_sha string, kept_text string")
     cut = cut.where("gone > 0").groupBy("doc_id", "sha").agg(F.first("gone").alias("gone"), F.first("kept_sha").alias("kept_sha"), F.first("kept_text").alias("kept_text"))
-    done = later.select("doc_id", "sha", F.lit(-1).cast("long").alias("gone"), F.lit(EMPTY).alias("kept_sha"), F.lit("").alias("kept_text")).unionByName(cut)
+    done = later.distinct().select("doc_id", "sha", F.lit(-1).cast("long").alias("gone"), F.lit(EMPTY).alias("kept_sha"), F.lit("").alias("kept_text")).unionByName(cut)
     return seen.select("doc_id", "n_words", "sha").join(done, ["doc_id", "sha"], "left").select(
         "doc_id", "n_words", F.when(F.col("gone") < 0, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256"), "kept_text"
     )
