@@ -176,3 +176,55 @@ def page_kind(blocks: Column, width: Column, height: Column) -> Column:
         .when(has(head, "extracto", "inversiones") & some(middle, "nombre", "nit", "total", "activos"), "RESUMEN").when(some(head, "defensor", "consumidor", "superintendencia"), "DESCONOCIDO")
         .when(has(upper, "fondo", "inversion"), "EXTRACTO_FONDOS").when(has(upper, "acciones", "valores") & some(upper, "nombre", "portafolio", "total"), "RESUMEN").otherwise("DESCONOCIDO")
     )
+
+
+# ---------------------------------------------------------------- values and places within a line or grid
+
+
+def half_text(blocks: Column, right: bool = False) -> Column:
+    """The text of the first half of a line's blocks (one at least), or of the rest."""
+    n = F.greatest(F.lit(1), F.floor(F.size(blocks) / 2)).cast("int")
+    return line_text(F.slice(blocks, n + 1, F.size(blocks)) if right else F.slice(blocks, F.lit(1), n))
+
+
+def first_money(blocks: Column) -> Column:
+    """The first amount with a $ and two decimals in a block, else in the whole line; empty without one."""
+    money = lambda s: F.regexp_extract(s, r"(\$\s*[\d.,]+[,.]\d{2})", 1)
+    return F.coalesce(F.try_element_at(F.filter(F.transform(blocks, lambda b: money(b["text"])), lambda m: m != ""), F.lit(1)), money(line_text(blocks)))
+
+
+def last_percent(blocks: Column) -> Column:
+    """The right-most block with a %, else the first percentage of the line; empty without one."""
+    hit = F.try_element_at(F.filter(F.transform(blocks, lambda b: b["text"]), lambda t: F.contains(t, F.lit("%"))), F.lit(-1))
+    return F.coalesce(hit, F.regexp_extract(line_text(blocks), r"(-?[\d.,]+\s*%)", 1))
+
+
+def percent_text(blocks: Column) -> Column:
+    """The block that holds a line's rate: with % and a digit, else a number before a % or E.A., else a short number with a comma; right-most first."""
+    last = lambda f: F.try_element_at(F.filter(F.transform(blocks, lambda b, i: F.struct(b["text"].alias("t"), F.get(blocks, i + 1)["text"].alias("after"))), f), F.lit(-1))["t"]
+    digit = lambda z: z["t"].rlike(r"\d")
+    marked = last(lambda z: digit(z) & F.contains(z["t"], F.lit("%")))
+    before = last(lambda z: digit(z) & F.coalesce(z["after"].rlike(r"^(%|(?i)e\.?a\.?)"), F.lit(False)))
+    return F.coalesce(marked, before, last(lambda z: digit(z) & F.contains(z["t"], F.lit(",")) & (F.length(z["t"]) < 10)))
+
+
+def column_at(x: Column, starts: Column) -> Column:
+    """The number, from 0, of the last column that starts at or before x; 0 before the first."""
+    return F.greatest(F.lit(0), F.size(F.filter(starts, lambda s: s <= x)) - 1)
+
+
+def cells(rows: Column, cols: Column, margin: int = 3) -> Column:
+    """Cell rectangles (row, col, x, y, w, h) between neighbouring ruled lines at `rows` and `cols` (sorted positions), inside a margin."""
+    spans = lambda a: F.filter(F.transform(a, lambda p, i: F.struct(i.alias("i"), (p + margin).alias("a"), (F.get(a, i + 1) - margin).alias("b"))), lambda s: s["b"] > s["a"])
+    across = spans(cols)
+    return F.flatten(F.transform(spans(rows), lambda r: F.transform(across, lambda c: F.struct(r["i"].alias("row"), c["i"].alias("col"), c["a"].alias("x"), r["a"].alias("y"), (c["b"] - c["a"]).alias("w"), (r["b"] - r["a"]).alias("h")))))
+
+
+def cell_texts(blocks: Column, grid: Column) -> Column:
+    """(row, col, text, confidence) of each cell: every block belongs to the cell it overlaps most, and to none without overlap."""
+    overlap = lambda b, c: F.greatest(F.lit(0), F.least(b["x"] + b["w"], c["x"] + c["w"]) - F.greatest(b["x"], c["x"])) * F.greatest(F.lit(0), F.least(b["y"] + b["h"], c["y"] + c["h"]) - F.greatest(b["y"], c["y"]))
+    best = lambda b: F.array_max(F.transform(grid, lambda c: F.struct(overlap(b, c).alias("area"), (-c["row"]).alias("r"), (-c["col"]).alias("c"))))
+    placed = F.filter(F.transform(blocks, lambda b: F.struct(best(b).alias("m"), b["x"].alias("x"), b["text"].alias("text"), b["confidence"].alias("conf"))), lambda p: p["m"]["area"] > 0)
+    own = lambda c: F.filter(placed, lambda p: (p["m"]["r"] == -c["row"]) & (p["m"]["c"] == -c["col"]))
+    cell = lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), F.array_join(F.transform(own(c), lambda p: p["text"]), " ").alias("text"), F.coalesce(F.try_divide(F.aggregate(own(c), F.lit(0.0), lambda a, p: a + p["conf"]), F.size(own(c))), F.lit(0.0)).alias("confidence"))
+    return F.transform(grid, cell)
