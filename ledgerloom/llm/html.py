@@ -34,6 +34,8 @@ from . import common as C
 SALT = 16
 #: Hosts whose wrappers a task holds at once; beyond that it passes them on and starts anew.
 HELD_HOSTS = 2000
+#: Alignments that a wrapper remembers.
+KNOWN_STREAMS = 5000
 #: A wrapper takes up no more tokens than this; pages that it does not cover are then judged by their own structure.
 WRAPPER_TOKENS = 4000
 #: Broadcast bound for the table of wrappers, checked before use; a larger table is joined by host instead.
@@ -187,6 +189,8 @@ class Wrapper:
     def place(self, tokens: tuple[str, ...]) -> list[int]:
         """Where in the wrapper each token of a folded stream matches; -1 where it does not."""
         if (found := self.known.get(tokens)) is None:
+            if len(self.known) > KNOWN_STREAMS:
+                self.known.clear()
             if tuple(self.tokens) == tokens:
                 found = list(range(len(tokens)))
             else:
