@@ -5,6 +5,7 @@ A page is one row with `blocks`, an array of (y, x, w, h, text, confidence). Eve
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,36 +15,66 @@ from pyspark.sql.window import Window
 from ..session import ship
 
 
-def greedy_groups(yc: list[int], x: list[int], tolerance: int = 20) -> list[tuple[int, list[int]]]:
-    """Members of lines over centres in ascending order: a block joins while it is within the tolerance of the line's running integer mean."""
-    out: list[tuple[int, list[int]]] = []
-    total, members = 0, []
-    for i, y in enumerate(yc):
-        if members and abs(y - total // len(members)) <= tolerance:
-            members.append(i)
-            total += y
+def _runs(*numbers: np.ndarray) -> np.ndarray:
+    """Where each run of equal neighbours begins, and the end."""
+    n = len(numbers[0])
+    change = np.zeros(n, bool)
+    for a in numbers:
+        change[1:] |= a[1:] != a[:-1]
+    change[:1] = True
+    return np.append(np.flatnonzero(change), n)
+
+
+def _members(groups: list[list[tuple[int, int]]], x: np.ndarray) -> list[np.ndarray]:
+    """Indexes of each group of index ranges, left to right. One range is in order already."""
+    out = []
+    for ranges in groups:
+        at = np.concatenate([np.arange(i, j) for i, j in ranges])
+        out.append(at if len(ranges) == 1 else at[np.argsort(x[at], kind="stable")])
+    return out
+
+
+def greedy_groups(yc, x, tolerance: int = 20) -> list[tuple[int, np.ndarray]]:
+    """Members of lines over centres in ascending order, equal ones by x: a block joins while it is within the tolerance of the line's running integer mean.
+
+    Blocks of one centre go together: when the first joins, the mean only moves towards the others.
+    """
+    yc, x = np.asarray(yc, np.int64), np.asarray(x, np.int64)
+    edge = _runs(yc)
+    groups, means = [], []
+    total = n = 0
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        y = int(yc[i])
+        if n and abs(y - total // n) <= tolerance:
+            groups[-1].append((i, j))
+            total, n = total + y * (j - i), n + j - i
         else:
-            if members:
-                out.append((total // len(members), members))
-            members, total = [i], y
-    if members:
-        out.append((total // len(members), members))
-    return [(y, sorted(m, key=lambda i: (x[i], i))) for y, m in out]
-
-
-def first_fit_groups(y: list[int], h: list[int], x: list[int]) -> list[tuple[int, list[int]]]:
-    """Members of lines over tops in ascending order: a block joins the first line whose middle is within max(14, 0.6 h) of its centre."""
-    lines: list[list] = []  # top, bottom, members
-    for i in range(len(y)):
-        centre, tolerance = y[i] + h[i] // 2, max(14, int(h[i] * 0.6))
+            groups.append([(i, j)])
+            means.append(0)
+            total, n = y * (j - i), j - i
+        means[-1] = total // n
+    return list(zip(means, _members(groups, x)))
+
+
+def first_fit_groups(y, h, x) -> list[tuple[int, np.ndarray]]:
+    """Members of lines over tops in ascending order: a block joins the first line whose middle is within max(14, 0.6 h) of its centre.
+
+    Blocks of one top and height go together: when the first joins a line, the line's middle only moves towards the others.
+    """
+    y, h, x = (np.asarray(a, np.int64) for a in (y, h, x))
+    edge = _runs(y, h)
+    lines: list[list] = []  # top, bottom, ranges
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        top, bottom = int(y[i]), int(y[i] + h[i])
+        centre, tolerance = top + int(h[i]) // 2, max(14, int(h[i] * 0.6))
         for line in lines:
             if abs(centre - (line[0] + line[1]) // 2) <= tolerance:
-                line[0], line[1] = min(line[0], y[i]), max(line[1], y[i] + h[i])
-                line[2].append(i)
+                line[0], line[1] = min(line[0], top), max(line[1], bottom)
+                line[2].append((i, j))
                 break
         else:
-            lines.append([y[i], y[i] + h[i], [i]])
-    found = [((a + b) // 2, sorted(m, key=lambda i: (x[i], i))) for a, b, m in lines]
+            lines.append([top, bottom, [(i, j)]])
+    found = list(zip([(a + b) // 2 for a, b, _ in lines], _members([r for _, _, r in lines], x)))
     return sorted(found, key=lambda line: line[0])
 
 
@@ -62,12 +93,20 @@ def with_lines(pages: DataFrame, first_fit: bool = False, tolerance: int = 20) -
 
     def group(it):
         for batch in it:
-            found = []
-            for page in batch.column(n).to_pylist():
-                k, h, x = ([z[c] for z in page or []] for c in ("k", "h", "x"))
-                lines = first_fit_groups(k, h, x) if first_fit else greedy_groups(k, x, tolerance)
-                found.append([{"y": y, "at": m} for y, m in lines])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.struct([("y", pa.int32()), ("at", pa.list_(pa.int32()))])))], names=[*batch.schema.names, "_g"])
+            pages = batch.column(n)
+            off = pages.offsets.to_numpy()
+            k, h, x = (pages.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            ys, sizes, ats, per = [], [], [], []
+            for i, j in zip(off[:-1].tolist(), off[1:].tolist()):
+                lines = first_fit_groups(k[i:j], h[i:j], x[i:j]) if first_fit else greedy_groups(k[i:j], x[i:j], tolerance)
+                per.append(len(lines))
+                ys += [y for y, _ in lines]
+                ats += [m for _, m in lines]
+            sizes = [len(m) for m in ats]
+            flat = np.concatenate(ats) if ats else np.empty(0, np.int64)
+            at = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat.astype(np.int32)))
+            line = pa.StructArray.from_arrays([pa.array(ys, pa.int32()), at], names=["y", "at"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)].astype(np.int32)), line)], names=[*batch.schema.names, "_g"])
 
     d = d.mapInArrow(group, T.StructType([*d.schema.fields, T.StructField("_g", T._parse_datatype_string("array<struct<y:int,at:array<int>>>"))]))
     lines = F.transform("_g", lambda g: F.struct(g["y"].alias("y"), F.transform(g["at"], lambda i: F.get(F.col("_b"), i)["b"]).alias("blocks")))

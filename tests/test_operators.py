@@ -3,6 +3,8 @@
 import datetime as dt
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import alerts, layout, portfolio, series, stats
@@ -102,8 +104,37 @@ def test_duplicate_names(spark):
 
 
 def test_lines_of_jittered_blocks():
-    assert [m for _, m in layout.greedy_groups([10, 12, 29, 31, 60], [5, 1, 0, 2, 0])] == [[2, 1, 3, 0], [4]]
-    assert [m for _, m in layout.first_fit_groups([0, 3, 8, 40, 44], [20] * 5, [9, 1, 5, 2, 1])] == [[1, 2, 0], [4, 3]]
+    plain = lambda groups: [m.tolist() for _, m in groups]
+    assert plain(layout.greedy_groups([10, 12, 29, 31, 60], [5, 1, 0, 2, 0])) == [[2, 1, 3, 0], [4]]
+    assert plain(layout.first_fit_groups([0, 3, 8, 40, 44], [20] * 5, [9, 1, 5, 2, 1])) == [[1, 2, 0], [4, 3]]
+    assert plain(layout.greedy_groups([], [])) == plain(layout.first_fit_groups([], [], [])) == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 120), st.sampled_from([10, 20, 30]), st.integers(0, 50)), max_size=40))
+def test_lines_against_block_by_block_folds(blocks):
+    """Runs of equal blocks at once give what one block at a time gives."""
+    b = sorted((y, x, h) for y, h, x in blocks)
+    lines, out = [], []
+    for i, (y, x, h) in enumerate(b):  # first fit
+        for line in lines:
+            if abs(y + h // 2 - (line[0] + line[1]) // 2) <= max(14, int(h * 0.6)):
+                line[0], line[1] = min(line[0], y), max(line[1], y + h)
+                line[2].append(i)
+                break
+        else:
+            lines.append([y, y + h, [i]])
+    want = sorted((((a + z) // 2, sorted(m, key=lambda i: (b[i][1], i))) for a, z, m in lines), key=lambda g: g[0])
+    assert [(y, m.tolist()) for y, m in layout.first_fit_groups([v[0] for v in b], [v[2] for v in b], [v[1] for v in b])] == want
+    total, members = 0, []
+    for i, (y, _, _) in enumerate(b):  # greedy
+        if members and abs(y - total // len(members)) <= 20:
+            members.append(i)
+            total += y
+        else:
+            members, total = [i], y
+            out.append(members)
+    assert [m.tolist() for _, m in layout.greedy_groups([v[0] for v in b], [v[1] for v in b])] == [sorted(m, key=lambda i: (b[i][1], i)) for m in out]
 
 
 def test_lines_regions_and_columns(spark):
