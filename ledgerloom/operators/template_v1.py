@@ -122,8 +122,12 @@ def instruments(d: DataFrame, *keys: str) -> DataFrame:
     r = r.withColumns({"name": name, "period": F.when(F.upper(period).isin(PERIODS), F.upper(period)).when(period.isNotNull(), "TV")})
     at = lambda c, i: F.get(F.col(c), F.lit(i))
     value = F.coalesce(at("amounts", 1), at("amounts", 0))
-    r = r.where((F.col("name") != "") & (F.size("dates") >= 2) & (F.size("amounts") >= 1) & (F.size("rates") >= 1) & (value > 0))
-    return r.select(*keys, "pos", "name", *[F.try_to_date(at("dates", i), "yyyy-MM-dd").alias(c) for i, c in enumerate(("issue_date", "maturity_date", "purchase_date"))], *[at("rates", i).alias(c) for i, c in enumerate(("face_rate", "negotiated_rate", "valuation_rate"))], "period", at("amounts", 0).alias("nominal_value"), value.alias("market_value"))
+    day = lambda i: F.try_to_date(at("dates", i), "yyyy-MM-dd")
+    fields = {"name": F.col("name"), "issue_date": day(0), "maturity_date": day(1), "purchase_date": day(2), "face_rate": at("rates", 0), "negotiated_rate": at("rates", 1), "valuation_rate": at("rates", 2), "period": F.col("period"), "nominal_value": at("amounts", 0), "market_value": value}
+    item = F.struct(*[v.alias(k) for k, v in fields.items()], F.size("dates").alias("nd"), F.size("rates").alias("nr"))
+    # the test stands inside the generator: as a filter it would be pushed below, and every pattern matched twice
+    r = r.select(*keys, "pos", F.explode(F.filter(F.array(item), lambda z: (z["name"] != "") & (z["nd"] >= 2) & (z["nr"] >= 1) & (z["market_value"] > 0))).alias("z"))
+    return r.select(*keys, "pos", *[F.col(f"z.{k}") for k in fields])
 
 
 def funds(d: DataFrame, *keys: str) -> DataFrame:
