@@ -1,4 +1,4 @@
-"""Event streams: daily activity and account totals, the same code for batch and Structured Streaming. An extension of the reference's batch scope."""
+"""Event streams: daily activity and account totals, the same code for batch and Structured Streaming. An extension."""
 
 from __future__ import annotations
 
