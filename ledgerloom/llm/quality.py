@@ -91,12 +91,11 @@ def rules() -> list[Rule]:
 
 def order(docs: DataFrame, which: list[Rule]) -> list[tuple[Rule, float, float]]:
     """The rules with their rejection share and seconds, best rejection per cost first. Reads the sample only."""
-    rows = [(r.doc_id, r.text) for r in C.sample(docs.select("doc_id", "text"), SAMPLE, "doc_id").collect()]
-    if not rows:
-        return [(r, 0.0, 0.0) for r in which]
-    local = measured(docs.sparkSession.createDataFrame(rows, "doc_id long, text string").coalesce(1)).cache()
+    local = measured(C.sample(docs.select("doc_id", "text"), SAMPLE, "doc_id").coalesce(1)).cache()
     try:
-        local.count()
+        n = local.count()
+        if not n:
+            return [(r, 0.0, 0.0) for r in which]
         seconds, gone = [], []
         for r in which:
             began = time.perf_counter()
@@ -105,7 +104,7 @@ def order(docs: DataFrame, which: list[Rule]) -> list[tuple[Rule, float, float]]
     finally:
         local.unpersist()
     floor = min(seconds) / 2  # what a query costs whatever it evaluates
-    found = [(r, g / len(rows), s - floor) for r, g, s in zip(which, gone, seconds)]
+    found = [(r, g / n, s - floor) for r, g, s in zip(which, gone, seconds)]
     return sorted(found, key=lambda x: (-x[1] / x[2], x[0].name))
 
 
