@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 PREFIX = r"^[+-]?(\d+\.?\d*|\.\d+)"
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
 def prefix_number(s: Column) -> Column:
     """The number that a string starts with, 0.0 if it starts with none."""
     return F.coalesce(F.regexp_extract(s, PREFIX, 0).try_cast("double"), F.lit(0.0))
@@ -33,17 +38,20 @@ def parse_cop_number(s: Column, compat: bool = False) -> Column:
     compat keeps the known mis-scaling of amounts without decimals: there the last group of a grouped integer counts as decimals ('$1.000.000' -> 1000.0) and a
     bare integer is 0.
     """
-    s = F.regexp_replace(F.coalesce(s, F.lit("")), r"(?<=\d) +(?=\d)", ".")
-    decimal = r"-?[\d.,]*\d[.,]\d{1,2}" if compat else r"-?\d[\d.,]*[.,]\d{1,2}(?!\d)"
-    hit = F.regexp_extract(s, f"({decimal})", 1)
-    head = F.regexp_replace(F.regexp_extract(hit, r"^(.*)[.,](\d{1,2})$", 1), "[.,]", "")
-    tail = F.regexp_extract(hit, r"[.,](\d{1,2})$", 1)
-    amount = F.concat(head, F.lit("."), tail).try_cast("double")
-    if compat:
-        return F.coalesce(F.when(hit != "", amount), F.lit(0.0))
-    grouped = F.regexp_replace(F.regexp_extract(s, r"(-?\d{1,3}(?:[.,]\d{3})+)(?!\d)", 1), "[.,]", "").try_cast("double")
-    bare = F.regexp_extract(s, r"(-?\d+)", 1).try_cast("double")
-    return F.coalesce(F.when(hit != "", amount), grouped, bare, F.lit(0.0))
+    decimal = r"(-?[\d.,]*\d[.,]\d{1,2})" if compat else r"(-?\d[\d.,]*[.,]\d{1,2}(?!\d))"
+
+    def amount(hit: Column) -> Column:
+        """The last separator marks the decimals."""
+        return F.concat(F.translate(F.regexp_replace(hit, r"[.,]\d{1,2}$", ""), ".,", ""), F.lit("."), F.regexp_extract(hit, r"(\d{1,2})$", 1)).try_cast("double")
+
+    def whole(s: Column) -> Column:
+        if compat:
+            return F.lit(0.0)
+        grouped = F.translate(F.regexp_extract(s, r"(-?\d{1,3}(?:[.,]\d{3})+)(?!\d)", 1), ".,", "").try_cast("double")
+        return F.coalesce(grouped, F.regexp_extract(s, r"(-?\d+)", 1).try_cast("double"), F.lit(0.0))
+
+    repaired = F.regexp_replace(F.coalesce(s, F.lit("")), r"(?<=\d) +(?=\d)", ".")
+    return let(repaired, lambda s: let(F.regexp_extract(s, decimal, 1), lambda hit: F.when(hit != "", F.coalesce(amount(hit), F.lit(0.0))).otherwise(whole(s))))
 
 
 parse_cop_percent = parse_cop_number
