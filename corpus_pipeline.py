@@ -34,10 +34,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 4: each document as often as the mix takes it, up to three times; those it does not take go."""
-    times = mixing.mix_sources(docs).where("taken > 0").select("doc_id", F.floor(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    times = times.where("doc_id is not null").groupBy("doc_id").agg(F.max("times").alias("times"))
-    return docs.select(*COLUMNS).join(times, "doc_id").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times")))).drop("col")
+    """Stage 4: each row as often as the mix takes it, up to three times; those it does not take go. Rows are told apart by a number, so null and repeated ids are rows like any other."""
+    rows = C.stash(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "mix-rows")
+    times = mixing.mix_sources(rows, keep=("_row",)).where("taken > 0").select("_row", F.floor(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    return rows.join(times, "_row").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times")))).drop("col")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import sys
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -70,5 +71,18 @@ def test_stages(spark, sf_dir):
         start += len(ids)
 
 
+def test_mix_takes_each_row_by_itself(spark, tmp_path):
+    import duckdb
+
+    # sizes tell the rows of one id apart; 7 is repeated, every third id is null
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 and i < 30 else i, "w " * (i + 1), "en", f"s{i % 4}", 2 * i + 2) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r.doc_id, len(r.text.split())) for r in P.mix(spark, P.C.table(spark, str(tmp_path), "documents"), str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {(i, size): taken // size for i, size, _, _, taken in db.execute(P.mixing.ORACLE).fetchall() if taken}
+    assert got == want and any(i is None for i, _ in got) and len({n for (i, _), n in got.items() if i == 7}) > 1
+
+
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)] and set(queries.ORACLES) <= set(queries.QUERIES)
