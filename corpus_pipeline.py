@@ -22,10 +22,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 2: of each group of near-duplicates the document with the least id stays; of rows that repeat its id, one."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    stay = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
-    return stay.dropDuplicates(["doc_id"]).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    """Stage 2: of each group of near-duplicates the row with the least id stays, of equal ids the least hash. Rows are judged by a number of their own in that order, so rows that only share an id do not replace each other; rows without an id stay."""
+    n, d = C.partitions(spark), docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_tie"), F.monotonically_increasing_id().alias("_at")).where("doc_id is not null")
+    rows = d.repartitionByRange(n, "doc_id", "_tie", "_at").sortWithinPartitions("doc_id", "_tie", "_at").select(*COLUMNS, F.monotonically_increasing_id().alias("_row"))
+    rows = C.stash(rows, "near-rows")
+    kept = neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

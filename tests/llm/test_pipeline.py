@@ -84,5 +84,16 @@ def test_mix_takes_each_row_by_itself(spark, tmp_path):
     assert got == want and any(i is None for i, _ in got) and len({n for (i, _), n in got.items() if i == 7}) > 1
 
 
+def test_near_dedup_judges_rows_not_ids(spark):
+    r = random.Random(3)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    near = a + " end"
+    rows = [(1, a), (5, near), (5, b), (5, b), (6, b + " end"), (7, c), (7, d), (None, a), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((x.doc_id, x.text) for x in P.drop_near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(1, a), (5, b), (7, c), (7, d), (None, a), (None, None)])
+
+
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)] and set(queries.ORACLES) <= set(queries.QUERIES)
