@@ -8,7 +8,8 @@ merged host by host, a few at a time; no group of pages ever meets in one task.
 
 A wrapper then tells which of its slots hold the main text: those inside the article element, or else in the deepest container with most of the host's
 varying, unlinked text; never those in navigation, headers and footers of the page, sidebars, notices, adverts, forms and comments, nor slots of the
-same text on every page. Each page is aligned with its host's wrapper and yields its main slots as blocks.
+same text on every page. A wrapper is bounded; where tokens of a host did not fit, Spark counts the texts of each path of elements over all pages of that host,
+and slots beyond the wrapper whose path has one text on all of them are constant too. Each page is aligned with its host's wrapper and yields its main slots as blocks.
 
 Defined results: a null or empty html gives the empty text; pages without a host in their url share one wrapper; repeated rows are
 treated alike; unclosed, misnested and cut-off tags are tolerated, a cut-off tag at the end is dropped; white space is as str.split() has it and
@@ -17,6 +18,7 @@ treated alike; unclosed, misnested and cut-off tags are tolerated, a cut-off tag
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -36,7 +38,7 @@ SALT = 16
 HELD_HOSTS = 2000
 #: Alignments that a wrapper remembers.
 KNOWN_STREAMS = 5000
-#: A wrapper takes up no more tokens than this; pages that it does not cover are then judged by their own structure.
+#: A wrapper takes up no more tokens than this; tokens that it does not cover are judged by their page and the host's constant paths.
 WRAPPER_TOKENS = 4000
 #: Broadcast bound for the table of wrappers, checked before use; a larger table is joined by host instead.
 BROADCAST_BYTES = 32 << 20
@@ -184,6 +186,7 @@ class Wrapper:
     def __init__(self):
         self.tokens: list[str] = []
         self.pages, self.stats, self.repeats = 0, [], set()
+        self.full = False  # tokens were left out
         self.known: dict[tuple, list[int]] = {}
 
     def place(self, tokens: tuple[str, ...]) -> list[int]:
@@ -225,6 +228,8 @@ class Wrapper:
             self.repeats = {(moved[a], moved[b - 1] + 1) for a, b in self.repeats}
             self.tokens, self.stats = new, own
             self.known = {tokens: at}
+        elif -1 in at:
+            self.full = True
         for (n, chars, linked, low, high), a in zip(stats, at):
             if a >= 0:
                 s = self.stats[a]
@@ -343,15 +348,76 @@ def main_slots(tokens, stats, pages: int) -> list[bool]:
     return main
 
 
+def slot_keys(tokens: list[str]) -> list[tuple[int, int]]:
+    """For each slot of a page's stream two hashes of its path: of the open elements, and of these with their numbers among siblings alike."""
+    hashed = lambda path: int.from_bytes(hashlib.blake2b("\n".join(path).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    name = lambda t: t.split(".")[0].split("!")[0]
+    open_, counts, out = [], [{}], []
+
+    def close(k):
+        del open_[k:], counts[k + 1 :]
+
+    for t in tokens:
+        nth = counts[-1].get(t, 0)
+        if t == "#":
+            out.append((hashed([x for x, _ in open_]), hashed([f"{x} {k}" for x, k in open_] + [str(nth)])))
+            counts[-1][t] = nth + 1
+        elif t.startswith("/"):
+            found = [k for k, (x, _) in enumerate(open_) if name(x) == t[1:]]
+            if found:
+                close(found[-1])
+        else:
+            if name(t) in END_OPTIONAL and name(t) not in ("tr", "td", "th"):
+                for k in range(len(open_) - 1, -1, -1):
+                    if name(open_[k][0]) == name(t):
+                        close(k)
+                        break
+                    if name(open_[k][0]) not in END_OPTIONAL:
+                        break
+            elif open_ and name(open_[-1][0]) == "p":
+                close(len(open_) - 1)
+            nth = counts[-1].get(t, 0)
+            counts[-1][t] = nth + 1
+            open_.append((t, nth))
+            counts.append({})
+    return out
+
+
+def constant_paths(pages: DataFrame) -> DataFrame:
+    """(_host, _page, _same) from pages (_host, _page, _html): of each page's path hashes those with one text on all of at least CONSTANT_PAGES pages of the host."""
+
+    def look(it):
+        for b in it:
+            hosts, ids, keys, low, high = [], [], [], [], []
+            for host, page_id, html in zip(*(b.column(k).to_pylist() for k in range(3))):
+                page, seen = Page(html), {}
+                for (text, _), both in zip(page.texts, slot_keys(page.tokens)):
+                    h = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+                    for key in both:
+                        a, z = seen.get(key, (h, h))
+                        seen[key] = min(a, h), max(z, h)
+                hosts += [host] * len(seen)
+                ids += [page_id] * len(seen)
+                keys += seen
+                low += [a for a, _ in seen.values()]
+                high += [z for _, z in seen.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(ids, pa.string()), *(pa.array(x, pa.int64()) for x in (keys, low, high))], names=["_host", "_page", "key", "low", "high"])
+
+    slots = C.stash(pages.select("_host", "_page", "_html").mapInArrow(C.lean(look), "_host string, _page string, key long, low long, high long"), "html-paths")
+    same = slots.groupBy("_host", "key").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where((F.col("n") >= CONSTANT_PAGES) & (F.col("low") == F.col("high")))
+    found = slots.join(C.stash(same.select("_host", "key"), "html-constant"), ["_host", "key"]).groupBy("_host", "_page").agg(F.collect_set("key").alias("_same"))
+    return C.stash(found, "html-same")
+
+
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) from pages (host, html)."""
+    """(host, wrapper, full: whether tokens did not fit it) from pages (host, html)."""
 
     def local(it):
         held: dict[str, Wrapper] = {}
         pid = TaskContext.get().partitionId()
 
         def out():
-            b = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([pid] * len(held), pa.int32()), pa.array([w.dump() for w in held.values()], pa.string())], names=["host", "part", "wrapper"])
+            b = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([pid] * len(held), pa.int32()), pa.array([w.dump() for w in held.values()], pa.string()), pa.array([w.full for w in held.values()], pa.bool_())], names=["host", "part", "wrapper", "full"])
             held.clear()
             return b
 
@@ -369,25 +435,45 @@ def infer(pages: DataFrame) -> DataFrame:
         w = Wrapper()
         for _, s in rows:
             w.merge(Wrapper.load(s))
-        return pa.table({"host": [group.column("host")[0].as_py()], "part": pa.array([rows[0][0] // SALT], pa.int32()), "wrapper": [w.dump()]})
+        full = w.full or any(group.column("full").to_pylist())
+        return pa.table({"host": [group.column("host")[0].as_py()], "part": pa.array([rows[0][0] // SALT], pa.int32()), "wrapper": [w.dump()], "full": [full]})
 
     C.batches(pages.sparkSession, 500)
-    schema = "host string, part int, wrapper string"
+    schema = "host string, part int, wrapper string, full boolean"
     w = C.stash(pages.mapInArrow(C.lean(local), schema), "wrappers")
     most = w.agg(F.max("part")).first()[0]
     while True:  # a tree of merges: a group holds the wrappers of at most SALT tasks
         w = C.stash(w.groupBy("host", F.floor(F.col("part") / SALT).alias("g")).applyInArrow(merged, schema), "wrappers")
         if not most or most < SALT:
-            return w.select("host", "wrapper")
+            return w.select("host", "wrapper", "full")
         most //= SALT
 
 
+def _with_constants(page: Page, at: list[int], stats: list, same: set[int]) -> list:
+    """A page's statistics, where slots all of whose places have a constant path count as constant."""
+    if not same:
+        return stats
+    places = [a for t, a in zip(page.tokens, at) if t == "#"]
+    constant, varying = set(), set()
+    for a, keys in zip(places, slot_keys(page.tokens)):
+        (varying if same.isdisjoint(keys) else constant).add(a)
+    constant -= varying
+    return [[CONSTANT_PAGES, s[1], s[2], 0, 0] if a in constant else s for a, s in enumerate(stats)]
+
+
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns `keep`, text and n_chars for every row of pages (with url and html)."""
     spark = pages.sparkSession
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     pages = pages.select(*keep, host.alias("_host"), F.col("html").alias("_html"))
     wrappers = infer(pages.select("_host", "_html"))
+    crowded = wrappers.where("full").select(F.col("host").alias("_host"))
+    if crowded.limit(1).count():
+        pages = pages.withColumn("_page", F.md5(F.coalesce("_html", F.lit("")).cast("binary")))
+        pages = pages.join(constant_paths(pages.join(crowded, "_host", "left_semi")), ["_host", "_page"], "left").select(*keep, "_host", "_html", "_same")
+    else:
+        pages = pages.withColumn("_same", F.lit(None).cast("array<long>"))
+    wrappers = wrappers.drop("full")
     schema = ", ".join(f"`{c}` {t}" for c, t in pages.select(*keep).dtypes) + ", text string, n_chars long"
     n = len(keep)
     size = wrappers.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0))).first()[0]
@@ -398,8 +484,8 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> Dat
         loaded: dict[str, Wrapper] = {}
         for b in it:
             texts = []
-            given = b.column(n + 2).to_pylist() if table is None else None
-            for k, (host, html) in enumerate(zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist())):
+            given = b.column(n + 3).to_pylist() if table is None else None
+            for k, (host, html, same) in enumerate(zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), b.column(n + 2).to_pylist())):
                 page = Page(html)
                 tokens, at, _, stats = summary(page)
                 if (mine := labels.get((host, tokens))) is None:
@@ -411,8 +497,11 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> Dat
                         w.main = main_slots(w.tokens, w.stats, w.pages)
                     w = loaded[host]
                     place = w.place(tokens)
-                    own = main_slots(tokens, stats, 1) if -1 in place else None
-                    mine = labels[host, tokens] = [w.main[a] if a >= 0 else own[i] for i, a in enumerate(place)]
+                    if -1 in place:  # judged by this page's own texts, so not remembered
+                        own = main_slots(tokens, _with_constants(page, at, stats, set(same or ())), 1)
+                        mine = [w.main[a] if a >= 0 else own[i] for i, a in enumerate(place)]
+                    else:
+                        mine = labels[host, tokens] = [w.main[a] for a in place]
                     if len(labels) > 50_000:
                         labels = {(host, tokens): mine}
                 slots = (a for t, a in zip(page.tokens, at) if t == "#")
@@ -421,7 +510,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> Dat
 
     if table is None:  # hosts are dealt over many tasks by a salt, and their wrappers to all of these
         salted = wrappers.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumnRenamed("host", "_host")
-        pages = pages.withColumn("_s", F.pmod(F.xxhash64("_html"), F.lit(64)).cast("int")).join(salted, ["_host", "_s"]).select(*keep, "_host", "_html", "wrapper")
+        pages = pages.withColumn("_s", F.pmod(F.xxhash64("_html"), F.lit(64)).cast("int")).join(salted, ["_host", "_s"]).select(*keep, "_host", "_html", "_same", "wrapper")
     return pages.mapInArrow(C.lean(read), schema)
 
 

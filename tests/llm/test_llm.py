@@ -156,6 +156,21 @@ def test_html_of_an_empty_table(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_html_template_text_beyond_the_wrapper(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(html, "BROADCAST_BYTES", -1)
+    name = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(4))
+    rows, want = [], {}
+    for p in range(6):
+        texts = [f"page {p} says {k} of its own" for k in range(1400)]
+        blocks = "".join(f'<div class="{name(p * 1400 + k)}">{t}</div>' for k, t in enumerate(texts))
+        rows.append((p, "https://wide.org/", f'<html><body><div class="motto">The same words everywhere.</div>{blocks}<div class="imprint">Made by us.</div></body></html>'))
+        want[p] = "\n".join(texts)
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 # ---------------------------------------------------------------- 2 quality
 
 
