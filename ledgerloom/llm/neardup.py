@@ -5,7 +5,8 @@
 2. Inverted lists of retained values: each representative is entered under its rarest values only. Two sketches that share
    `overlap(k)` values must meet in at least one list of the k - overlap + 1 rarest of each, so passages that many documents share make no long lists.
 3. Round one: in each list all members are held against one hub, the member whose values are the most common. The estimate from the
-   sketch of the union filters the pairs; exact Jaccard similarity of the full sets confirms them.
+   sketch of the union filters the pairs, except that the pair of a list of two, which round two leaves out, needs only share `overlap(k)` values;
+   exact Jaccard similarity of the full sets confirms them.
 4. Round two makes the result complete: in every list whose members are not yet one component, each member outside the list's main
    component is held against all members of other components, exactly, in blocks of bounded size. Long lists around one component are taken together. Nothing is capped, and only links are emitted.
 
@@ -153,14 +154,16 @@ def near_duplicates(docs: DataFrame, k: int = K) -> DataFrame:
     take = F.col("k") - overlap(F.col("k")) + 1 - (F.col("k") - F.size("c"))
     own = own.select("id", (F.size("c") / F.col("k")).alias("score"), F.slice("c", F.lit(1), F.greatest(F.lit(0), F.least(take, F.size("c")))).alias("c"))
     lists = C.stash(own.select("id", "score", F.explode("c.v").alias("v")), "near-lists")
-    hubs = C.stash(lists.groupBy("v").agg(F.max(F.struct("score", F.xxhash64("id").alias("h"), "id")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("v", F.col("hub.id").alias("hub")), "near-hubs")
-    lists = C.stash(lists.join(hubs, "v").select("v", "id", "hub"), "near-lists2")
+    hubs = C.stash(lists.groupBy("v").agg(F.max(F.struct("score", F.xxhash64("id").alias("h"), "id")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("v", F.col("hub.id").alias("hub"), (F.col("n") == 2).alias("two")), "near-hubs")
+    lists = C.stash(lists.join(hubs, "v").select("v", "id", "hub", "two"), "near-lists2")
 
     wanted = lists.select("id").distinct()
     texts = C.stash(docs.join(wanted, docs.doc_id == wanted.id, "left_semi").select(F.col("doc_id").alias("id"), "text").distinct(), "near-texts")
-    pairs = lists.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = lists.where("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.max("two").alias("two"))
     s = lambda c: nodes.select(F.col("id").alias(c), F.col("sketch").alias("s" + c))
-    pairs = pairs.join(s("a"), "a").join(s("b"), "b").where(estimate(F.col("sa"), F.col("sb"), k) >= ESTIMATE).select("a", "b")
+    sa, sb = F.col("sa"), F.col("sb")
+    alone = F.col("two") & (F.size(F.array_intersect(sa, sb)) >= overlap(F.least(F.size(sa), F.size(sb))))
+    pairs = pairs.join(s("a"), "a").join(s("b"), "b").where((estimate(sa, sb, k) >= ESTIMATE) | alone).select("a", "b").distinct()
     links = C.stash(verify(C.stash(pairs, "near-pairs"), texts), "near-links")
     labels = components(links)
     more = C.stash(links_left(lists.select("v", "id"), labels, texts), "near-more")

@@ -315,6 +315,23 @@ def test_near_duplicates_of_an_empty_table(empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_a_lone_pair_below_the_estimate_is_judged_exactly(spark):
+    sets = lambda w: C.shingle_sets(pa.array([" ".join(w)]))[0]
+    a = [f"w{k}" for k in range(700)]
+    whole = sets(a)
+    least, b = whole[: neardup.K], list(a)
+    while True:  # change the words that most of the retained shingles hold
+        other = sets(b)
+        shared = len(np.intersect1d(np.union1d(whole, other)[: neardup.K], np.intersect1d(whole, other)))
+        if shared <= 22:
+            break
+        b[int(np.argmax([len(np.intersect1d(least, sets(b[max(0, k - 4) : k + 5]))) for k in range(len(b))]))] = f"other{shared}x{len(other)}"
+    inter = len(np.intersect1d(whole, other))
+    assert 20 <= shared and 4 * inter >= 3 * (len(whole) + len(other) - inter)
+    got = neardup.near_duplicates(docs_frame(spark, [(1, " ".join(a)), (2, " ".join(b))])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1)]
+
+
 def test_substrings_against_brute_force(spark, rows):
     more = [*rows, (500, " ".join(["a"] * 300)), (501, " ".join(["a"] * 120)), (502, " ".join(["a"] * 49)), rows[0]]
     got = substring.dedup_substrings(docs_frame(spark, more, extra=True)).collect()
