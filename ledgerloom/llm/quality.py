@@ -1,16 +1,17 @@
 """Quality rules as a short-circuit cascade, native Spark expressions only.
 
-`cascade` estimates on a bounded sample what each rule costs to evaluate (measured seconds) and what share of documents it rejects, orders the rules by
-rejection per cost and evaluates them as one CASE: a document that a rule rejects is not looked at by the rules after it. The order is
-a matter of speed alone; a document is kept if no rule rejects it.
+On a bounded sample `cascade` estimates what each rule costs on each document (from the sizes of the parts of the text that the rule looks at, in nanoseconds by rates
+measured once) and which documents it rejects. The rule that rejects most per cost comes first, then the one that rejects most per cost among the documents that
+are left, and so on; all are evaluated as one CASE in that order, so a document that a rule rejects is not looked at by the rules after it. The order is
+a matter of speed alone and the same in every run over the same rows; a document is kept if no rule rejects it.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; repeated rows are judged alike; an empty table
-gives an empty result and the rules in their given order; other columns pass through `cascade` untouched, since the working columns have a reserved prefix.
+gives an empty result and the rules in their given order; other columns pass through `cascade` untouched, whatever their names, unless named like one of its results,
+which then replaces them; a null doc_id is a value like any other.
 """
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,14 +21,17 @@ from . import common as C
 
 WINDOW = 8
 MIN_WORDS = 20
-#: About so many documents, drawn by a hash of their ids, on which costs and rejection shares are estimated.
+#: So many documents at most, drawn by a hash of id and text, on which costs and rejections are estimated.
 SAMPLE = 400
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")
+WORKING = ("_q_words", "_q_text", "_q_lines")
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
     rejects: Column  # over the columns of `measured`
+    cost: Column  # nanoseconds for one document, over the same columns
 
 
 def words(text: Column) -> Column:
@@ -37,19 +41,29 @@ def words(text: Column) -> Column:
 def repeated_words(w: Column, n: int = WINDOW) -> Column:
     """Words in n-word windows that occur twice or more in the array of words `w`, first occurrences included.
 
-    Hashes of the windows tell at once that a text repeats none, as most do; only otherwise are windows compared word for word: they are sorted
-    with their positions, those equal to a neighbour are marked, and the union of their spans is measured.
+    Hashes of the windows tell at once that a text repeats none, as most do; only otherwise, and only where hashes repeat, are windows compared word for word: they
+    are sorted with their positions, those equal to a neighbour are marked, and the union of their spans is measured. Linear in the words but for the sorting.
     """
-    last = F.size(w) - n
-    hashes = F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(n))))
-    none = F.size(F.array_distinct(hashes)) == last + 1
-    spelled = F.sort_array(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.array_join(F.slice(w, i + 1, F.lit(n)), " ").alias("s"), i.alias("i"))))
-    lagged = F.concat(F.array(F.lit(None).cast("struct<s:string,i:int>")), F.slice(spelled, F.lit(1), last))
-    led = F.concat(F.slice(spelled, F.lit(2), last), F.array(F.lit(None).cast("struct<s:string,i:int>")))
-    twice = F.filter(F.arrays_zip(spelled.alias("a"), lagged.alias("b"), led.alias("c")), lambda z: (z["a"]["s"] == z["b"]["s"]) | (z["a"]["s"] == z["c"]["s"]))
-    at = F.sort_array(F.transform(twice, lambda z: z["a"]["i"]))
-    spans = F.aggregate(at, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda acc, i: F.struct((i + n).alias("end"), (acc["n"] + i + n - F.greatest(acc["end"], i)).alias("n")), lambda acc: acc["n"])
-    return F.when(F.size(w) < n, F.lit(0)).when(none, F.lit(0)).otherwise(spans).cast("long")
+
+    def beside(a: Column, k: Column, name: str) -> Column:
+        """Whether the k-th struct of the sorted `a` equals a neighbour in `name`."""
+        mine = F.get(a, k)[name]
+        return mine.eqNullSafe(F.get(a, k - 1)[name]) | mine.eqNullSafe(F.get(a, k + 1)[name])
+
+    def numbers(a: Column) -> Column:
+        return F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def covered(hashes: Column) -> Column:
+        placed = F.sort_array(F.transform(hashes, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+        spelled = C.let(placed, lambda a: F.sort_array(F.transform(F.filter(numbers(a), lambda k: beside(a, k, "v")), lambda k: C.let(F.get(a, k)["i"], lambda i: F.struct(F.array_join(F.array(*[F.get(w, i + j) for j in range(n)]), " ").alias("s"), i.alias("i"))))))
+        at = C.let(spelled, lambda a: F.sort_array(F.transform(F.filter(numbers(a), lambda k: beside(a, k, "s")), lambda k: F.get(a, k)["i"])))
+        return F.aggregate(at, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda acc, i: F.struct((i + n).alias("end"), (acc["n"] + i + n - F.greatest(acc["end"], i)).alias("n")), lambda acc: acc["n"])
+
+    def found(h: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(n)]))
+        return C.let(hashes, lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0)).otherwise(covered(x)))
+
+    return F.when(F.size(w) < n, F.lit(0)).otherwise(C.let(F.transform(w, lambda x: F.xxhash64(x)), found)).cast("long")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -77,35 +91,33 @@ def base_failed() -> Column:
 def rules() -> list[Rule]:
     w, n = F.col("_q_words"), F.col("n_words")
     share = lambda f: F.size(F.filter(w, f))
+    each = lambda part, rate: 50 + part * rate
+    lines, chars = F.size("_q_lines"), F.length("_q_text")
     return [
-        Rule("words too short or too long on average", ~F.col("word_chars").between(3 * n, 10 * n)),
-        Rule("many symbols", 10 * F.col("n_symbols") > n),
-        Rule("many repeated lines", 10 * F.col("n_dup_lines") > 3 * F.size("_q_lines")),
-        Rule("few words with a letter", 10 * share(lambda x: x.rlike(r"\p{L}")) < 8 * n),
-        Rule("mostly capitals", 2 * share(lambda x: (F.length(x) > 1) & (x == F.upper(x)) & (x != F.lower(x))) > n),
-        Rule("many exclamation marks", 5 * F.regexp_count(F.col("_q_text"), F.lit("!")) > n),
-        Rule("few distinct words", 5 * F.size(F.array_distinct(w)) < n),
-        Rule("mostly list items", (F.size("_q_lines") >= 4) & (10 * F.size(F.filter("_q_lines", lambda s: s.rlike(r"^[ \t]*[-•*]"))) > 9 * F.size("_q_lines"))),
+        Rule("words too short or too long on average", ~F.col("word_chars").between(3 * n, 10 * n), F.lit(50)),
+        Rule("many symbols", 10 * F.col("n_symbols") > n, F.lit(50)),
+        Rule("many repeated lines", 10 * F.col("n_dup_lines") > 3 * F.size("_q_lines"), F.lit(50)),
+        Rule("few words with a letter", 10 * share(lambda x: x.rlike(r"\p{L}")) < 8 * n, each(n, 330)),
+        Rule("mostly capitals", 2 * share(lambda x: (F.length(x) > 1) & (x == F.upper(x)) & (x != F.lower(x))) > n, each(n, 590)),
+        Rule("many exclamation marks", 5 * F.regexp_count(F.col("_q_text"), F.lit("!")) > n, each(chars, 20)),
+        Rule("few distinct words", 5 * F.size(F.array_distinct(w)) < n, each(n, 360)),
+        Rule("mostly list items", (F.size("_q_lines") >= 4) & (10 * F.size(F.filter("_q_lines", lambda s: s.rlike(r"^[ \t]*[-•*]"))) > 9 * F.size("_q_lines")), each(lines, 1000)),
     ]
 
 
 def order(docs: DataFrame, which: list[Rule]) -> list[tuple[Rule, float, float]]:
-    """The rules with their rejection share and seconds, best rejection per cost first. Reads the sample only."""
-    local = measured(C.sample(docs.select("doc_id", "text"), SAMPLE, "doc_id").coalesce(1)).cache()
-    try:
-        n = local.count()
-        if not n:
-            return [(r, 0.0, 0.0) for r in which]
-        seconds, gone = [], []
-        for r in which:
-            began = time.perf_counter()
-            gone.append(local.agg(F.count_if(r.rejects)).first()[0])
-            seconds.append(time.perf_counter() - began)
-    finally:
-        local.unpersist()
-    floor = min(seconds) / 2  # what a query costs whatever it evaluates
-    found = [(r, g / n, s - floor) for r, g, s in zip(which, gone, seconds)]
-    return sorted(found, key=lambda x: (-x[1] / x[2], x[0].name))
+    """The rules in the order of the cascade, each with the share it rejects and its nanoseconds a document, of the sample's documents that reach it."""
+    local = measured(C.sample(docs.select("doc_id", "text"), SAMPLE, "doc_id", "text"))
+    rows = local.select(F.array(*[F.coalesce(r.rejects, F.lit(False)) for r in which]).alias("gone"), F.array(*[r.cost.cast("double") for r in which]).alias("cost"), base_failed().alias("failed")).collect()  # at most SAMPLE rows
+    left, todo, out = [r for r in rows if not r.failed], list(range(len(which))), []
+    while todo:
+        share = {k: sum(r.gone[k] for r in left) / max(1, len(left)) for k in todo}
+        cost = {k: sum(r.cost[k] for r in left) / max(1, len(left)) for k in todo}
+        best = max(todo, key=lambda k: (share[k] / cost[k] if cost[k] else 0.0, -k))
+        out.append((which[best], share[best], cost[best]))
+        todo.remove(best)
+        left = [r for r in left if not r.gone[best]]
+    return out
 
 
 def cascade(docs: DataFrame, which: list[Rule] | None = None, ordered: bool = True) -> DataFrame:
@@ -115,9 +127,12 @@ def cascade(docs: DataFrame, which: list[Rule] | None = None, ordered: bool = Tr
     verdict = F.when(base_failed(), F.lit("base"))
     for r in which:
         verdict = verdict.when(r.rejects, F.lit(r.name))
-    d = measured(docs).withColumn("base_failed", base_failed())
+    docs = docs.drop(*RESULTS)
+    aside = {c: C.fresh("_q_aside" + c, docs.columns) for c in docs.columns if c.lower() in WORKING}
+    d = measured(docs.withColumnsRenamed(aside)).withColumn("base_failed", base_failed())
     d = d.withColumn("rejected_by", verdict)
-    return d.withColumn("kept", F.col("rejected_by").isNull()).drop("_q_words", "_q_text", "_q_lines")
+    d = d.withColumn("kept", F.col("rejected_by").isNull()).drop(*WORKING)
+    return d.withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
