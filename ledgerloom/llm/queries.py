@@ -16,4 +16,10 @@ QUERIES = {
     "op9_substring": substring.op9_substring,
     "op10_warc": warc.op10_warc,
 }
-ORACLES = {"op2_quality": quality.ORACLE, "op5_mixing": mixing.ORACLE, "op8_linededup": linededup.ORACLE, "op10_warc": warc.ORACLE}
+ORACLES = {
+    "op2_quality": quality.ORACLE,
+    "op5_mixing": mixing.ORACLE,
+    "op7_decontaminate": decontaminate.ORACLE,
+    "op8_linededup": linededup.ORACLE,
+    "op10_warc": warc.ORACLE,
+}

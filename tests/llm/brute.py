@@ -49,12 +49,19 @@ def substrings(rows, window=50):
     return sorted(out)
 
 
+def grams(text, n):
+    w = [x.translate(LOWER) for x in words(text)]
+    return frozenset(tuple(w[j : j + n]) for j in range(len(w) - n + 1))
+
+
 def contained(rows, items):
-    sets = [(i, shingles(t)) for i, t in items]
+    """An item of n < 5 words is compared by its n-word sequence, others by 5-word shingles."""
+    lengths = [(i, t, min(5, len(words(t)))) for i, t in items if i is not None and words(t)]
+    sets = [(i, n, grams(t, n)) for i, t, n in lengths]
     out = []
     for i, t in rows:
-        s = shingles(t)
-        found = [(-len(q & s) / len(q), n) for n, q in sets if q and n is not None and 100 * len(q & s) >= 75 * len(q)]
+        mine = {n: grams(t, n) for n in {n for _, n, _ in sets}}
+        found = [(-len(q & mine[n]) / len(q), k) for k, n, q in sets if 100 * len(q & mine[n]) >= 75 * len(q)]
         best = min(found, default=None)
         out.append((i, best and best[1]))
     return sorted(out, key=lambda x: x[0])
