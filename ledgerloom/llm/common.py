@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -31,18 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that very long texts cannot make one batch outgrow a Python worker."""
-    ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`; only where that is unset (tests), a new local one."""
+    """The folder all executors share: `spark.checkpoint.dir`. Only where that is unset and all of Spark is one local process, as in tests, a new local one."""
     ship(spark)
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -56,15 +52,40 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark, at = df.sparkSession, scratch(df.sparkSession, tag)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.stashed_at = at
+    return out
 
 
-def lean(f):
-    """A batch function that gives freed memory back to the system when its task ends: workers are reused, and would keep it."""
+def discard(*stashed: DataFrame) -> None:
+    """Delete the files of stashed tables that no later result reads."""
+    for df in stashed:
+        spark, at = df.sparkSession, df.stashed_at
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, *taken: list[str]) -> str:
+    """`name`, or with underscores appended until no column of `taken` has it (Spark ignores case)."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def pieces(it, rows: int = 500):
+    """Arrow batches cut to `rows` rows: Spark bounds a batch's bytes, this bounds what is made of it."""
+    for b in it:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def lean(f, rows: int = 500):
+    """A batch function that sees batches of at most `rows` rows and gives freed memory back to the system when its task ends: workers are reused, and would keep it."""
 
     def run(it):
         try:
-            yield from f(it)
+            yield from f(pieces(it, rows))
         finally:
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -75,15 +96,26 @@ def lean(f):
 
 
 def sample(df: DataFrame, size: int, *keys: str) -> DataFrame:
-    """About `size` rows by a hash of `keys`, the same in every run; at most twice as many. All rows if there are no more than `size`."""
+    """At most `size` rows, those with the least hashes of `keys`: the same in every run if rows of equal keys are alike. All rows if there are no more than `size`.
+
+    Only about twice as many rows pass the first filter, so that little is sorted.
+    """
     n = df.count()
-    return df if n <= size else df.where(F.pmod(F.xxhash64(*keys), F.lit(n)) < size).limit(2 * size)
+    if n <= size:
+        return df
+    h = F.pmod(F.xxhash64(*keys), F.lit(n))
+    return df.where(h < 2 * size).orderBy(h, *keys).limit(size)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with `value` evaluated once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -438,7 +438,6 @@ def infer(pages: DataFrame) -> DataFrame:
         full = w.full or any(group.column("full").to_pylist())
         return pa.table({"host": [group.column("host")[0].as_py()], "part": pa.array([rows[0][0] // SALT], pa.int32()), "wrapper": [w.dump()], "full": [full]})
 
-    C.batches(pages.sparkSession, 500)
     schema = "host string, part int, wrapper string, full boolean"
     w = C.stash(pages.mapInArrow(C.lean(local), schema), "wrappers")
     most = w.agg(F.max("part")).first()[0]

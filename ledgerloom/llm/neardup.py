@@ -56,7 +56,6 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.string()), C.list_array([s[:k] >> np.uint64(1) for s in sets])], names=["doc_id", "n_shingles", "setkey", "sketch"])
 
-    C.batches(docs.sparkSession, 500)
     return docs.select("doc_id", "text").mapInArrow(C.lean(look), "doc_id long, n_shingles long, setkey string, sketch array<long>")
 
 

@@ -73,8 +73,6 @@ def _texts(batch: pa.Array):
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the words left, joined by one space) and kept_text (null where nothing was removed)."""
-    spark = docs.sparkSession
-    C.batches(spark, 500)
     docs = docs.select("doc_id", "text")
 
     def look(it):

@@ -5,7 +5,7 @@ start_in_file, n_tokens (all DELTA_BINARY_PACKED) and ids (list<int32>, dictiona
 delta-encoded). Row groups and pages are bounded, and the page indexes that the writer adds let a reader fetch the metadata columns, or the ids of a
 doc_id range, without reading the rest.
 
-Defined results: a null or empty text is one end id; rows with equal doc_id lie side by side, ordered by text, nulls first; an empty
+Defined results: a null or empty text is one end id; rows with equal doc_id lie side by side, ordered by a hash of their text; an empty
 table gives an empty folder and no rows; columns other than doc_id and text are ignored, whatever their names.
 """
 
@@ -108,6 +108,8 @@ class Encoder:
             ids = np.array(self.tok.encode(" ".join(words[i : min(n, i + 1000)]), add_special_tokens=False).ids, np.int32)
             flat.append(ids)
             size.append(np.diff(np.r_[-1, np.flatnonzero(self.ends[ids])]))
+            if len(size[-1]) != min(n, i + 1000) - i or size[-1].sum() != len(ids):
+                raise ValueError("this tokenizer does not end each word by one token of its own")
         rest = [e.ids for e in self.tok.encode_batch_fast(words[n:], add_special_tokens=False)]
         flat += [np.array(x, np.int32) for x in rest]
         size.append(np.array([len(x) for x in rest], np.int64))
@@ -179,7 +181,7 @@ def encoder(path: str) -> Encoder:
 
 def write_tokens(docs: DataFrame, at: str, path: str, end_id: int = END_ID) -> None:
     """Encode docs (doc_id, text) into the file format in folder `at`. The one shuffle is a range sort of the texts by doc_id."""
-    C.batches(docs.sparkSession, 500)
+    C.ship(docs.sparkSession)
 
     def encode(it):
         enc, pid, before = encoder(path), TaskContext.get().partitionId(), 0
@@ -195,9 +197,11 @@ def write_tokens(docs: DataFrame, at: str, path: str, end_id: int = END_ID) -> N
             )
             before += int(off[-1])
 
-    rows = docs.select("doc_id", "text").repartitionByRange(C.partitions(docs.sparkSession), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    # equal rows may lie in any order, so a number splits them, however many there are, over the ranges
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))
+    rows = rows.repartitionByRange(C.partitions(docs.sparkSession), "doc_id", "h", "n").sortWithinPartitions("doc_id", "h", "n")
     (
-        rows.mapInArrow(C.lean(encode), "doc_id long, file_no int, start_in_file long, n_tokens long, ids array<int>")
+        rows.select("doc_id", "text").mapInArrow(C.lean(encode), "doc_id long, file_no int, start_in_file long, n_tokens long, ids array<int>")
         .write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "true")
         .option("parquet.dictionary.page.size", str(DICTIONARY_BYTES)).option("parquet.enable.dictionary#doc_id", "false").option("parquet.enable.dictionary#start_in_file", "false")
         .option("parquet.block.size", str(ROW_GROUP_BYTES)).option("parquet.page.size", str(PAGE_BYTES)).option("parquet.page.row.count.limit", "1000")
@@ -231,7 +235,7 @@ def digest(spark: SparkSession, at: str) -> DataFrame:
             sums = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sums, pa.int64())], names=["doc_id", "file_no", "start_in_file", "n_tokens", "ids_crc32"])
 
-    C.batches(spark, 500)
+    C.ship(spark)
     files = spark.read.schema(FILE).parquet(at)
     sums = files.mapInArrow(C.lean(crc), "doc_id long, file_no int, start_in_file long, n_tokens long, ids_crc32 long")
     return _starts(files, sums).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -11,11 +11,13 @@ class prior is the share of toxic rows among the labelled rows, of the learning
 Features are the words of a text and the beginnings of words, each counted once per text, of which only those significantly commoner in positives than
 in unlabelled texts are kept, at most `FEATURES`.
 
-Only the fit works on a bounded sample, about `MAX_POSITIVE` positives and `MAX_UNLABELLED` unlabelled texts (by a hash of their ids, at most twice as many); the
-prior is computed over all labelled rows of the learning folds, and every text is scored whole.
+Only the fit works on a bounded sample, at most `MAX_POSITIVE` positives and `MAX_UNLABELLED` unlabelled texts (by a hash of their ids); the
+prior is computed over all labelled rows of the learning folds. Texts are taken whole, in the fit as in the scores, however long they are. Strings are counted and ranked in Spark;
+the driver sees the `FEATURES` chosen ones, and of the sampled texts which of these they hold.
 
 Defined results: a null or empty text has no features, so its score is the model's bias; repeated rows score alike; without any
-positive to learn from, every score is 0; label rows with a null or without a document are ignored; where rows of one doc_id have different labels, toxic wins; an empty table gives an empty
+positive to learn from, every score is 0; label rows with a null or without a document are ignored; where rows of one doc_id have different labels, toxic wins; where
+several texts share a doc_id, its label holds for each of them; an empty table gives an empty
 result; columns other than doc_id and text are ignored, whatever their names.
 """
 
@@ -26,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +36,8 @@ from . import common as C
 
 MAX_POSITIVE = 2000
 MAX_UNLABELLED = 6000
-#: Distinct strings of a sampled text that take part in the fit, those with the smallest hashes: a bound for very long texts.
-MAX_STRINGS = 20_000
+#: A sampled text's strings are handed on so many to a row.
+STRINGS_A_ROW = 10_000
 FEATURES = 1024
 PREFIXES = (5, 6, 7)
 THRESHOLD = 0.3
@@ -54,35 +57,34 @@ def strings(text: str | None) -> set[str]:
 
 @dataclass
 class Model:
-    bias: float = -30.0
+    bias: float = float("-inf")  # without anything learnt: score 0
     weights: dict[str, float] = field(default_factory=dict)
 
     def score(self, text: str | None) -> float:
         z = self.bias
+        if z == float("-inf"):
+            return 0.0
         if text:
             get = self.weights.get
             z += sum([x for x in map(get, strings(text)) if x])
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
-def choose_features(counts: dict[str, tuple[int, int]], n_positive: int, n_unlabelled: int, prior: float, size: int = FEATURES) -> list[str]:
-    """From the texts of either kind that each string occurs in: the strings commoner in positives than in negatives beyond chance.
+def choose_features(counts: DataFrame, n_positive: int, n_unlabelled: int, prior: float, size: int = FEATURES) -> list[str]:
+    """From (s, p, u), the texts of either kind that each string occurs in: the strings commoner in positives than in negatives beyond chance.
 
     The rate among negatives is that among the unlabelled less the positives' share of it; the log-likelihood ratio of the two rates must exceed what the best
     of so many strings reaches by chance.
     """
-    names = sorted(s for s, (p, _) in counts.items() if p > 2)
-    if not names:
-        return []
-    n_p, n_n = max(1, n_positive), max(1, round((1 - prior) * n_unlabelled))
-    a = np.array([counts[s][0] for s in names], float)
-    b = np.maximum(np.array([counts[s][1] for s in names], float) - prior * n_unlabelled * a / n_p, 0.0).clip(0, n_n)
-    both = (a + b) / (n_p + n_n)
-    part = lambda k, n, q: k * np.log(np.maximum(k, 1e-12) / (n * q)) + (n - k) * np.log(np.maximum(n - k, 1e-12) / (n * np.maximum(1 - q, 1e-12)))
-    ratio = 2 * (part(a, n_p, both) + part(b, n_n, both))
-    ratio[a / n_p <= 2 * b / n_n] = 0
-    found = sorted(zip(-ratio, names))[:size]
-    return [s for r, s in found if -r > 2 * np.log(len(names))]
+    n_p, n_n = float(max(1, n_positive)), float(max(1, round((1 - prior) * n_unlabelled)))
+    tiny = F.lit(1e-12)
+    part = lambda k, n, q: k * F.log(F.greatest(k, tiny) / (n * q)) + (n - k) * F.log(F.greatest(n - k, tiny) / (n * F.greatest(1 - q, tiny)))
+    known = C.stash(counts.where("p > 2").select("s", F.col("p").cast("double").alias("a"), F.least(F.greatest(F.col("u") - F.lit(prior * n_unlabelled / n_p) * F.col("p"), F.lit(0.0)), F.lit(n_n)).alias("b")), "toxic-strings")
+    n = known.count()
+    both = (F.col("a") + F.col("b")) / (n_p + n_n)
+    ratio = 2 * (part(F.col("a"), n_p, both) + part(F.col("b"), n_n, both))
+    found = known.where(F.col("a") / n_p > 2 * F.col("b") / n_n).select("s", ratio.alias("r")).where(F.col("r") > 2 * float(np.log(max(1, n))))
+    return [x.s for x in found.orderBy(F.desc("r"), "s").limit(size).collect()]
 
 
 def fit(positive: list[list[int]], unlabelled: list[list[int]], names: list[str], prior: float, epochs: int = 600, rate: float = 0.1, l2: float = 1e-4) -> Model:
@@ -130,39 +132,39 @@ def learn(docs: DataFrame, labels: DataFrame, learns: F.Column | None = None) ->
     # a bounded sample of labelled rows: the positives by label, the unlabelled drawn without looking at it
     p = C.sample(known.where("toxic = 1"), MAX_POSITIVE, "doc_id").select("doc_id", F.lit(True).alias("confirmed"))
     u = C.sample(known, MAX_UNLABELLED, "doc_id").select("doc_id", F.lit(False).alias("confirmed"))
-    picked = F.broadcast(p.unionByName(u).groupBy("doc_id").agg(F.collect_list("confirmed").alias("uses")))  # at most 2 * (MAX_POSITIVE + MAX_UNLABELLED) rows
-    texts = docs.select("doc_id", "text").join(picked, "doc_id").select("uses", "text")
+    picked = F.broadcast(p.unionByName(u).groupBy("doc_id").agg(F.collect_list("confirmed").alias("uses")))  # at most MAX_POSITIVE + MAX_UNLABELLED rows
+    texts = C.sample(docs.select("doc_id", "text").join(picked, "doc_id"), MAX_POSITIVE + MAX_UNLABELLED, "doc_id", "text").select("uses", "text")  # also where very many texts share one labelled id
 
     def look(it):
+        task, no = TaskContext.get().partitionId(), 0
         for b in it:
-            found = [sorted(sorted(x, key=hash_of)[:MAX_STRINGS]) for x in map(strings, b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=["uses", "strings"])
-
-    rows = C.stash(texts.mapInArrow(C.lean(look), "uses array<boolean>, strings array<string>"), "toxic-sample")
-    uses = rows.select(F.explode("uses").alias("c")).agg(F.count_if("c").alias("p"), F.count_if(~F.col("c")).alias("u")).first()
+            for use, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found, no = sorted(strings(text)), no + 1
+                chunks = [found[i : i + STRINGS_A_ROW] for i in range(0, len(found), STRINGS_A_ROW)] or [[]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([(task << 40) + no] * len(chunks)), pa.array([k == 0 for k in range(len(chunks))]), pa.array([use] * len(chunks), pa.list_(pa.bool_())), pa.array(chunks, pa.list_(pa.string()))], names=["text_no", "first", "uses", "strings"]
+                )
+
+    rows = C.stash(texts.mapInArrow(C.lean(look), "text_no long, first boolean, uses array<boolean>, strings array<string>"), "toxic-sample")
+    uses = rows.where("first").select(F.explode("uses").alias("c")).agg(F.count_if("c").alias("p"), F.count_if(~F.col("c")).alias("u")).first()
     each = rows.select(F.aggregate("uses", F.lit(0), lambda a, c: a + c.cast("int")).alias("p"), F.size("uses").alias("n"), F.explode("strings").alias("s"))
-    counts = each.groupBy("s").agg(F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("u")).where("p > 2")
-    names = choose_features({r.s: (r.p, r.u) for r in counts.toLocalIterator()}, uses.p, uses.u, prior)
+    counts = each.groupBy("s").agg(F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("u"))
+    names = choose_features(counts, uses.p, uses.u, prior)
     chosen = F.array(*[F.lit(s) for s in names]).cast("array<string>")
     at = {s: i for i, s in enumerate(names)}
+    held: dict[int, tuple[list, list[int]]] = {}
+    for r in rows.select("text_no", "uses", F.array_intersect("strings", chosen).alias("strings")).toLocalIterator():
+        held.setdefault(r.text_no, (r.uses, []))[1].extend(at[s] for s in r.strings)
     positive, unlabelled = [], []
-    for r in rows.select("uses", F.array_intersect("strings", chosen).alias("strings")).toLocalIterator():
-        x = sorted(at[s] for s in r.strings)
-        for confirmed in r.uses:
-            (positive if confirmed else unlabelled).append(x)
+    for use, x in held.values():
+        for confirmed in use:
+            (positive if confirmed else unlabelled).append(sorted(x))
     return fit(sorted(positive), sorted(unlabelled), names, prior)
 
 
-def hash_of(s: str) -> int:
-    import zlib
-
-    return zlib.crc32(s.encode())
-
-
 def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in `keep`, and score."""
     spark = docs.sparkSession
-    C.batches(spark, 1000)
     shared = spark.sparkContext.broadcast(model)  # at most FEATURES weights
     d = docs.select(*keep, "text")
     n = len(d.columns)

@@ -4,9 +4,12 @@ Every archive starts with a skippable Zstandard frame (magic 0x184D2A5D) that ho
 record follows as a frame of its own, so that any record can be read alone. Payloads of at least `MIN_REVISIT` bytes that
 occur more than once are stored once: the row with the largest page_id is the response, the others are revisit records without payload.
 
+The pages are written once to the shared folder with a number for each row, so that rows are told apart whatever they repeat. Which of them are
+revisits is found from digests and numbers alone; the one shuffle of the payloads is by that number, which is unique and cannot be hot.
+
 Defined results: a null html is an empty payload; a null url becomes the empty target; payloads below the bound are always responses;
-rows with a null page_id are always responses;
-rows that repeat both page_id and payload: one of them is the response, the others revisit the same page_id; an empty table gives no
+a null page_id is less than any other: its rows revisit the largest page_id with the same payload, and if there is none, one of them is the response
+and the others refer to null; of rows that repeat both page_id and payload one is the response and the others revisit the same page_id; an empty table gives no
 archives and no rows; columns other than page_id, url and html are ignored, whatever their names.
 """
 
@@ -27,10 +30,10 @@ from pyspark.sql.window import Window
 from . import common as C
 
 MIN_REVISIT = 1000
-#: The dictionary is trained on about so many records, drawn by a hash of their ids (twice as many at most), and is at most so large.
+#: The dictionary is trained on whole records, drawn by a hash of their contents: so many at most, of so many bytes together.
 DICTIONARY_SAMPLE = 1000
+SAMPLE_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
-SAMPLE_BYTES = 64 << 10  # of a record longer than this, the dictionary sees only so much; archives hold all of it
 ARCHIVE_BYTES = 32 << 20
 LEVEL = 3
 SKIPPABLE = 0x184D2A5D
@@ -46,12 +49,13 @@ def train(samples: list[bytes]) -> bytes:
         return b""
 
 
-def record(kind: str, page_id, url: str, payload: bytes, digest: str, size: int, refers_to) -> bytes:
-    """A WARC/1.1 record. Ids are name-based, so that a task run again writes the same bytes."""
-    name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(i))}>"
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page_id)}", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-Id: {'' if page_id is None else page_id}", f"X-Payload-Length: {size}"]
+def record(kind: str, page_id, url: str, payload: bytes, digest: str, size: int, number: int, refers_to=None, refers_to_number: int | None = None) -> bytes:
+    """A WARC/1.1 record. Ids are name-based, by the row's number and contents, so that a task run again writes the same bytes."""
+    name = lambda n, i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{n} {i} {digest}')}>"
+    shown = lambda i: "" if i is None else i
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(number, page_id)}", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-Id: {shown(page_id)}", f"X-Payload-Length: {size}"]
     if kind == "revisit":
-        head += [f"WARC-Refers-To: {name(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {name(refers_to_number, refers_to)}", f"X-Refers-To-Page-Id: {shown(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
@@ -94,32 +98,39 @@ def read_archive(data: bytes):
         yield fields, rest[: int(fields["Content-Length"])]
 
 
-def decide(pages: DataFrame) -> DataFrame:
-    """page_id and `keepers`, a map from the digest of a payload that occurs more than once to the page_id of its response. No html is shuffled."""
-    d = pages.select("page_id", F.coalesce("html", F.lit("")).alias("h")).select("page_id", F.sha1(F.col("h").cast("binary")).alias("digest"), F.octet_length("h").alias("bytes"))
-    d = C.stash(d.where(F.col("bytes") >= MIN_REVISIT).drop("bytes"), "warc-digests")
-    many = d.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return d.join(many, "digest").where("page_id is not null").groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("digest", "keeper"))).alias("keepers"))
+def numbered(pages: DataFrame) -> DataFrame:
+    """n (a number of the row's own), page_id, url, html (not null), digest and bytes of every row, written to the shared folder."""
+    d = pages.select(F.monotonically_increasing_id().alias("n"), "page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    return C.stash(d.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html")), "warc-rows")
+
+
+def revisits(rows: DataFrame) -> DataFrame:
+    """(n, keeper, keeper_n) of the numbered rows that repeat another's payload: the page_id and the number of its response. No html is read."""
+    d = rows.where(F.col("bytes") >= MIN_REVISIT).select("n", "page_id", "digest")
+    many = d.groupBy("digest").agg(F.max(F.struct("page_id", "n")).alias("top"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "top")
+    return C.stash(d.join(many, "digest").where("n <> top.n").select("n", F.col("top.page_id").alias("keeper"), F.col("top.n").alias("keeper_n")), "warc-revisits")
+
+
+def sample_records(rows: DataFrame) -> list[bytes]:
+    """Whole records for training: at most `DICTIONARY_SAMPLE`, as many of these as fit `SAMPLE_BYTES`."""
+    drawn = C.sample(rows.where("bytes > 0").select("digest", "page_id", "n", "bytes"), DICTIONARY_SAMPLE, "digest", "page_id", "n")
+    some = drawn.where(F.col("bytes") <= SAMPLE_BYTES).withColumn("through", F.sum("bytes").over(Window.orderBy("digest", "page_id", "n"))).where(F.col("through") <= SAMPLE_BYTES).select("n")  # a window over the drawn rows alone
+    return [record("response", r.page_id, r.url, r.html.encode(), r.digest, r.bytes, r.n) for r in rows.join(F.broadcast(some), "n").collect()]
 
 
 def write_archives(pages: DataFrame, at: str) -> DataFrame:
     """Write archives into folder `at`; returns the manifest (path, records)."""
-    spark = pages.sparkSession
-    C.batches(spark, 500)
-    sample = pages.where("html is not null").select("page_id", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
-    sample = C.sample(sample, DICTIONARY_SAMPLE, "page_id")
-    dictionary = train([r.html.encode() for r in sample.collect() if r.html])
-    # the one shuffle of the html; rows that repeat a page_id meet in one task, where the first is the response
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).repartition(C.partitions(spark), "page_id")
-    rows = rows.join(decide(pages), "page_id", "left").withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    rows = rows.select("page_id", "url", "html", "digest", F.try_element_at("keepers", F.col("digest")).alias("keeper"))
+    rows = numbered(pages)
+    dictionary = train(sample_records(rows))
+    again = revisits(rows)
+    todo = rows.join(again, "n", "left").select("n", "page_id", "url", "html", "digest", F.col("keeper_n").isNotNull().alias("again"), "keeper", "keeper_n")
 
     def write(it):
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(at)
         task, no, done = TaskContext.get(), 0, []
-        archive, count, kept = Archive(dictionary), 0, set()
+        archive, count = Archive(dictionary), 0
 
         def close():
             name = f"{base}/part-{task.partitionId():06d}-{no:04d}.warc.zst"
@@ -130,13 +141,9 @@ def write_archives(pages: DataFrame, at: str) -> DataFrame:
             done.append((name, count))
 
         for b in it:
-            for page_id, url, html, digest, keeper in zip(*(c.to_pylist() for c in b.columns)):
+            for n, page_id, url, html, digest, again, keeper, keeper_n in zip(*(c.to_pylist() for c in b.columns)):
                 payload = html.encode()
-                first = keeper is None or (page_id == keeper and digest not in kept)
-                if keeper is not None and page_id == keeper:
-                    kept.add(digest)
-                kind = "response" if first else "revisit"
-                archive.add(record(kind, page_id, url, payload if first else b"", digest, len(payload), None if first else keeper))
+                archive.add(record("revisit" if again else "response", page_id, url, b"" if again else payload, digest, len(payload), n, keeper, keeper_n))
                 count += 1
                 if archive.out.tell() >= ARCHIVE_BYTES:
                     close()
@@ -145,7 +152,9 @@ def write_archives(pages: DataFrame, at: str) -> DataFrame:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", "records"])
 
-    return C.stash(rows.mapInArrow(C.lean(write), "path string, records long"), "warc-manifest")
+    manifest = C.stash(todo.mapInArrow(C.lean(write), "path string, records long"), "warc-manifest")
+    C.discard(rows, again)
+    return manifest
 
 
 def read_archives(spark: SparkSession, at: str) -> DataFrame:
@@ -161,13 +170,12 @@ def read_archives(spark: SparkSession, at: str) -> DataFrame:
                     if whole and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"damaged record: {h}")
                     size = len(payload) if whole else int(h["X-Payload-Length"])
-                    rows.append((int(h["X-Page-Id"]) if h["X-Page-Id"] else None, h["WARC-Target-URI"], size, digest, h["WARC-Type"], int(h["X-Refers-To-Page-Id"]) if not whole else None))
+                    rows.append((int(h["X-Page-Id"]) if h["X-Page-Id"] else None, h["WARC-Target-URI"], size, digest, h["WARC-Type"], int(h["X-Refers-To-Page-Id"]) if h.get("X-Refers-To-Page-Id") else None))
                 cols = list(zip(*rows)) or [()] * 6
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    C.batches(spark, 1)  # an archive a batch
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(at).select("content").mapInArrow(C.lean(read), schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(at).select("content").mapInArrow(C.lean(read, rows=1), schema)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,8 +188,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-g AS (SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
-SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN keeper IS NULL OR keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
-FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >= 1000
+g AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) AS place, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN place > 1 AND payload_bytes >= 1000 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN place > 1 AND payload_bytes >= 1000 THEN keeper END AS refers_to
+FROM g
 """

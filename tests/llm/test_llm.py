@@ -194,6 +194,21 @@ def test_quality_order_does_not_change_verdicts(spark, docs):
     assert kept(quality.cascade(plain)) == kept(quality.cascade(plain, quality.rules()[::-1], ordered=False))
 
 
+def test_quality_leaves_other_columns_alone(spark):
+    d = spark.createDataFrame([(1, "a b", "mine", "yours", 7), (None, None, "x", "y", 8)], "doc_id long, text string, _q_text string, `_Q_lines` string, n_words int")
+    got = quality.cascade(d).collect()
+    assert {(r.doc_id, r["_q_text"], r["_Q_lines"], r.n_words, r.kept) for r in got} == {(1, "mine", "yours", 2, False), (None, "x", "y", 0, False)}
+
+
+def test_quality_order_is_by_rejection_per_cost_and_repeatable(spark, docs):
+    more = docs_frame(spark, [(i, " ".join(f"{w}#$" for w in vocabulary(60, i))) for i in range(30)] + [(100 + i, " ".join(vocabulary(80, 50 + i))) for i in range(30)])
+    first = [(r.name, share, cost) for r, share, cost in quality.order(more, quality.rules())]
+    assert first == [(r.name, share, cost) for r, share, cost in quality.order(more.repartition(7), quality.rules())]
+    assert first[0][0] == "many symbols" and first[0][1] > 0
+    rate = lambda r: r[1] / r[2]
+    assert rate(first[0]) == max(map(rate, first))
+
+
 def test_quality_of_an_empty_table(empty):
     assert quality.cascade(empty).count() == 0
 
@@ -224,10 +239,50 @@ def test_toxicity_learns_from_positives_and_unlabelled_alone(spark):
 
 def test_toxicity_without_labels_scores_zero(spark, docs, empty):
     model = toxicity.learn(docs.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, toxic int"))
-    assert max(r.score for r in toxicity.score_texts(docs, model).collect()) < 1e-6
+    assert max(r.score for r in toxicity.score_texts(docs, model).collect()) == 0
     assert toxicity.score_texts(empty, model).count() == 0
 
 
+def test_toxicity_counts_and_scores_against_brute_force(spark, monkeypatch):
+    """The chosen strings by plain counting, also of a text far longer than a row of strings, and the scores by a plain sum."""
+    from math import exp, log
+
+    monkeypatch.setattr(toxicity, "STRINGS_A_ROW", 7)
+    r, v = random.Random(5), vocabulary()
+    rows = [(i, " ".join([r.choice(v) for _ in range(30)] + (["idiot", "Moron!"] if i % 5 == 0 else []))) for i in range(300)] + [(300, " ".join(f"zz{k}" for k in range(30_000)) + " idiot")]
+    labels = [(i, int(i % 5 == 0)) for i, _ in rows]
+    model = toxicity.learn(docs_frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), toxicity.F.lit(True))
+    n_p, n_u = sum(t for _, t in labels), len(labels)
+    p, u = {}, {}
+    for (_, text), (_, toxic) in zip(rows, labels):
+        for s in toxicity.strings(text):
+            u[s] = u.get(s, 0) + 1
+            p[s] = p.get(s, 0) + toxic
+    prior = n_p / n_u
+    names = [s for s in p if p[s] > 2]
+    part = lambda k, n, q: k * log(max(k, 1e-12) / (n * q)) + (n - k) * log(max(n - k, 1e-12) / (n * max(1 - q, 1e-12)))
+    want = {}
+    n_n = max(1, round((1 - prior) * n_u))
+    for s in names:
+        a, b = p[s], min(max(u[s] - prior * n_u * p[s] / n_p, 0), n_n)
+        q = (a + b) / (n_p + n_n)
+        if a / n_p > 2 * b / n_n and (ratio := 2 * (part(a, n_p, q) + part(b, n_n, q))) > 2 * log(len(names)):
+            want[s] = ratio
+    assert set(model.weights) <= set(want) and {"idiot", "moron"} <= set(model.weights)
+    got = {x.doc_id: x.score for x in toxicity.score_texts(docs_frame(spark, rows), model).collect()}
+    for i, text in rows:
+        z = model.bias + sum(model.weights.get(s, 0) for s in toxicity.strings(text))
+        assert abs(got[i] - 1 / (1 + exp(-max(-30, min(30, z))))) < 1e-9
+
+
+def test_toxicity_of_texts_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 10)
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 20)
+    d = docs_frame(spark, [(1, f"idiot {k}") for k in range(200)] + [(i, f"fine {i}") for i in range(2, 60)])
+    model = toxicity.learn(d, spark.createDataFrame([(i, int(i == 1)) for i in range(1, 60)], "doc_id long, toxic int"), toxicity.F.lit(True))
+    assert len({r.score for r in toxicity.score_texts(d.where("doc_id = 1"), model).collect()}) >= 1
+
+
 # ---------------------------------------------------------------- 4 tokens
 
 
@@ -254,10 +309,19 @@ def test_token_files_have_page_indexes_and_allow_metadata_reads(spark, docs):
     tokens.write_tokens(docs, at, tokens.tokenizer_path())
     f = next(Path(at.removeprefix("file://")).glob("*.parquet"))
     g = pq.ParquetFile(f).metadata.row_group(0)
-    assert all(g.column(k).has_offset_index for k in range(g.num_columns)) and "DELTA_BINARY_PACKED" in g.column(0).encodings
+    assert all(g.column(k).has_offset_index and g.column(k).has_column_index for k in range(g.num_columns) if g.column(k).path_in_schema != "ids.list.element") and "DELTA_BINARY_PACKED" in g.column(0).encodings
+    ids = next(g.column(k) for k in range(g.num_columns) if g.column(k).path_in_schema.startswith("ids"))
+    assert ids.has_offset_index and {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(ids.encodings) and g.total_byte_size <= 2 * tokens.ROW_GROUP_BYTES
     assert tokens.read_tokens(spark, at).where("doc_id = 0").select("n_tokens").count() == 1
 
 
+def test_tokens_of_texts_that_share_an_id_lie_alike_however_they_are_dealt(spark):
+    rows = [(None if k % 2 else 5, f"text {k % 13} " * (k % 7)) for k in range(60)]
+    d = docs_frame(spark, rows)
+    one, many = (sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.token_output(x).collect()) for x in (d.coalesce(1), d.repartition(6)))
+    assert one == many and len(one) == 60
+
+
 def test_tokens_of_an_empty_table(empty):
     assert tokens.token_output(empty).count() == 0
 
@@ -368,6 +432,30 @@ def test_decontamination_in_slices_gives_the_same(spark, docs, rows, monkeypatch
     assert sorted(map(tuple, decontaminate.search(docs, bench, ["doc_id"]).collect())) == one
 
 
+def test_decontamination_of_clashing_columns_and_short_items(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "one Two three four five six", "a", "b", 1.0), (None, "x two THREE", None, None, 2.0), (None, None, "c", None, 3.0)], "doc_id long, text string, text_ string, digest_ string, containment double")
+    bench = spark.createDataFrame([(7, "two three"), (8, "three two"), (9, "x two three four")], "item_id long, text string")
+    for bound in (decontaminate.BROADCAST_BYTES, 300):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
+        got = decontaminate.decontaminate(d, bench)
+        assert set(got.columns) == {"doc_id", "text", "text_", "digest_", "contained_item", "containment", "contaminated"}
+        assert {(r.doc_id, r.text_, r.contained_item, r.containment) for r in got.collect()} == {(1, "a", 7, 1.0), (None, None, 7, 1.0), (None, "c", None, None)}
+
+
+def test_decontamination_time_does_not_grow_with_the_items():
+    import time
+
+    r, v = random.Random(1), vocabulary(5000)
+    text = lambda n: " ".join(r.choice(v) for _ in range(n))
+    docs, took = pa.array([text(400) for _ in range(200)]), {}
+    for n in (400, 40_000):
+        index = decontaminate.Index([(i, text(40)) for i in range(n)])
+        began = time.perf_counter()
+        index.search_all(docs)
+        took[n] = time.perf_counter() - began
+    assert took[40_000] < 4 * took[400] + 0.1, took
+
+
 def test_decontamination_of_empty_tables(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(docs, none).where("contaminated").count() == 0
@@ -408,7 +496,7 @@ def pages_frame(spark, rows):
 
 def test_warc_round_trip(spark):
     big, v = "<p>é" + "x" * 1200, vocabulary()
-    rows = [(1, "http://a/", big), (2, "http://b/", big), (9, "http://c/", big), (3, None, None), (4, "u", ""), (5, "s", "small"), (6, "s", "small"), (7, "r", "<b>" * 400), (7, "r", "<b>" * 400), (None, "n", big)]
+    rows = [(1, "http://a/", big), (2, "http://b/", big), (9, "http://c/", big), (3, None, None), (4, "u", ""), (5, "s", "small"), (6, "s", "small"), (7, "r", "<b>" * 400), (7, "r", "<b>" * 400), (None, "n", big), *[(None, "o", "null " * 1000)] * 3, (50, "long", "<i>very long</i>" * 200_000)]
     rows += [(100 + i, f"http://h/{i}", " ".join(v[i : i + 200]) * 3) for i in range(60)]
     at = C.scratch(spark, "w")
     manifest = warc.write_archives(pages_frame(spark, rows), at)
@@ -419,16 +507,21 @@ def test_warc_round_trip(spark):
     for r in got:
         by.setdefault(r.page_id, []).append(r)
     assert [(by[i][0].record_type, by[i][0].refers_to) for i in (1, 2, 9)] == [("revisit", 9), ("revisit", 9), ("response", None)]
-    assert sorted((r.record_type, r.refers_to) for r in by[7]) == [("response", None), ("revisit", 7)] and by[None][0].record_type == "response"
+    assert sorted((r.record_type, r.refers_to) for r in by[7]) == [("response", None), ("revisit", 7)]
+    assert [(r.record_type, r.refers_to) for r in by[None] if r.payload_bytes == len(big.encode())] == [("revisit", 9)]
+    alone = [(r.record_type, r.refers_to) for r in by[None] if r.payload_bytes == 5000]
+    assert sorted(alone, key=str) == [("response", None), ("revisit", None), ("revisit", None)]
     assert [by[i][0].record_type for i in (3, 4, 5, 6)] == ["response"] * 4
     for i, u, h in rows:
         p = (h or "").encode()
+        if i is None:
+            continue
         assert {(r.payload_bytes, r.payload_digest) for r in by[i]} == {(len(p), hashlib.sha1(p).hexdigest())}
 
 
 def test_warc_archive_layout_and_truncation():
     v = vocabulary()
-    recs = [warc.record("response", i, f"http://h/{i}", (" ".join(v[i : i + 100])).encode(), "d", 1, None) for i in range(60)]
+    recs = [warc.record("response", i, f"http://h/{i}", (" ".join(v[i : i + 100])).encode(), "d", 1, i) for i in range(60)]
     dictionary = warc.train([r for r in recs] * 3)
     a = warc.Archive(dictionary)
     for r in recs:
@@ -443,6 +536,41 @@ def test_warc_archive_layout_and_truncation():
     assert len(list(warc.read_archive(plain.out.getvalue()))) == 1 and not list(warc.read_archive(b""))
 
 
+def test_warc_ids_tell_rows_apart_and_settings_stay(spark):
+    import re
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    at = C.scratch(spark, "w")
+    warc.write_archives(pages_frame(spark, [(None, "a", "x"), (None, "b", "y"), (1, "c", "z"), (1, "d", "z")]), at).count()
+    ids = []
+    for f in Path(at.removeprefix("file://")).glob("*.warc.zst"):
+        ids += [h["WARC-Record-ID"] for h, _ in warc.read_archive(f.read_bytes())]
+    assert len(set(ids)) == 4 and all(re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", i) for i in ids)
+    assert warc.read_archives(spark, at).count() == 4 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://elsewhere:7077"
+        _python_includes = ["ledgerloom.zip"]
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("conf", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    with pytest.raises(ValueError):
+        C.shared_dir(Session())
+
+
+def test_samples_are_bounded_and_repeatable(spark):
+    d = spark.range(5000).selectExpr("id", "cast(id % 700 as string) as t")
+    one, two = (sorted(map(tuple, C.sample(x, 100, "id", "t").collect())) for x in (d, d.repartition(9)))
+    assert one == two and len(one) == 100 and C.sample(d.selectExpr("null id", "'x' t"), 100, "id", "t").count() <= 100
+
+
 def test_warc_of_an_empty_table(spark):
     at = C.scratch(spark, "w")
     assert warc.write_archives(pages_frame(spark, []), at).count() == 0
