@@ -465,28 +465,71 @@ def test_decontamination_of_empty_tables(spark, docs, empty):
 # ---------------------------------------------------------------- 8 lines
 
 
-def brute_lines(rows, run=3):
+def brute_lines(rows, run=2, long_line=8):
+    """Stretches of `run` lines, or one line of `long_line` words, that occur at an earlier place are deleted; places are ordered by id, hash of the text, and line."""
+    import xxhash
+
+    def order(t):
+        h = xxhash.xxh64_intdigest((t or "").encode(), 42)
+        return h - (1 << 64) if h >> 63 else h
+
+    def windows(w):
+        for a in range(len(w)):
+            if a + run <= len(w):
+                yield a, run, tuple(s for _, s in w[a : a + run])
+            if len(w[a][1].split()) >= long_line:
+                yield a, 1, (w[a][1],)
+
     places, out = {}, []
     texts = [(i, [(k, s.strip(" \t\x0b\x0c\r")) for k, s in enumerate((t or "").split("\n")) if s.strip(" \t\x0b\x0c\r")], t) for i, t in rows]
-    for i, w, _ in texts:
-        for a in range(len(w) - run + 1):
-            k = tuple(s for _, s in w[a : a + run])
-            places[k] = min(places.get(k, (i, a)), (i, a))
     for i, w, t in texts:
-        gone = {w[a + j][0] for a in range(len(w) - run + 1) if places[tuple(s for _, s in w[a : a + run])] < (i, a) for j in range(run)}
+        for a, _, k in windows(w):
+            if i is not None:
+                places[k] = min(places.get(k, (i, order(t), a)), (i, order(t), a))
+    for i, w, t in texts:
+        gone = {w[a + j][0] for a, n, k in windows(w) if i is not None and places[k] < (i, order(t), a) for j in range(n)}
         out.append((i, len(w), len(gone), None if t is None else "\n".join(s for k, s in enumerate(t.split("\n")) if k not in gone)))
-    return sorted(out, key=lambda x: (x[0], x[3] or ""))
+    return sorted(out, key=str)
 
 
-def test_lines_against_brute_force(spark, empty):
+def found_lines(d, **more):
+    return sorted(((x.doc_id, x.n_lines, x.n_removed, x.kept_text) for x in linededup.dedup_lines(d, **more).collect()), key=str)
+
+
+@pytest.mark.parametrize("run", [2, 3])
+def test_lines_against_brute_force(spark, empty, run):
     r = random.Random(6)
-    lines = [f"line {k}" for k in range(12)] + ["", " \t", "  line 1  "]
-    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randint(0, 25)))) for i in range(80)] + [(90, None), (91, ""), (92, "x\n" * 40)]
-    got = linededup.dedup_lines(docs_frame(spark, rows)).collect()
-    assert sorted(((x.doc_id, x.n_lines, x.n_removed, x.kept_text) for x in got), key=lambda x: (x[0], x[3] or "")) == brute_lines(rows)
+    lines = [f"line {k}" for k in range(12)] + ["", " \t", "  line 1  ", "one line of many words that is long enough", "another line of many words that is long enough too"]
+    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randint(0, 25)))) for i in range(80)] + [(90, None), (91, ""), (92, "x\n" * 40), (93, "x\ny\nx\ny")]
+    rows += [(None, rows[0][1]), (None, None), (5, rows[6][1]), rows[7], (8, rows[8][1] + "\nmore\nline 3")]
+    assert found_lines(docs_frame(spark, rows), run=run) == brute_lines(rows, run)
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_lines_that_only_neighbours_tell_apart_are_extended_both_ways(spark):
+    """The same selected line stands in different company: only the company decides."""
+    rows = [(1, "p\nq\nr"), (2, "s\nq\nt"), (3, "s\nq\nr"), (4, "q"), (5, "x\np\nq\nr\ny")]
+    assert found_lines(docs_frame(spark, rows)) == brute_lines(rows)
+
+
+def test_lines_of_clashing_columns(spark):
+    rows = [(1, "a\nb", 1, "x", 5), (2, "a\nb", None, None, 6), (None, "a\nb", 3, "z", 7)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, `gone_` int, Gone_id_ string, n_lines int")).collect()
+    assert {(r.doc_id, r["gone_"], r["Gone_id_"], r.n_lines, r.n_removed, r.kept_text) for r in got} == {(1, 1, "x", 2, 0, "a\nb"), (2, None, None, 2, 2, ""), (None, 3, "z", 2, 0, "a\nb")}
+
+
+def test_lines_of_very_long_texts_take_linear_time_whatever_is_selected(spark):
+    import time
+
+    text = "\n".join(f"line number {k}" for k in range(40_000))
+    out = linededup.dedup_lines(docs_frame(spark, [(1, text), (2, text)]))
+    for columns in (["doc_id", "n_removed", "kept_text"], ["n_lines"], ["doc_id", "n_lines", "n_removed", "kept_text"]):
+        began = time.perf_counter()
+        got = out.select(*columns).collect()
+        assert time.perf_counter() - began < 20
+    assert sorted((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in got) == [(1, 40_000, 0, text), (2, 40_000, 40_000, "")]
+
+
 # ---------------------------------------------------------------- 10 warc
 
 
