@@ -15,18 +15,25 @@ def components(links: DataFrame) -> DataFrame:
     both = lambda e: e.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(e.select(F.col("b").alias("id"), F.col("a").alias("to")))
     labels = None
     while True:
-        point = both(edges).groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("comp"))
-        point = C.stash(point, "cc-point")
+        point = C.stash(both(edges).groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("comp")), "cc-point")
         while True:  # follow pointers
             up = point.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
-            follow = C.stash(point.join(up, "comp", "left").select("id", "comp", F.coalesce("root", "comp").alias("root")), "cc-follow")
-            moved = follow.where("root <> comp").limit(1).count()
-            point = follow.select("id", F.col("root").alias("comp"))
-            if not moved:
+            follow = point.join(up, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"), (F.col("root") != F.col("comp")).alias("moved"))
+            follow = C.stash(follow, "cc-point")
+            C.discard(point)
+            point = follow
+            if not point.where("moved").limit(1).count():
                 break
-        labels = point if labels is None else C.stash(labels.join(point.select(F.col("id").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "cc-labels")
+        if labels is None:
+            new = point
+        else:
+            new = C.stash(labels.join(point.select(F.col("id").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "cc-labels")
+            C.discard(labels)
         a = point.select(F.col("id").alias("a"), F.col("comp").alias("ra"))
         b = point.select(F.col("id").alias("b"), F.col("comp").alias("rb"))
-        edges = C.stash(edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
+        left = C.stash(edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
+        C.discard(edges, *([] if new is point else [point]))
+        labels, edges = new, left
         if not edges.limit(1).count():
-            return labels
+            C.discard(edges)
+            return labels.select("id", "comp")
