@@ -74,10 +74,10 @@ def fresh(name: str, *taken: list[str]) -> str:
 
 
 def pieces(it, rows: int = 500):
-    """Arrow batches cut to `rows` rows: Spark bounds a batch's bytes, this bounds what is made of it."""
+    """Arrow batches cut to `rows` rows: Spark bounds a batch's bytes, this bounds what is made of it. Pieces are copied, as some Arrow kernels misread slices."""
     for b in it:
         for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+            yield b if b.num_rows <= rows else pa.concat_batches([b.slice(at, rows)])
 
 
 def lean(f, rows: int = 500):
@@ -165,6 +165,7 @@ def running_sum(df: DataFrame, group: str, order: list[str], value: str) -> Data
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Offsets (one more than texts), the flat dictionary codes of all words, and the dictionary. Null texts have no words."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    texts = pa.concat_arrays([texts]) if texts.offset else texts
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if lower:
         texts = pc.ascii_lower(texts)
@@ -181,8 +182,12 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return off, code, names
 
 
-def word_hashes(names: pa.Array) -> np.ndarray:
-    return pd.util.hash_array(np.array(names.to_pylist(), dtype=object), categorize=False) if len(names) else np.empty(0, np.uint64)
+#: Keys of two independent hashes of words.
+WORD_KEYS = ("0123456789123456", "ledgerloom-words")
+
+
+def word_hashes(names: pa.Array, key: str = WORD_KEYS[0]) -> np.ndarray:
+    return pd.util.hash_array(np.array(names.to_pylist(), dtype=object), hash_key=key, categorize=False) if len(names) else np.empty(0, np.uint64)
 
 
 def mix(a: np.ndarray) -> np.ndarray:

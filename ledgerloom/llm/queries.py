@@ -19,7 +19,9 @@ QUERIES = {
 ORACLES = {
     "op2_quality": quality.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op6_neardup": neardup.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_linededup": linededup.ORACLE,
+    "op9_substring": substring.ORACLE,
     "op10_warc": warc.ORACLE,
 }
