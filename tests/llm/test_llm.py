@@ -79,6 +79,15 @@ def test_words_are_split_on_ascii_white_space_only():
     assert w == ["a", "b", "c", "d", "e", "x y", "z w"] and off.tolist() == [0, 5, 5, 5, 5, 7]
 
 
+def test_words_of_a_slice_are_those_of_the_same_texts():
+    texts = pa.array([f"Ä{k} Bé{k % 7} ñ" * (k % 5) for k in range(3000)])
+    for lower in (False, True):
+        cut = C.shingle_sets(texts.slice(1234, 700), 2, lower)
+        assert all((a == b).all() for a, b in zip(cut, C.shingle_sets(pa.array(texts.slice(1234, 700).to_pylist()), 2, lower)))
+    pieces = list(C.pieces([pa.RecordBatch.from_arrays([texts], names=["t"])], 500))
+    assert [p.num_rows for p in pieces] == [500] * 6 and all(p.column(0).offset == 0 for p in pieces)
+
+
 def test_running_sum_spans_partitions_and_groups(spark):
     rows = [(g, k, (k * 7 + len(g)) % 5) for g in ("a", "b", "hot") for k in range(300 if g == "hot" else 4)]
     got = C.running_sum(spark.createDataFrame(rows, "g string, k int, x int"), "g", ["k"], "x").collect()
@@ -143,13 +152,112 @@ def test_html_of_other_templates(spark, name):
     assert all(want[0].split("\n")[-1] in r.text for r in got.where("page_id >= 99").collect())
 
 
-def test_html_mismatches_become_optional_and_repeated_groups():
-    w = html.Wrapper()
-    for body in ("<h1>a</h1><p>x</p><p>y</p>", "<h1>b</h1><h2>s</h2><p>z</p>", "<h1>c</h1><p>q</p><hr><table><tr><td>1</td></tr></table>"):
-        t, _, repeats, stats = html.summary(html.Page(body))
-        w.add(t, repeats, stats)
-    e = w.expression()
-    assert e.startswith("h1 # /h1") and "( p # )+" in e and "h2? #? /h2?" in e and "table?" in e
+def wrapper_of(*pages):
+    w = html.parse(pages[0])
+    for p in pages[1:]:
+        html.align(w, html.parse(p))
+    return w
+
+
+def test_html_mismatches_become_optional_and_repeated_groups_and_slots():
+    w = wrapper_of("<h1>a</h1><p>x</p><p>y</p><i>same</i>", "<h1>b</h1><h2>s</h2><p>z</p><i>same</i>", "<h1>c</h1><p>q</p><hr><table><tr><td>1</td></tr></table><i>same</i>")
+    e = html.expression(w)
+    assert e == "<h1> # </h1> ( <h2> = </h2> )? ( <p> # </p> )+ ( <table> <tr> <td> = </td> </tr> </table> )? ="
+    assert html.expression(html.load(html.dump(w))) == e
+    pairs = wrapper_of("<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl><p>1", "<dl><dt>a<dd>b</dl><p>2", "<dl><dt>g<dd>h<dt>i<dd>j</dl><p>3")
+    assert html.expression(pairs) == "<dl> ( <dt> # </dt> <dd> # </dd> )+ </dl> <p> # </p>"
+    slot = wrapper_of('<div class="a post"><p>1</div><div class="end">e</div>', '<div class="b post"><p>2</div><div class="end">e</div>', '<div class="c post"><p>3</div><div class="end">e</div>')
+    assert html.expression(slot) == "<div.post.*> <p> # </p> </div> <div.end> = </div>"
+
+
+def test_html_wrappers_of_parts_merge_to_the_wrapper_of_all():
+    r = random.Random(4)
+    pages = ["<h1>t%d</h1>%s<div class=foot>end</div>" % (k, "".join(r.choice(["<p>%s</p>", "<ul><li>%s</ul>"]) % r.random() for _ in range(r.randint(1, 6)))) for k in range(30)]
+    one, two, whole = wrapper_of(*pages[:15]), wrapper_of(*pages[15:]), wrapper_of(*pages)
+    html.align(one, html.load(html.dump(two)))
+    assert one.pages == whole.pages == 30
+    for w in (one, whole):
+        main = html.judge(w)
+        for p in pages:
+            assert html.main_text(html.parse(p), w, main).split("\n") == [x for x in html.re.split(r"<[^>]*>", p) if x][:-1]
+
+
+def test_html_tags_left_open():
+    alone = lambda p: html.main_text(html.parse(p), html.parse(p), set()) if False else html.main_text(html.parse(p), w := html.parse(p), html.judge(w))
+    assert alone("<html><head><title>t</title><p>Hello") == "Hello"
+    for tag in ("button", "select", "svg", "canvas", "object"):
+        assert alone(f"<article><p>One<{tag}>x<p>Two</article>") == "One\nTwo", tag
+        assert alone(f"<article><p>One<{tag}>x</{tag}><p>Two</article>") == "One\nTwo", tag
+    assert alone("<article><p>A<select><option>b<option>c</select> d<ul><li>e<li>f</ul><table><tr><td>g<td>h<tr><td>i</table></article>") == "A d\ne\nf\ng\nh\ni"
+    assert alone("<article><p>One<script>var x = '<p>no'") == "One" and alone(None) == alone("") == ""
+    deep = alone("<div>" * 30_000 + "<p>deep")
+    assert deep == "deep"
+
+
+def made_host(r, style, host, n):
+    """Pages of one template, and the main text of each by construction."""
+    v = vocabulary()
+    text = lambda k: " ".join(r.choice(v) for _ in range(k))
+    motto, imprint, plea = text(9), text(12), text(10)
+    pages = []
+    for _ in range(n):
+        blocks, want = [f"<h1>{(t := text(4))}</h1>"], [t]
+        for _ in range(r.randint(2, 9)):
+            kind = r.choice(["p", "p", "p", "ul", "quote", "h2"])
+            t = text(r.randint(12, 40))
+            if kind == "ul":
+                items = [text(5) for _ in range(r.randint(1, 5))]
+                blocks.append("<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>")
+                want += items
+            else:
+                blocks.append({"p": f"<p>{t}</p>", "quote": f"<blockquote><p>{t}</p></blockquote>", "h2": f"<h2>{t}</h2>"}[kind])
+                want.append(t)
+        if style == "article with a constant plea":
+            blocks.insert(2, f"<p class='q7'>{plea}</p>")
+        body = "".join(blocks)
+        links = "".join(f"<li><a href=/{k}>{text(2)}</a>" for k in range(r.randint(2, 6)))
+        box = {"plain": "div class='z1'", "tables": "td", "unnamed": "div"}.get(style, "article")
+        main = f"<{box}>{body}</{box.split()[0]}>"
+        if style == "tables":
+            main = f"<table><tr><td><ul>{links}</ul></td>{main}</tr></table>"
+        side = f"<div class='z9'><p>{text(4)}</p><ul>{links}</ul></div>" if style == "plain" else ""
+        pages.append((f"https://{host}/{r.random()}", f"<html><body><div class='y1'>{motto}</div><div class='y2'><ul>{links}</ul></div>{main}{side}<div class='y3'>{imprint}</div></body></html>", "\n".join(want)))
+    return pages
+
+
+@pytest.mark.parametrize("style", ["plain", "unnamed", "tables", "article", "article with a constant plea"])
+def test_html_against_texts_known_by_construction(spark, style):
+    """No page has a telling class name; only the wrapper tells its parts."""
+    made = made_host(random.Random(style), style, "made.org", 25)
+    rows = [(k, u, p) for k, (u, p, _) in enumerate(made)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {k: want for k, (_, _, want) in enumerate(made)}
+
+
+def test_html_result_comes_through_the_wrapper():
+    made = made_host(random.Random(2), "article with a constant plea", "x.org", 8)
+    pages = [p for _, p, _ in made]
+    w = wrapper_of(*pages)
+    main = html.judge(w)
+    for _, p, want in made:
+        alone = html.parse(p)
+        assert html.main_text(html.parse(p), w, main) == want != html.main_text(html.parse(p), alone, html.judge(alone))
+
+
+def test_html_names_decide_only_what_the_wrapper_leaves_open():
+    r, v = random.Random(5), vocabulary()
+    text = lambda k: " ".join(r.choice(v) for _ in range(k))
+    pages = [f"<article><p>{text(9)}</p><div class='notice of findings'><p>{text(8)}</p></div><div class=sidebar>The same for all.</div><div class=ad>{text(5)}</div></article>" for _ in range(6)]
+    w = wrapper_of(*pages)
+    assert all(len(html.main_text(html.parse(p), w, html.judge(w)).split("\n")) == 2 for p in pages)
+
+
+def test_html_of_very_long_pages_and_clashing_columns(spark):
+    long = "<article>" + "".join(f"<p>word{k} and more</p><ul><li>{k}</ul>" for k in range(20_000)) + "</article><footer>f</footer>"
+    rows = [(1, "http://h.org/1", long, "a", "b"), (2, "http://h.org/2", "<article><p>x</article>", None, None), (None, None, None, "c", "d")]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, `host_` string, html_ string"), keep=("page_id", "host_", "html_"))
+    out = {r.page_id: (r["host_"], r["html_"], len(r.text.split("\n")), r.text[:14]) for r in got.collect()}
+    assert out == {1: ("a", "b", 40_000, "word0 and more"), 2: (None, None, 1, "x"), None: ("c", "d", 1, "")}
 
 
 def test_html_of_an_empty_table(spark):
@@ -375,6 +483,31 @@ def test_blocks_count_intersections():
     assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[8:]] for a in sets[:8]]
 
 
+def test_blocks_estimate_by_the_sketch_of_the_union():
+    r = np.random.default_rng(2)
+    a, b = ([np.unique(r.integers(0, 50, r.integers(1, 30)).astype(np.uint64))[:12] for _ in range(15)] for _ in range(2))
+    got = neardup._candidates(a, b, k=12, chunk=7)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            union = np.union1d(x, y)[:12]
+            both = len(np.intersect1d(np.intersect1d(x, y), union))
+            assert got[i, j] == (len(np.intersect1d(x, y)) >= max(1, min(len(x), len(y)) * 5 // 12) and both / len(union) >= neardup.ESTIMATE)
+
+
+def test_blocks_emit_a_forest():
+    a, b = np.array([1, 1, 2, 5, 3, 1, 7]), np.array([2, 2, 3, 6, 1, 3, 5])
+    kept = neardup._forest(a, b)
+    assert len(kept) == 4 and {frozenset((int(a[i]), int(b[i]))) for i in kept} <= {frozenset(x) for x in [(1, 2), (2, 3), (1, 3), (5, 6), (5, 7)]}
+
+
+def test_near_duplicates_of_null_and_shared_ids(spark):
+    v = vocabulary()
+    text = lambda k: " ".join(v[k : k + 60])
+    rows = [(1, text(0)), (1, text(100)), (2, text(100) + " end"), (None, text(0)), (None, None), (3, text(0) + " end")]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs_frame(spark, rows)).collect()), key=str)
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, None, True), (None, None, True)]
+
+
 def test_near_duplicates_of_an_empty_table(empty):
     assert neardup.near_duplicates(empty).count() == 0
 
@@ -411,6 +544,17 @@ def test_substrings_with_short_windows(spark, window):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute.substrings(rows, window)
 
 
+def test_substrings_of_rows_without_an_id(spark, rows):
+    got = substring.dedup_substrings(docs_frame(spark, [(1, rows[0][1]), (None, rows[0][1]), (2, rows[0][1]), (None, rows[1][1] + " " + rows[0][1])])).collect()
+    assert sorted((str(r.doc_id), r.n_removed > 0) for r in got) == [("1", False), ("2", True), ("None", False), ("None", False)]
+
+
+def test_substrings_stop_where_no_candidate_survives(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(80))) for i in range(5)]
+    got = substring.dedup_substrings(docs_frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute.substrings(rows)
+
+
 def test_substrings_of_an_empty_table(empty):
     assert substring.dedup_substrings(empty).count() == 0
 
