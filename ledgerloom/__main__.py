@@ -23,8 +23,8 @@ def main() -> None:
     read = statement.read(spark, a.statements).withColumn("statement_id", F.col("_metadata.file_path")).where("sections is not null")
     history = None
     if a.history:
-        h = files.history(spark, a.history).select(F.col("fecha_extracto").alias("period"), F.col("total_portafolio").alias("total"))
-        history = read.select("statement_id").join(F.broadcast(h.limit(10_000)), how="cross")  # a history of months
+        h = files.history(spark, a.history).select(F.col("fecha_extracto").alias("period"), F.col("total_portafolio").alias("total"), F.lit(1).alias("all"))
+        history = read.select("statement_id", F.lit(1).alias("all")).join(h, "all").drop("all")  # every statement has the whole history; Spark broadcasts it only if it is small
     done = Analysis(read, history, config.load(spark, a.config) if a.config else config.FinanceConfig())
     done.kpis().show(truncate=False, vertical=True)
     done.alerts().orderBy("statement_id", "seq").show(truncate=False)

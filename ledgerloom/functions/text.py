@@ -37,8 +37,17 @@ def fuzzy_match(text: Column, keywords: str) -> Column:
     return out
 
 
+def pieces(needle: str, n: int) -> list[str]:
+    """The needle cut into n parts of about equal length."""
+    cut = [len(needle) * i // n for i in range(n + 1)]
+    return [needle[i:j] for i, j in zip(cut, cut[1:])]
+
+
 def fuzzy_contains(text: Column, needle: str, distance: int) -> Column:
-    """Some substring of the text is within the edit distance of the needle; the exact substring is looked for first."""
+    """Some substring of the text is within the edit distance of the needle; the exact substring is looked for first.
+
+    Of distance + 1 parts of the needle, so few edits leave one untouched: texts that hold none of them are told apart without any distance being computed.
+    """
     n = len(needle)
     size = F.length(text)
     near = F.exists(
@@ -50,7 +59,10 @@ def fuzzy_contains(text: Column, needle: str, distance: int) -> Column:
     )
     short = (size < n - distance) & (F.levenshtein(text, F.lit(needle)) <= distance)
     exact = F.contains(text, F.lit(needle))
-    return F.coalesce(exact if not distance else F.when(exact, True).when(size < n - distance, short).otherwise(near), F.lit(False))
+    may = F.lit(n <= distance)
+    for part in pieces(needle, distance + 1):
+        may = may | F.contains(text, F.lit(part))
+    return F.coalesce(exact if not distance else F.when(exact, True).when(~may, False).when(size < n - distance, short).otherwise(near), F.lit(False))
 
 
 def tolerance(needle: str) -> int:

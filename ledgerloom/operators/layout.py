@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.numbers import let
 from ..session import ship
 
 
@@ -82,35 +83,35 @@ def with_lines(pages: DataFrame, first_fit: bool = False, tolerance: int = 20) -
     """Add `lines`: an array of (y, blocks), top to bottom, blocks left to right.
 
     The greedy folds are inherently sequential; folding arrays in Spark copies what it has gathered at every step, so the numbers of a page are grouped in
-    Python, which returns indexes only.
+    Python, which returns indexes only. Beside these only the page as given passes through; its sorted copy is made afterwards.
     """
     ship(pages.sparkSession)
     key = (lambda b: b["y"]) if first_fit else (lambda b: b["y"] + F.floor(b["h"] / 2).cast("int"))
     own = F.filter("blocks", lambda b: b["text"] != "") if first_fit else F.col("blocks")
-    d = pages.withColumn("_b", F.array_sort(F.transform(own, lambda b: F.struct(key(b).alias("k"), b["x"].alias("x"), b.alias("b")))))
-    d = d.withColumn("_n", F.transform("_b", lambda z: F.struct(z["k"].alias("k"), z["b"]["h"].alias("h"), z["x"].alias("x"))))
-    n = d.columns.index("_n")
+    placed = F.array_sort(F.transform(own, lambda b: F.struct(key(b).alias("k"), b["x"].alias("x"), b.alias("b"))))
+    d = pages.withColumn("_n", F.transform(placed, lambda z: F.struct(z["k"].alias("k"), z["b"]["h"].alias("h"), z["x"].alias("x"))))
+    n, kept = d.columns.index("_n"), pages.columns
 
     def group(it):
         for batch in it:
             pages = batch.column(n)
             off = pages.offsets.to_numpy()
             k, h, x = (pages.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            ys, sizes, ats, per = [], [], [], []
+            ys, ats, per = [], [], []
             for i, j in zip(off[:-1].tolist(), off[1:].tolist()):
                 lines = first_fit_groups(k[i:j], h[i:j], x[i:j]) if first_fit else greedy_groups(k[i:j], x[i:j], tolerance)
                 per.append(len(lines))
                 ys += [y for y, _ in lines]
                 ats += [m for _, m in lines]
-            sizes = [len(m) for m in ats]
             flat = np.concatenate(ats) if ats else np.empty(0, np.int64)
-            at = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat.astype(np.int32)))
+            at = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(m) for m in ats])].astype(np.int32)), pa.array(flat.astype(np.int32)))
             line = pa.StructArray.from_arrays([pa.array(ys, pa.int32()), at], names=["y", "at"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)].astype(np.int32)), line)], names=[*batch.schema.names, "_g"])
+            groups = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)].astype(np.int32)), line)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), groups], names=[*kept, "_g"])
 
-    d = d.mapInArrow(group, T.StructType([*d.schema.fields, T.StructField("_g", T._parse_datatype_string("array<struct<y:int,at:array<int>>>"))]))
-    lines = F.transform("_g", lambda g: F.struct(g["y"].alias("y"), F.transform(g["at"], lambda i: F.get(F.col("_b"), i)["b"]).alias("blocks")))
-    return d.withColumn("lines", lines).drop("_b", "_g", "_n")
+    d = d.mapInArrow(group, T.StructType([*pages.schema.fields, T.StructField("_g", T._parse_datatype_string("array<struct<y:int,at:array<int>>>"))]))
+    lines = let(placed, lambda bs: F.transform("_g", lambda g: F.struct(g["y"].alias("y"), F.transform(g["at"], lambda i: F.get(bs, i)["b"]).alias("blocks"))))
+    return d.withColumn("lines", lines).drop("_g")
 
 
 def line_text(blocks: Column) -> Column:
@@ -177,16 +178,28 @@ def columns(blocks: DataFrame, *keys: str, gap: int = 40) -> DataFrame:
 
 
 def nearest_column(clustered: DataFrame, *keys: str) -> DataFrame:
-    """Add `nearest`: the column whose centre is nearest to the block, the left one of ties. Clusters lie side by side, so only a block's own and its two neighbours can be."""
-    c = clustered.select(*keys, "col", "centre").distinct()
+    """Add `nearest`: the column whose centre is nearest to the block, the left one of ties. Clusters lie side by side and are numbered without gaps, so only a block's own and its two neighbours can be; their centres stand in the same window."""
     w = Window.partitionBy(*keys).orderBy("col")
-    c = c.withColumns({"left_c": F.lag("centre").over(w), "right_c": F.lead("centre").over(w)}).drop("centre")
-    d = clustered.join(c, [*keys, "col"])
+    d = clustered.withColumns({"left_c": F.min("centre").over(w.rangeBetween(-1, -1)), "right_c": F.min("centre").over(w.rangeBetween(1, 1))})
     dist = lambda k: F.abs(F.col("xc") - F.col(k))
     own = dist("centre")
     return d.withColumn("nearest", F.when(dist("left_c") <= own, F.col("col") - 1).when(dist("right_c") < own, F.col("col") + 1).otherwise(F.col("col"))).drop("left_c", "right_c")
 
 
+def grid(cells: DataFrame, *keys: str, row: str = "line") -> DataFrame:
+    """(keys, row, col, text, confidence) of blocks (keys, row, x, text, confidence, nearest): the texts of a cell from left to right, and its mean confidence."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda z: z["text"]), " ")
+    return cells.groupBy(*keys, row, F.col("nearest").alias("col")).agg(text.alias("text"), F.avg("confidence").alias("confidence"))
+
+
+def table_rows(cells: DataFrame, *keys: str, row: str = "line") -> DataFrame:
+    """(keys, row, cells): a grid's rows as arrays of (text, confidence), one for each column up to the table's last, empty ones with an empty text."""
+    g = cells.groupBy(*keys, row).agg(F.map_from_entries(F.collect_list(F.struct("col", F.struct("text", "confidence")))).alias("m"), F.max("col").alias("own"))
+    width = F.max("own").over(Window.partitionBy(*keys))
+    empty = F.struct(F.lit("").alias("text"), F.lit(0.0).alias("confidence"))
+    return g.withColumn("width", width).select(*keys, row, F.transform(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long")), lambda c: F.coalesce(F.try_element_at("m", c), empty)).alias("cells"))
+
+
 def nearest_right(labels: DataFrame, values: DataFrame, *keys: str, reach: int = 40) -> DataFrame:
     """For each label (keys, label_id, right, yc) the nearest value (keys, value_id, x, vy, value) to its right, within `reach` of its height.
 
@@ -206,15 +219,22 @@ def quality(blocks: Column) -> Column:
 
 def page_kind(blocks: Column, width: Column, height: Column) -> Column:
     """The class of a page by its shape and the words of its header, middle and upper half."""
-    part = lambda a, b: F.lower(line_text(F.filter(blocks, lambda k: (k["y"] >= height * a) & (k["y"] < height * b))))
-    head, middle, upper = part(0.0, 0.25), part(0.25, 0.75), part(0.0, 0.5)
     has = lambda t, *k: F.forall(F.array(*map(F.lit, k)), lambda s: F.contains(t, s))
     some = lambda t, *k: F.exists(F.array(*map(F.lit, k)), lambda s: F.contains(t, s))
-    return (
-        F.when(width > height, "DETALLE_RENTA_FIJA").when(has(head, "extracto", "fondo") | has(head, "fondo", "inversion"), "EXTRACTO_FONDOS")
-        .when(has(head, "extracto", "inversiones") & some(middle, "nombre", "nit", "total", "activos"), "RESUMEN").when(some(head, "defensor", "consumidor", "superintendencia"), "DESCONOCIDO")
-        .when(has(upper, "fondo", "inversion"), "EXTRACTO_FONDOS").when(has(upper, "acciones", "valores") & some(upper, "nombre", "portafolio", "total"), "RESUMEN").otherwise("DESCONOCIDO")
-    )
+
+    def kind(p: Column) -> Column:
+        part = lambda a, b: F.lower(line_text(F.filter(p["blocks"], lambda k: (k["y"] >= p["height"] * a) & (k["y"] < p["height"] * b))))
+        texts = F.struct(part(0.0, 0.25).alias("head"), part(0.25, 0.75).alias("middle"), part(0.0, 0.5).alias("upper"))
+        return let(texts, lambda t: F.when(p["width"] > p["height"], "DETALLE_RENTA_FIJA").otherwise(by_words(t["head"], t["middle"], t["upper"])))
+
+    def by_words(head: Column, middle: Column, upper: Column) -> Column:
+        return (
+            F.when(has(head, "extracto", "fondo") | has(head, "fondo", "inversion"), "EXTRACTO_FONDOS").when(has(head, "extracto", "inversiones") & some(middle, "nombre", "nit", "total", "activos"), "RESUMEN")
+            .when(some(head, "defensor", "consumidor", "superintendencia"), "DESCONOCIDO").when(has(upper, "fondo", "inversion"), "EXTRACTO_FONDOS")
+            .when(has(upper, "acciones", "valores") & some(upper, "nombre", "portafolio", "total"), "RESUMEN").otherwise("DESCONOCIDO")
+        )
+
+    return let(F.struct(blocks.alias("blocks"), width.alias("width"), height.alias("height")), kind)
 
 
 # ---------------------------------------------------------------- values and places within a line or grid

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import to_iso_date
-from ..functions.numbers import parse_cop_number
+from ..functions.numbers import let, parse_cop_number
 from ..functions.text import contains_all, normalize_label, upper_ascii
 from .layout import line_text
 
@@ -19,9 +19,10 @@ COLUMNS = ["NEMOTECNICO", "F.EMI", "F.VTO", "F.CMP", "T.FACIAL", "PERIODICIDAD",
 SECTIONS = {"resumen": ("RESUMEN", "PORTAFOLIO"), "rf": ("RENTA", "FIJA", "DETALLE"), "saldos": ("SALDOS", "EFECTIVO"), "fondo": ("FONDO", "INVERSION")}
 PERIODS = ["TV", "MV", "AV", "CV", "SV"]
 HORIZONS = {"Mensual": "MENSUAL", "Trimestral": "TRIMESTRAL", "Semestral": "SEMESTRAL", "Año corrido": "(AÑO|ANO) CORRIDO", "Ultimo año": "([UÚ]LTIMO) (AÑO|ANO)", "Ultimos 2 años": "[UÚ]LTIMOS 2"}
+#: A heading of the detail table shows at least so many of its columns.
+LEAST_COLUMNS = 3
+# fixed values: how dates, rates and amounts are written (day, month and year with one mark between; digits and separators)
 DATE, PERCENT, MONEY, LOOSE = r"\d{1,2}[-./ ]\d{1,2}[-./ ]\d{4}", r"-?[\d.,]+\s*%", r"\$\s*[\d.,]+[,.]\d{2}", r"\d{1,3}(?:[.,]\d{3})+[.,]\d{2}"
-#: Only lines of at most so many words are searched for misspelt section titles.
-TITLE_WORDS = 8
 
 
 def _escape(s: str) -> str:
@@ -39,9 +40,7 @@ def prepared(pages: DataFrame) -> DataFrame:
 
     def titles(needles):
         def is_title(l):
-            exact = F.forall(F.array(*map(F.lit, needles)), lambda s: F.contains(l["up"], s))
-            fuzzy = (F.size(l["tokens"]) <= TITLE_WORDS) & contains_all(l["up"], *needles)
-            return ~F.contains(l["text"], F.lit("$")) & ~F.contains(l["text"], F.lit("%")) & F.when(exact, True).otherwise(fuzzy)
+            return ~F.contains(l["text"], F.lit("$")) & ~F.contains(l["text"], F.lit("%")) & contains_all(l["up"], *needles)
 
         return F.transform(F.filter("ln", is_title), lambda l: l["i"])
 
@@ -64,18 +63,66 @@ def first_start(name: str) -> Column:
     return F.try_element_at(F.col(f"s_{name}"), F.lit(1))
 
 
+def label_distance(norm: str) -> int:
+    """The edit distance at which a blank-free label still counts: a quarter of its length, two at most."""
+    return min(2, len(norm) // 4)
+
+
+def norm(label: str) -> str:
+    return label.replace(" ", "").replace("\t", "").upper()
+
+
+def starts_label(token: Column) -> Column:
+    """Whether a word looks like the beginning, or the whole, of a known label."""
+    up, plain = upper_ascii(token), normalize_label(token)
+    out = F.lit(False)
+    for first in sorted({x.split()[0].upper() for x in LABELS}):
+        out = out | (F.levenshtein(up, F.lit(first)) <= (1 if len(first) >= 5 else 0))
+    for whole in sorted({norm(x) for x in LABELS}):
+        out = out | (F.abs(F.length(plain) - len(whole)) <= 2) & (F.levenshtein(plain, F.lit(whole)) <= label_distance(whole))
+    return (plain != "") & out
+
+
+def label_end(tokens: Column, label: str) -> Column:
+    """The number of the word, from 1, that ends a label within a line's words, or null: the whole label as one word, exactly, else nearly; else word by word, each nearly; else run together from pieces."""
+    parts, whole = label.split(), norm(label)
+    most = label_distance(whole)
+    at = lambda i: normalize_label(F.get(tokens, i))
+    numbers = F.filter(F.sequence(F.lit(0), F.size(tokens)), lambda i: i < F.size(tokens))
+    first = lambda a: F.try_element_at(a, F.lit(1))
+    exact = first(F.filter(numbers, lambda i: at(i) == whole))
+    near = F.filter(F.transform(numbers, lambda i: F.struct(F.levenshtein(at(i), F.lit(whole)).alias("d"), i.alias("i"), F.length(at(i)).alias("n"))), lambda z: (z["n"] > 0) & (F.abs(z["n"] - len(whole)) <= 2) & (z["d"] <= most))
+    found = F.coalesce(exact, F.array_min(near)["i"])
+    if len(parts) > 1:
+        words = F.lit(True)
+        each = lambda i: [F.coalesce(F.levenshtein(at(i + j), F.lit(norm(p))) <= (2 if len(norm(p)) >= 5 else 1), F.lit(False)) for j, p in enumerate(parts)]
+
+        def all_near(i):
+            out = words
+            for x in each(i):
+                out = out & x
+            return out
+
+        found = F.coalesce(found, first(F.filter(numbers, all_near)) + len(parts) - 1)
+    sizes = F.sequence(F.lit(2), F.lit(max(3, len(parts) + 2)))
+    joined = lambda i, k: F.array_join(F.transform(F.slice(tokens, i + 1, k), lambda t: normalize_label(t)), "")
+    together = F.flatten(F.transform(numbers, lambda i: F.transform(F.slice(F.filter(sizes, lambda k: (i + k <= F.size(tokens)) & (F.levenshtein(joined(i, k), F.lit(whole)) <= most)), F.lit(1), F.lit(1)), lambda k: i + k - 1)))
+    return F.coalesce(found, first(together)) + 1
+
+
 def label_value(lines: Column, label: str) -> Column:
-    """What follows a label, up to the next one: the first that is not empty. A label of one word may be misspelt by two characters."""
+    """What follows a label, up to the next one: the first that is not empty. Where no line has the label as it is written, one that is misspelt, run together or in pieces counts."""
     pattern = rf"(?i)(?:^|\s){_escape(label)}\s*(.*?)\s*(?=(?:{_any_label()})|$)"
     exact = F.filter(F.transform(lines, lambda l: F.regexp_extract(l["text"], pattern, 1)), lambda v: v != "")
-    found = F.try_element_at(exact, F.lit(1))
-    if " " in label:
-        return found
-    norm = label.replace(" ", "").upper()
-    near = lambda t: (F.abs(F.length(normalize_label(t)) - len(norm)) <= 2) & (F.levenshtein(normalize_label(t), F.lit(norm)) <= (2 if len(norm) >= 7 else 1))
-    hit = F.filter(lines, lambda l: F.exists(l["tokens"], near))
-    after = F.transform(hit, lambda l: F.array_join(F.slice(l["tokens"], F.array_position(F.transform(l["tokens"], near), True).cast("int") + 1, F.size(l["tokens"])), " "))
-    return F.coalesce(found, F.try_element_at(F.filter(after, lambda v: v != ""), F.lit(1)))
+
+    def value(l):
+        rest = F.slice(l["tokens"], label_end(l["tokens"], label), F.size(l["tokens"]))
+        rest = F.slice(rest, F.lit(2), F.size(l["tokens"]))
+        stop = F.array_position(F.transform(rest, starts_label), True).cast("int")
+        return F.array_join(F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest), " ")
+
+    misread = F.filter(F.transform(F.filter(lines, lambda l: label_end(l["tokens"], label).isNotNull()), value), lambda v: v != "")
+    return F.coalesce(F.try_element_at(exact, F.lit(1)), F.try_element_at(misread, F.lit(1)))
 
 
 def money_of(line: Column) -> Column:
@@ -85,7 +132,7 @@ def money_of(line: Column) -> Column:
 def score(pages: DataFrame) -> Column:
     """How many of nine markers of the template a prepared page shows."""
     near = lambda label: F.exists("ln", lambda l: F.exists(l["tokens"], lambda t: (F.abs(F.length(normalize_label(t)) - len(label)) <= 4) & (F.levenshtein(normalize_label(t), F.lit(label)) <= 2)))
-    line = lambda *n: F.exists("ln", lambda l: F.when(F.forall(F.array(*map(F.lit, n)), lambda s: F.contains(l["up"], s)), True).otherwise((F.size(l["tokens"]) <= TITLE_WORDS) & contains_all(l["up"], *n)))
+    line = lambda *n: F.exists("ln", lambda l: contains_all(l["up"], *n))
     marks = [near(x) for x in ("CLIENTE:", "NIT/CC:", "PERIODO:", "DIRECCION:", "CIUDAD:", "ASESOR:")] + [line("RESUMEN", "PORTAFOLIO"), line("RENTA", "FIJA"), line("EXTRACTO", "INVERSIONES")]
     out = F.lit(0)
     for m in marks:
@@ -109,8 +156,12 @@ def summary(d: DataFrame, *keys: str) -> DataFrame:
 
 
 def instruments(d: DataFrame, *keys: str) -> DataFrame:
-    """Rows of the detail table that have a name, two dates, an amount and a rate."""
-    rows = d.where(F.size("s_rf") > 0).select(*keys, F.posexplode(between(first_start("rf"))).alias("pos", "l"))
+    """Rows of the detail table that have a name, two dates, an amount and a rate: below its heading, the first line with at least `LEAST_COLUMNS` of its columns, or where that was not read, below the section's title."""
+    below = between(first_start("rf"))
+    shown = lambda l: F.size(F.filter(F.array(*map(F.lit, COLUMNS)), lambda c: F.contains(l["up"], c))) >= LEAST_COLUMNS
+    heading = lambda b: F.array_position(F.transform(b, shown), True).cast("int")
+    found = let(below, lambda b: let(heading(b), lambda h: F.filter(b, lambda l, i: i >= h)))
+    rows = d.where(F.size("s_rf") > 0).select(*keys, F.posexplode(found).alias("pos", "l"))
     repaired = F.regexp_replace(F.regexp_replace(F.array_join(F.transform("l.tokens", lambda t: F.regexp_replace(t, r"(?<=\d) +(?=\d)", ".")), " "), r"\$ (?=\d)", r"\$"), r"(\d) %", "$1%")
     r = rows.select(*keys, "pos", F.col("l.tokens").alias("tokens"), repaired.alias("s"))
     every = lambda p: F.regexp_extract_all("s", F.lit(f"({p})"), F.lit(1))

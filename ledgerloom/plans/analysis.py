@@ -5,14 +5,14 @@ Statements, however many, are processed together; each step is grouped by the st
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FinanceConfig
 from ..functions.numbers import or_zero, ratio
-from ..operators import alerts, portfolio, series, stats
+from ..operators import alerts, charts, portfolio, series, stats
 from ..sources import statement
-from . import sinks
+from . import reports, sinks
 
 ID = ["statement_id"]
 
@@ -25,6 +25,7 @@ class Analysis:
 
     def __init__(self, statements: DataFrame, history: DataFrame | None = None, config: FinanceConfig = FinanceConfig()):
         self.config = config
+        self.statements = statements
         self.header = statement.header(statements, *ID)
         as_of = self.header.select(*ID, F.coalesce("fecha_extracto", F.current_date()).alias("as_of"))
         days = F.coalesce(F.datediff("maturity_date", "as_of"), F.lit(0))
@@ -56,17 +57,24 @@ class Analysis:
             return first.select(*ID, F.explode("returns_by_horizon").alias("horizon", "pct"))
         return portfolio.merge_fund_returns(self.funds.select(*ID, "pos", F.explode("returns_by_horizon").alias("horizon", "pct")), ID, "pos")
 
+    def spreads(self) -> DataFrame:
+        """(statement_id, spreads): valuation less face rate by instrument name, of statements whose values add up to more than 0; of rows that share a name the last one's."""
+        own = F.coalesce("instrument_id", F.lit(""))
+        last = self.instruments.groupBy(*ID, own.alias("name")).agg(F.max_by(F.col("valuation_rate") - F.col("face_rate"), "pos").alias("s"), F.sum("market_value").alias("value"))
+        g = last.groupBy(*ID).agg(F.array_sort(F.collect_list(F.struct("name", "s"))).alias("all"), F.sum("value").alias("value"))
+        return g.where("value > 0").select(*ID, F.map_from_entries("all").alias("spreads"))
+
     def kpis(self) -> DataFrame:
         """The wide row; figures that a statement has no basis for are 0."""
         rf = self.instruments.groupBy(*ID).agg(
             portfolio.weighted("valuation_rate").alias("weighted_yield"), portfolio.weighted("face_rate").alias("face_yield"), portfolio.macaulay().alias("macaulay"), F.count_if(F.col("days") <= 0).alias("n_matured"),
             ratio(F.sum(portfolio.live(F.col("market_value") * F.col("days"))), F.sum(portfolio.live(F.col("market_value")))).alias("mean_days"), stats.skewness("valuation_rate").alias("skewness"), stats.kurtosis("valuation_rate").alias("kurtosis"),
-            stats.variation("valuation_rate").alias("cv"), stats.interval95("valuation_rate", -1).alias("ci_low"), stats.interval95("valuation_rate", 1).alias("ci_high"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("instrument_id", (F.col("valuation_rate") - F.col("face_rate")).alias("s"))))).alias("spreads"),
+            stats.variation("valuation_rate").alias("cv"), stats.interval95("valuation_rate", -1).alias("ci_low"), stats.interval95("valuation_rate", 1).alias("ci_high"),
         )
         ladder = portfolio.ladder(self.instruments, ID).groupBy(*ID).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "amount"))).alias("ladder"), F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("ladder_counts"))
         h = self.holdings()
         parts = [
-            rf, ladder, portfolio.concentration(h, ID), portfolio.exposure(h, ID), portfolio.fund_sharpe(self.fund_returns(first_only=True), ID, self.config), series.max_drawdown(self.series, ID).drop("n"), series.growth(self.series, ID).withColumnRenamed("n", "n_points"),
+            rf, self.spreads(), ladder, portfolio.concentration(h, ID), portfolio.exposure(h, ID), portfolio.fund_sharpe(self.fund_returns(first_only=True), ID, self.config), series.max_drawdown(self.series, ID).drop("n"), series.growth(self.series, ID).withColumnRenamed("n", "n_points"),
         ]
         out = self.header.select(*ID, "nombre_cliente", "fecha_extracto", "total_portafolio")
         for p in parts:
@@ -89,24 +97,26 @@ class Analysis:
         return alerts.validate(s, self.instruments).withColumnRenamed("holder_id", "statement_id")
 
     def charts(self) -> dict[str, DataFrame]:
-        """The data sets behind the six charts."""
+        """The data sets behind the six charts, with their notes."""
         live = self.instruments.where("days > 0")
-        points = portfolio.suffix_duplicates(live, ID, "instrument_id", ["pos"]).select(*ID, "days", "valuation_rate", "label")
         k = self.kpis()
-        names = ["weighted_yield", "macaulay", "modified", "spread", "hhi", "sharpe", "max_drawdown", "real_return_pct"]
-        rows = k.select(*ID, "category", F.explode(F.array(*[F.struct(F.lit(n).alias("kpi"), F.col(n).alias("value")) for n in names])).alias("x")).select(*ID, "x.kpi", "x.value", "category")
-        kind: Column = F.when(F.col("kpi") == "real_return_pct", "real_return").otherwise(F.col("kpi"))
+        spread_out = live.groupBy(*ID).agg((F.max("days") - F.min("days")).alias("width")).where("width >= 1").select(*ID)
         return {
-            "yield_curve": points,
-            "yield_regression": stats.regression(live, ID, "valuation_rate", "days"),
+            "yield_curve": charts.yield_curve(self.instruments, ID, "instrument_id", ["pos"], keep=("days", "valuation_rate")),
+            "yield_notes": charts.matured(self.instruments, ID),
+            "yield_regression": stats.regression(live.join(spread_out, ID, "left_semi"), ID, "valuation_rate", "days"),
             "ladder": portfolio.ladder(self.instruments, ID),
-            "pareto": portfolio.pareto(self.holdings(positive=True), ID),
+            "ladder_notes": charts.ladder_notes(self.instruments, ID),
+            "pareto": charts.pareto(self.instruments, self.funds, self.cash, ID, "pos"),
+            "pareto_notes": charts.concentration_notes(k, ID),
             "boxplot": stats.boxplot(self.instruments, ID, "valuation_rate"),
+            "boxplot_values": charts.few_values(self.instruments, ID, "valuation_rate", "instrument_id"),
             "drawdown": series.drawdowns(self.series, ID),
-            "dashboard": rows.withColumn("status", portfolio.status(kind, F.col("value"), F.col("category"))).drop("category"),
+            "dashboard": charts.cards(k, ID),
+            "dashboard_notes": k.select(*ID, charts.parameters(self.config).alias("note")),
         }
 
     def export(self, folder: str) -> list[str]:
-        """CSV reports, and the analysis and the statement as JSON; returns the paths."""
-        paths = sinks.export_all(folder, self.header, self.instruments, self.funds, self.alerts())
-        return [*paths, sinks.write_json(self.kpis(), f"{folder}/analysis"), sinks.write_json(self.header, f"{folder}/extracto_json")]
+        """CSV reports, and the analysis and the whole statement as JSON; returns the paths."""
+        paths = sinks.export_all(folder, self.header, self.instruments, self.funds, self.alerts(), reports.analysis_lines(self))
+        return [*paths, sinks.write_json_text(reports.analysis_json(self), f"{folder}/analysis"), sinks.write_json_text(reports.statement_json(self), f"{folder}/extracto_json")]

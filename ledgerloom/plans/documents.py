@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import let
 from ..operators import layout, legacy, portfolio
 from ..operators import template_v1 as T1
 from ..sources import views as V
@@ -66,8 +67,56 @@ def column_clusters(spark, d):
 @query(f"{COLS}, q AS (SELECT c.doc_id, c.line, c.k, c.text, arg_min(k.col, (abs(c.xc - k.centre), k.col)) AS col FROM c JOIN k ON c.doc_id = k.doc_id AND k.col BETWEEN c.col - 3 AND c.col + 3 GROUP BY ALL) SELECT doc_id, line::BIGINT AS line, col, string_agg(text, ' ' ORDER BY k) AS text FROM q GROUP BY 1, 2, 3")
 def grid_assign(spark, d):
     g = layout.nearest_column(layout.columns(centres(spark, d), D), D)
-    cell = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda z: z["text"]), " ")
-    return longs(g.groupBy(D, "line", F.col("nearest").alias("col")).agg(cell.alias("text")), "col")
+    return longs(layout.grid(g.withColumn("confidence", F.lit(0.9)), D).drop("confidence"), "col")
+
+
+@query(f"{COLS}, q AS (SELECT c.doc_id, c.line, c.k, c.text, arg_min(k.col, (abs(c.xc - k.centre), k.col)) AS col FROM c JOIN k ON c.doc_id = k.doc_id AND k.col BETWEEN c.col - 3 AND c.col + 3 GROUP BY ALL), m AS (SELECT doc_id, max(col) AS width FROM q GROUP BY 1), e AS (SELECT doc_id, line, col, count(*) AS n, avg((k % 10) / 10.0::DOUBLE) AS conf FROM q GROUP BY 1, 2, 3) SELECT e.doc_id, e.line::BIGINT AS line, any_value(width) + 1 AS n_cells, any_value(width) + 1 - count(*) AS n_empty, round(sum(conf), 6) + 0.0::DOUBLE AS confidence FROM e JOIN m USING (doc_id) GROUP BY 1, 2")
+def table_pivot(spark, d):
+    """The grid's rows with a cell for every column of the page, and the confidence of each cell."""
+    b = centres(spark, d).withColumn("confidence", (F.col("x") / 50).cast("long") % 10 / 10)
+    r = layout.table_rows(layout.grid(layout.nearest_column(layout.columns(b, D), D), D), D)
+    add = F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["confidence"])
+    return longs(rounded(r.select(D, "line", F.size("cells").alias("n_cells"), F.size(F.filter("cells", lambda c: c["text"] == "")).alias("n_empty"), add.alias("confidence")), "confidence"), "n_cells", "n_empty")
+
+
+# words of a line that slope down: six pixels a word, lines far apart
+SLANT, APART = 6, 200_000
+SLOPED = lambda size: f"SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY line, k // {size}) - 1 AS line_id, line * {APART} + min(k) * {SLANT} + {SLANT // 2} * (count(*) - 1) + 10 AS y_center, count(*) AS n_blocks, string_agg(text, ' ' ORDER BY k) AS text FROM ocr_words GROUP BY doc_id, line, k // {size}"
+
+
+def sloped(spark, d):
+    tilt = lambda b: F.struct((F.floor(b["y"] / 30) * APART + b["x"] / 50 * SLANT).cast("int").alias("y"), *[b[c].alias(c) for c in ("x", "w", "h", "text", "confidence")])
+    return V.ocr_pages(spark, d).withColumn("blocks", F.transform("blocks", tilt))
+
+
+@query(SLOPED(6))
+def line_grouping_sloped(spark, d):
+    """The running mean follows a slope for six words: the seventh is 21 pixels from the mean, beyond the tolerance of 20."""
+    return line_rows(layout.explode_lines(layout.with_lines(sloped(spark, d)), D))
+
+
+@query(SLOPED(4))
+def line_grouping_firstfit_sloped(spark, d):
+    """The middle of a line's box follows it for four: the fifth is 15 pixels away, beyond 14."""
+    return line_rows(layout.explode_lines(layout.with_lines(sloped(spark, d), first_fit=True), D))
+
+
+READ = "coalesce(sum(CASE WHEN length({0}) >= 3 AND 100 * length(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g')) >= 60 * length({0}) THEN length(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g')) END), 0)::BIGINT"
+
+
+@query(f"""w AS (SELECT doc_id, text, regexp_replace(text, '[0-9a-m]', '', 'g') AS less, row_number() OVER (PARTITION BY doc_id ORDER BY line, k) - 1 AS i FROM ocr_words),
+s AS (SELECT d.doc_id, {READ.format('w.text')} AS whole, {READ.format('w.less')} AS less, {READ.format("CASE WHEN w.i % 2 = 0 THEN w.text ELSE '' END")} AS half FROM (SELECT doc_id FROM documents) d LEFT JOIN w USING (doc_id) GROUP BY 1),
+r AS (SELECT doc_id, [whole, less, half][1 + (3 - doc_id % 3) % 3] AS a, [less, half, whole][1 + (3 - doc_id % 3) % 3] AS b, [half, whole, less][1 + (3 - doc_id % 3) % 3] AS c FROM s)
+SELECT doc_id, greatest(a, b, c) AS score, CASE WHEN a >= b AND a >= c THEN 6 WHEN b >= c THEN 4 ELSE 11 END::BIGINT AS psm FROM r""")
+def ocr_reading_chosen(spark, d):
+    """Three readings of a page in an order that depends on its id: whole, with characters lost, and with every other word; the best wins, the first of ties."""
+    p = V.ocr_pages(spark, d)
+    less = F.transform("blocks", lambda b: F.struct(F.regexp_replace(b["text"], "[0-9a-m]", "").alias("text")))
+    half = F.filter("blocks", lambda b, i: i % 2 == 0)
+    p = p.select(D, F.array(layout.quality(F.col("blocks")), layout.quality(less), layout.quality(half)).alias("s"))
+    turn = (3 - F.col(D) % 3) % 3
+    each = F.array(*[F.struct(F.get("s", ((turn + n) % 3).cast("int")).alias("s"), F.lit(-n).alias("n"), F.lit(psm).alias("psm")) for n, psm in enumerate((6, 4, 11))])
+    return longs(p.select(D, F.array_max(each).alias("m")).select(D, F.col("m.s").alias("score"), F.col("m.psm").alias("psm")), "score", "psm")
 
 
 @query("SELECT d.doc_id, coalesce(sum(CASE WHEN length(text) >= 3 AND 100 * length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) >= 60 * length(text) THEN length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) END), 0)::BIGINT AS score FROM (SELECT doc_id FROM documents) d LEFT JOIN ocr_words w ON d.doc_id = w.doc_id GROUP BY 1")
@@ -115,6 +164,28 @@ def prepared(spark, d):
     return T1.prepared(layout.with_lines(statement_pages(spark, d), first_fit=True).select("holder_id", "blocks", "lines"))
 
 
+# how an OCR engine may misread words of the template; numbers lose the mark between their groups
+MISREAD = {"Cliente:": "Clientc:", "Direccion:": "Direcion:", "RESUMEN": "RESUMFN", "DETALLE": "DETALE", "SALDOS": "SALD0S", "EFECTIVO": "EFECT1VO", "Codigo:": "Codlgo:", "Anterior:": "Anteri0r:", "Inversion:": "Inverslon:"}
+
+
+def misread(pages):
+    """Pages with misspelt labels and titles, a label run together, and blanks for points in the amounts of the detail table."""
+    word = F.create_map(*[F.lit(x) for kv in MISREAD.items() for x in kv])
+    renamed = lambda b, t: F.struct(*[(t if c == "text" else b[c]).alias(c) for c in ("y", "x", "w", "h", "text", "confidence")])
+    text = lambda b: F.when((b["x"] >= 8 * 120) & F.startswith(b["text"], F.lit("$")), F.regexp_replace(b["text"], r"(\d)\.(?=\d{3})", "$1 ")).otherwise(F.coalesce(F.try_element_at(word, b["text"]), b["text"]))
+
+    def one(blocks, b, i):
+        joins = (b["text"] == "Nuevo") & F.coalesce(F.get(blocks, i + 1)["text"] == "Saldo:", F.lit(False))
+        joined = (b["text"] == "Saldo:") & F.coalesce(F.get(blocks, i - 1)["text"] == "Nuevo", F.lit(False))
+        return F.when(joins, F.array(renamed(b, F.lit("NuevoSaldo:")))).when(joined, F.array().cast("array<struct<y:int,x:int,w:int,h:int,text:string,confidence:double>>")).otherwise(F.array(renamed(b, text(b))))
+
+    return pages.withColumn("blocks", let(F.col("blocks"), lambda bs: F.flatten(F.transform(bs, lambda b, i: one(bs, b, i)))))
+
+
+def prepared_misread(spark, d):
+    return T1.prepared(layout.with_lines(misread(statement_pages(spark, d)), first_fit=True).select("holder_id", "blocks", "lines"))
+
+
 HELD = "held AS (SELECT holder_id, round(sum(market_value), 2) AS rf, count(*) AS n FROM instruments GROUP BY 1)"
 CUSTOMERS = f"{HELD}, cu AS (SELECT c_custkey AS holder_id, c_name, c_nationkey, greatest(c_acctbal, 0) AS cash, rf, n FROM customer JOIN held ON holder_id = c_custkey)"
 
@@ -150,11 +221,25 @@ def parse_v1_cash(spark, d):
     return T1.cash(prepared(spark, d), "holder_id")
 
 
-@query(f"{CUSTOMERS} SELECT holder_id, 9::BIGINT AS score, 'DESCONOCIDO' AS kind FROM cu")
+@query(f"{CUSTOMERS} SELECT holder_id, 9::BIGINT - CASE WHEN holder_id % 4 = 1 THEN 1 WHEN holder_id % 4 = 2 THEN 2 ELSE 0 END AS score, CASE WHEN greatest(1001, (15 + n + CASE WHEN fh IS NULL THEN 0 ELSE 6 END) * 40 + 22) <= 1600 THEN 'RESUMEN' ELSE 'DESCONOCIDO' END AS kind FROM cu LEFT JOIN (SELECT holder_id AS fh FROM funds) ON fh = holder_id")
 def template_score(spark, d):
-    """All nine markers are on the pages; their upper halves name no fund and no house, so the page classifier leaves them open."""
-    p = prepared(spark, d)
-    return longs(p.select("holder_id", T1.score(p).alias("score"), layout.page_kind(F.slice("blocks", 1, 3), F.lit(1000), F.lit(10**9)).alias("kind")), "score")
+    """How many of the nine markers stand on a page, some of them misread, some taken away; and the class of the whole page: that of a summary where the line of totals lies in the page's middle."""
+    taken = F.when(F.col("holder_id") % 4 == 1, F.array(F.lit("Asesor:"))).when(F.col("holder_id") % 4 == 2, F.array(F.lit("Asesor:"), F.lit("Ciudad:"))).otherwise(F.array().cast("array<string>"))
+    p = misread(statement_pages(spark, d)).withColumn("blocks", F.filter("blocks", lambda b: ~F.array_contains(taken, b["text"])))
+    p = T1.prepared(layout.with_lines(p, first_fit=True).select("holder_id", "blocks", "lines"))
+    height = F.array_max(F.transform("blocks", lambda b: b["y"] + b["h"]))
+    return longs(p.select("holder_id", T1.score(p).alias("score"), layout.page_kind(F.col("blocks"), F.lit(1000), F.greatest(height, F.lit(1001))).alias("kind")), "score")
+
+
+@query(f"{CUSTOMERS} SELECT holder_id, ['DETALLE_RENTA_FIJA', 'EXTRACTO_FONDOS', 'RESUMEN', 'DESCONOCIDO', 'EXTRACTO_FONDOS', 'RESUMEN', 'DESCONOCIDO'][1 + holder_id % 7] AS kind FROM cu")
+def page_classes(spark, d):
+    """Each way to a class: landscape; a fund in the head; an extract with totals in the middle; notices of the ombudsman; a fund in the upper half; shares and a portfolio there; nothing."""
+    pages = [("varios", ""), ("Extracto del Fondo", ""), ("Extracto de Inversiones", "TOTAL ACTIVOS"), ("Defensor del consumidor", "Fondo de inversion"), ("", "Fondo de Inversion"), ("", "Acciones y Valores Portafolio"), ("carta", "saludo")]
+    word = lambda s, y: F.array(*[F.struct(F.lit(y).alias("y"), F.lit(60 * i).alias("x"), F.lit(50).alias("w"), F.lit(10).alias("h"), F.lit(t).alias("text"), F.lit(0.9).alias("confidence")) for i, t in enumerate(s.split())])
+    none = word("x", 990)
+    made = F.array(*[F.concat(word(a, 10) if a else none, word(b, 400) if b else none) for a, b in pages])
+    n = (F.col("holder_id") % 7).cast("int")
+    return statement_pages(spark, d).select("holder_id", layout.page_kind(F.get(made, n), F.when(n == 0, 2000).otherwise(700), F.lit(1000)).alias("kind"))
 
 
 @query(f"{CUSTOMERS} SELECT holder_id, CASE WHEN holder_id % 3 = 0 THEN 'DETALLE_RENTA_FIJA' WHEN holder_id % 3 = 1 THEN 'RESUMEN' ELSE 'EXTRACTO_FONDOS' END AS kind FROM cu")
@@ -181,11 +266,81 @@ def label_value_pairs(spark, d):
     return legacy.key_values(prepared(spark, d), "holder_id")
 
 
-@query(f"{CUSTOMERS} SELECT holder_id, 'Renta Fija' AS label, rf AS value FROM cu UNION ALL SELECT holder_id, 'Saldos en Efectivo', round(cash, 2) FROM cu WHERE cash > 0")
+def with_notes(spark, d):
+    """Statement pages with a foot: totals by name, and where there is a fund its value, which stands 17 pixels lower than the label to its left."""
+    at = lambda t, x, y: F.struct(y.cast("int").alias("y"), F.lit(x).alias("x"), F.lit(100).alias("w"), F.lit(20).alias("h"), t.alias("text"), F.lit(0.9).alias("confidence"))
+    money = lambda v: F.concat(F.lit("$"), F.translate(F.format_number(v, 2), ",.", ".,"))
+    p = statement_pages(spark, d)
+    p = p.join(V.funds(spark, d).where("new_balance > 0").select("holder_id", "new_balance"), "holder_id", "left")
+
+    def footed(blocks):
+        foot = F.array_max(F.transform(blocks, lambda b: b["y"]))
+        totals = F.array(at(F.lit("Total Activos"), 0, foot + 60), at(F.lit("$7.000.000,50"), 200, foot + 60), at(F.lit("Total Pasivos"), 0, foot + 120), at(F.lit("1.250,75"), 200, foot + 120), at(F.lit("Total"), 0, foot + 180), at(F.lit("Cartera"), 110, foot + 180), at(F.lit("6.998.749,75"), 300, foot + 180), at(F.lit("12,5"), 420, foot + 180), at(F.lit("E.A."), 540, foot + 180))
+        fund = F.array(at(F.lit("Fondo Inversion Colectiva"), 0, foot + 300), at(money(F.col("new_balance")), 400, foot + 317), at(F.lit("$1,00"), 600, foot + 317))
+        return F.concat(blocks, totals, F.when(F.col("new_balance").isNotNull(), fund).otherwise(F.slice(totals, 1, 0)))
+
+    return p.withColumn("blocks", let(F.col("blocks"), footed)).drop("new_balance")
+
+
+def prepared_notes(spark, d):
+    return T1.prepared(layout.with_lines(with_notes(spark, d), first_fit=True).select("holder_id", "blocks", "lines"))
+
+
+@query(f"{CUSTOMERS} SELECT holder_id, 'Renta Fija' AS label, rf AS value FROM cu UNION ALL SELECT holder_id, 'Saldos en Efectivo', round(cash, 2) FROM cu WHERE cash > 0 UNION ALL SELECT holder_id, 'FIC', round(new_balance, 2) FROM cu JOIN funds USING (holder_id) WHERE new_balance > 0")
 def labelled_assets(spark, d):
-    """Amounts by asset label with its synonyms. Fund names are left out: a fund's line would count for its synonym."""
-    p = prepared(spark, d)
-    return rounded(legacy.labelled_amounts(p, [a for a in legacy.ASSETS if a[0] != "FIC"], "holder_id"), "value", digits=2)
+    """Amounts by asset label with all synonyms: from lines, and the fund's from its place, as no line holds both its label and its value."""
+    return rounded(legacy.assets(prepared_notes(spark, d), "holder_id", reach=18), "value", digits=2)
+
+
+@query(f"{CUSTOMERS} SELECT holder_id, 7000000.5::DOUBLE AS total_activos, 1250.75::DOUBLE AS total_pasivos, 6998749.75::DOUBLE AS total_portafolio FROM cu")
+def labelled_totals(spark, d):
+    """The totals a page names, by the first line of each; a number before E.A. is no amount."""
+    return legacy.totals(prepared_notes(spark, d), "holder_id")
+
+
+@query(f"{CUSTOMERS} SELECT holder_id, 'nuevo saldo' AS label, round(new_balance, 2) AS value FROM cu JOIN funds USING (holder_id) WHERE new_balance > 0")
+def fund_movements_beside(spark, d):
+    """A fund's movements by the place of the blocks that name them: only the label that was run together stands in one block."""
+    return rounded(legacy.movements_beside(prepared_misread(spark, d), "holder_id", reach=18), "value", digits=2)
+
+
+@query(f"{CUSTOMERS} SELECT holder_id, 'codigo' AS field, 'F' || holder_id AS value FROM cu JOIN funds USING (holder_id)")
+def fund_fields(spark, d):
+    return legacy.fund_fields(prepared(spark, d), "holder_id")
+
+
+@query("SELECT holder_id, instrument_id AS name, issue_date, maturity_date, issue_date AS purchase_date, CASE WHEN market_value >= 100000 THEN market_value ELSE 0.0::DOUBLE END AS market_value FROM instruments", dates=("issue_date", "maturity_date", "purchase_date"))
+def instrument_lines(spark, d):
+    """Rows found in plain lines below the section's title, by the names of papers. By this rule amounts below 100,000 count as rates, so only larger market values are found."""
+    return legacy.line_rows(prepared(spark, d), "holder_id").select("holder_id", "name", "issue_date", "maturity_date", "purchase_date", "market_value")
+
+
+@query(f"{CUSTOMERS} SELECT holder_id, c_name AS client, (holder_id + 900000000)::VARCHAR AS nit, 'Calle ' || c_nationkey AS address, 'C' || c_nationkey AS city, 'A' AS adviser, DATE '1998-06-30' AS end_date FROM cu", dates=("end_date",))
+def parse_misread_header(spark, d):
+    return T1.header(prepared_misread(spark, d), "holder_id")
+
+
+@query(f"{CUSTOMERS} SELECT holder_id, rf AS fixed_income, 0.0::DOUBLE AS funds, round(cash, 2) AS cash, round(rf + cash, 2) AS total FROM cu")
+def parse_misread_summary(spark, d):
+    return T1.summary(prepared_misread(spark, d), "holder_id")
+
+
+@query(f"SELECT holder_id, instrument_id AS name, issue_date, maturity_date, issue_date AS purchase_date, round(face_rate, 2) + 0.0::DOUBLE AS face_rate, round(valuation_rate, 2) + 0.0::DOUBLE AS valuation_rate, payment_frequency AS period, nominal_value, market_value FROM instruments", dates=("issue_date", "maturity_date", "purchase_date"))
+def parse_misread_instruments(spark, d):
+    """Amounts whose points were read as blanks are repaired; the section's title and the table's heading are found though misspelt."""
+    i = T1.instruments(prepared_misread(spark, d), "holder_id")
+    return i.select("holder_id", "name", "issue_date", "maturity_date", "purchase_date", "face_rate", "valuation_rate", "period", "nominal_value", "market_value")
+
+
+@query("SELECT f.holder_id, name, 'F' || f.holder_id AS code, 100.5::DOUBLE AS previous_balance, round(greatest(new_balance, 0), 2) AS new_balance FROM funds f WHERE holder_id IN (SELECT holder_id FROM instruments) AND holder_id IN (SELECT c_custkey FROM customer)")
+def parse_misread_funds(spark, d):
+    """Labels that are misspelt, in two words or run together."""
+    return T1.funds(prepared_misread(spark, d), "holder_id").select("holder_id", "name", "code", "previous_balance", "new_balance")
+
+
+@query(f"{CUSTOMERS} SELECT holder_id, '001-' || holder_id AS account, cash AS total FROM cu WHERE cash > 0")
+def parse_misread_cash(spark, d):
+    return T1.cash(prepared_misread(spark, d), "holder_id")
 
 
 @query("SELECT holder_id, instrument_id AS name, issue_date, maturity_date, round(face_rate, 2) + 0.0::DOUBLE AS face_rate, round(valuation_rate, 2) + 0.0::DOUBLE AS valuation_rate, market_value FROM instruments", dates=("issue_date", "maturity_date"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, documents, scalars, storage
+from . import analytics, documents, reporting, scalars, storage
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "documents", "scalars", "storage"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "documents", "reporting", "scalars", "storage"]

@@ -19,6 +19,12 @@ def write_json(df: DataFrame, path: str) -> str:
     return path
 
 
+def write_json_text(df: DataFrame, path: str) -> str:
+    """Rows (statement_id, json): one line of JSON each, in the order of the statements."""
+    df.orderBy("statement_id").select("json").write.mode("overwrite").text(path)
+    return path
+
+
 def two(c: str, digits: int = 2):
     return F.format_string(f"%.{digits}f", F.col(c)).alias(c)
 
@@ -44,11 +50,15 @@ def funds_report(funds: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own, returns
 
 
-def export_all(folder: str, header: DataFrame, instruments: DataFrame, funds: DataFrame, alerts: DataFrame) -> list[str]:
-    """All exports; returns their paths."""
+def export_all(folder: str, header: DataFrame, instruments: DataFrame, funds: DataFrame, alerts: DataFrame, analysis: DataFrame | None = None) -> list[str]:
+    """All exports; returns their paths. `analysis` has (statement_id, seq, line): the report of each statement, line by line."""
     own, returns = funds_report(funds)
     parts = {"extracto": statement_report(header), "renta_fija": instruments_report(instruments), "fondos": own, "rentabilidades": returns, "alertas": alerts}
-    return [write_csv(df, f"{folder}/{name}", single=True) for name, df in parts.items()]
+    paths = [write_csv(df, f"{folder}/{name}", single=True) for name, df in parts.items()]
+    if analysis is None:
+        return paths
+    analysis.orderBy("statement_id", "seq").select("line").write.mode("overwrite").text(f"{folder}/analisis")
+    return [*paths, f"{folder}/analisis"]
 
 
 def transaction_json(tx: DataFrame) -> DataFrame:

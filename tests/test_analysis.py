@@ -9,6 +9,7 @@ from ledgerloom.operators import alerts
 from ledgerloom.plans.analysis import Analysis
 from ledgerloom.sources import statement
 
+# fixed values: the sample statement and its history, as published
 HISTORY = [6.1e9, 6.15e9, 6.2e9, 6.18e9, 6.25e9, 6.3e9, 6.28e9, 6.32e9, 6.35e9, 6.37e9, 6.38e9, 6386676308.68]
 ITEMS = [("CDTBANCO01", "2026-03-15", 9.7618, 10.09, 11.6688, 1095267330), ("CDTBANCO02", "2026-04-10", 9.13, 9.85, 10.64, 1095200000), ("CDTBANCO03", "2026-05-20", 10.12, 11.5, 12.41, 1096600000), ("CDTBANCO04", "2026-06-01", 9.44, 10.4, 11.36, 1095000000)]
 SAMPLE = {
@@ -76,4 +77,38 @@ def test_alerts_findings_and_charts(done, tmp_path):
     assert len(c["pareto"]) == 5 and len(c["drawdown"]) == 13 and len(c["dashboard"]) == 8 and {r.kpi: r.status for r in c["dashboard"]}["hhi"] == "warning"
     a = {r.account_id: r for r in done.accounts.collect()}["001-DEMO"]
     assert (a.debits, a.credits, a.net) == (1000000, 1750000, 750000)
-    assert len(done.export(str(tmp_path))) == 7
+    assert [p.rsplit("/", 1)[1] for p in done.export(str(tmp_path))] == ["extracto", "renta_fija", "fondos", "rentabilidades", "alertas", "analisis", "analysis", "extracto_json"]
+    notes = {n: d.where("statement_id = 'one'").collect() for n, d in done.charts().items()}
+    assert notes["ladder_notes"][0].note == "Vencimiento promedio ponderado: 0.1 anos  (2 CDT vencido(s) excluido(s))" and notes["yield_notes"][0].n_expired == 2
+    assert notes["pareto_notes"][0].verdict == "Concentracion moderada - vigilar" and [round(r.value, 2) for r in notes["boxplot_values"]] == [10.64, 11.36, 11.67, 12.41]
+    assert [(r.label, r.shown, r.status) for r in sorted(notes["dashboard"], key=lambda r: r.position)][:3] == [("TOTAL PORTAFOLIO", "$6.39B", "accent"), ("YIELD PONDERADO", "11.52%", "positive"), ("DURACION MODIFICADA", "0.06 anos", "warning")]
+    assert notes["dashboard_notes"][0].note == "Parametros: tasa libre = 9.25%  |  inflacion = 4.80%  |  benchmark = 11.00%"
+
+
+def test_reports_and_trees(done):
+    from ledgerloom.plans import reports
+
+    lines = [r.line for r in reports.analysis_lines(done).where("statement_id = 'one'").orderBy("seq").collect()]
+    assert lines[:5] == ["Composicion del Portafolio", "Activo,Porcentaje (%)", "FIC,31.39", "Renta Fija,68.61", "Saldos en Efectivo,0.00"]
+    assert lines[5:9] == ["", "Estadisticas de Tasas", "Metrica,Media,Desv.Est,Mediana,Min,Max,N", "Tasa Valoracion,11.52,0.73,11.51,10.64,12.41,4"] and lines[-1] == "INFO,Crecimiento del portafolio: 4.699612% en 13 periodos"
+    tree = {r.statement_id: json.loads(r.json) for r in reports.statement_json(done).collect()}
+    one = tree["one"]
+    assert one["resumen"]["nombre_cliente"] == "Cliente Demo" and one["resumen"]["activos"]["FIC"] == 2004608978.68 and len(one["renta_fija"]) == 4 and one["renta_fija"][0]["nemotecnico"] == "CDTBANCO01"
+    assert one["fondos"][0]["rentabilidades_historicas"]["Mensual"] == near(3.35) and one["transacciones"][0]["totals"] == {"debits": 1000000.0, "credits": 1750000.0, "net": 750000.0, "ending_balance": 750000.0}
+    assert one["transacciones"][0]["items"][0]["date"] == "2026-04-05" and "reference" not in one["transacciones"][0]["items"][0] and tree["bare"]["renta_fija"] == [] and one["currency"] == "COP"
+    figures = {r.statement_id: json.loads(r.json) for r in reports.analysis_json(done).collect()}
+    assert figures["one"]["avanzadas"]["hhi_categoria"] == "moderado" and figures["one"]["tasas_valoracion"]["count"] == 4 and figures["one"]["alertas"][0]["type"] == "INFO" and figures["one"]["avanzadas"]["config"]["tasa_libre_riesgo"] == 0.0925
+    assert figures["one"]["rendimientos_fic"]["Ultimo Año"] == near(11.66) and figures["bare"]["composicion_porcentaje"] == {} and set(figures["bare"]) == set(figures["one"])
+    grid = {r.field: r.value for r in reports.analysis_grid(done).where("statement_id = 'one'").collect()}
+    assert grid["% FIC"] == "31,39 %" and grid["[INFO]"].startswith("Crecimiento") and grid["Vence <90d"] == "$ 2.191.600.000,00"
+    fund = {r.field: r.value for r in reports.fund_grid(done.funds, "statement_id").collect()}
+    assert fund["Nombre Fondo"] == "FIC Renta Liquida" and fund["Nuevo Saldo"] == "$ 2.004.608.978,68" and "Unidades" not in fund and fund["Rentab. Mensual"] == "3,35 %"
+    assert "9,76 %" in {r.face_rate for r in reports.instrument_grid(done.instruments, "statement_id").collect()}
+
+
+def test_an_instrument_listed_twice(spark):
+    twice = SAMPLE | {"sections": [dict(SAMPLE["sections"][1], items=SAMPLE["sections"][1]["items"][:2] + [dict(SAMPLE["sections"][1]["items"][0], face_rate=1.0)])]}
+    s = spark.createDataFrame([("one", json.dumps(twice))], "statement_id string, j string")
+    s = s.select("statement_id", statement.parse(s.j).alias("s")).select("statement_id", "s.*")
+    r = Analysis(s).kpis().first()
+    assert {k: round(v, 4) for k, v in r.spreads.items()} == {"CDTBANCO01": 10.6688, "CDTBANCO02": 1.51}

@@ -62,3 +62,30 @@ def test_sql_functions(spark):
     assert len(register.register(spark)) == len(register.FUNCTIONS)
     r = spark.sql("select norm_es('ÁÑo'), format_cop_money(-1234.5D), parse_colombian_number('$ 1.234,50'), to_iso_date('5/3/2026'), hhi_category(2000D), maturity_bucket(365), real_return(0.1D, 0D), sharpe_ratio(1D, 0D, 0D)").first()
     assert tuple(r)[:6] == ("ano", "-$ 1.234,50", 1234.5, "2026-03-05", "moderado", "365d-3a") and r[6] == pytest.approx(0.1) and r[7] == 0
+
+
+def test_sql_functions_agree_with_the_column_functions(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions import numbers, text
+
+    register.register(spark)
+    d = spark.createDataFrame([(s,) for s in ("$1.234.567,89", "$ 12 345,67", "1.000.000", "-5,5%", "abc", "", None, "7", "3.5.2020 1,25")], "s string")
+    d.createOrReplaceTempView("amounts")
+    both = spark.sql("SELECT s, parse_cop_number(s) AS a, parse_cop_percent(s) AS p FROM amounts").withColumn("b", numbers.parse_cop_number(F.col("s")))
+    assert all(r.a == r.p == r.b for r in both.collect())
+    t = spark.createDataFrame([(s,) for s in ("RESUMFN DEL PORTAFOLIO", "RESUMEN", "RESU", "otra cosa", "", None, "XRSUMENX")], "t string")
+    t.createOrReplaceTempView("titles")
+    for distance in (0, 1, 2):
+        got = spark.sql(f"SELECT t, fuzzy_contains(t, 'RESUMEN', {distance}) AS a FROM titles").withColumn("b", text.fuzzy_contains(F.col("t"), "RESUMEN", distance))
+        assert all(r.a == r.b for r in got.collect()), distance
+
+
+def test_fuzzy_search_looks_at_long_lines_too(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions import text
+
+    words = " ".join(f"palabra{k}" for k in range(60))
+    t = spark.createDataFrame([(f"{words} PORTAFOLO {words}",), (words,), (f"{words} POTAFLIO",)], "t string")
+    assert [r[0] for r in t.select(text.fuzzy_contains(F.col("t"), "PORTAFOLIO", 2)).collect()] == [True, False, True]
