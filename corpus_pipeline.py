@@ -1,6 +1,11 @@
 """A corpus pipeline over `documents`: toxicity filter, near-dedup, benchmark decontamination, source mixing, token output.
 
 Every stage but the last returns the columns of `documents`; each result is written as Parquet to the shared folder and reread.
+
+Defined results: rows are told apart by numbers of their own, so null and shared ids and repeated rows are rows like any other. A null or empty text is scored by the model's bias
+alone, is near to nothing, holds no benchmark item, and has no words, so the mix does not take it. Rows with a null id are near-duplicates of nothing, since no id says which of them stays.
+Texts are read whole, however long. Columns beyond those of `documents` are dropped by the first stage, whatever their names. Without labels no document goes as toxic, without benchmark
+items none as contaminated; empty documents give an empty result.
 """
 
 from __future__ import annotations
