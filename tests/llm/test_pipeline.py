@@ -60,6 +60,9 @@ def test_stages(spark, sf_dir):
             assert after == [i for i, item in brute.contained(before, items) if item is None]
         elif name == "mixing":
             assert max(after.count(i) for i in set(after)) <= 3 and set(after) <= {i for i, _ in before}
+            words = lambda rows: sum(len((t or "").split()) for _, t in rows)
+            mixed = words((r.doc_id, r.text) for r in docs.collect())
+            assert words(before) - 80 <= mixed <= words(before)  # the mix is cut at the budget, one document short of it at most
             seen = [(r.doc_id, r.text) for r in docs.collect()]
     from tokenizers import Tokenizer
 
@@ -95,5 +98,38 @@ def test_near_dedup_judges_rows_not_ids(spark):
     assert got == Counter([(1, a), (5, b), (7, c), (7, d), (None, a), (None, None)])
 
 
+def odd_tables(spark, at, docs, labels, items):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, score double, `_row` int, times int, uid long").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string, doc_id long").write.parquet(f"{at}/benchmark.parquet")
+
+
+def test_whole_pipeline_of_null_and_shared_ids_empty_and_long_texts_and_clashing_columns(spark, tmp_path):
+    r = random.Random(5)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    a, long = text(60), text(30_000)
+    texts = [(1, a), (1, a), (1, text(50)), (None, text(40)), (None, a + " end"), (None, None), (2, ""), (2, long), (3, a + " end"), (4, text(40) + " q1 q2 q3 q4 q5 q6 q7 " + text(40))]
+    odd_tables(spark, tmp_path, [(i, t, None, s, None, 0.5, 1, 2, 3) for k, (i, t) in enumerate(texts) for s in ["x" if k % 2 else None]], [(1, None, 0, "c"), (None, 1, 1, None), (9, 0, 1, None)], [(1, "q1 q2 q3 q4 q5 q6 q7", 5), (None, a, 1), (2, None, None)])
+    docs = P.C.table(spark, str(tmp_path), "documents")
+    for name, stage in P.STAGES[:-1]:
+        docs = P.C.stash(stage(spark, docs, str(tmp_path)), "test")
+        assert docs.columns == P.COLUMNS
+        left = Counter((x.doc_id, (x.text or "")[:20]) for x in docs.collect())
+        short = lambda i, t: (i, (t or "")[:20])
+        if name == "toxicity":
+            assert left == Counter(short(i, t) for i, t in texts)
+        elif name == "near_dedup":
+            assert left == Counter(short(i, t) for k, (i, t) in enumerate(texts) if k not in (1, 8))
+        elif name == "decontamination":
+            assert left == Counter(short(i, t) for k, (i, t) in enumerate(texts) if k not in (1, 8, 9))
+    assert P.write_tokens(spark, docs, str(tmp_path)).count() == sum(left.values())
+    assert P.run(spark, str(tmp_path)).count() == sum(left.values())
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    odd_tables(spark, tmp_path, [], [], [])
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)] and set(queries.ORACLES) <= set(queries.QUERIES)
