@@ -71,12 +71,17 @@ def format_cop_percent(v: Column) -> Column:
     return F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), format_cop_number(v), F.lit(" %"))
 
 
+def fixed(v: Column, digits: int) -> Column:
+    """With so many decimals, ties to even. What differs in the last bits only, as sums in another order do, is written alike."""
+    return F.format_string(f"%.{digits}f", F.rint(F.round(v, 6) * 10**digits) / 10**digits)
+
+
 def format_si(v: Column) -> Column:
     """Billions and millions with two decimals, thousands with one, else two."""
     a = F.abs(v)
     return (
-        F.when(a >= 1e9, F.concat(F.format_string("%.2f", v / 1e9), F.lit("B"))).when(a >= 1e6, F.concat(F.format_string("%.2f", v / 1e6), F.lit("M")))
-        .when(a >= 1e3, F.concat(F.format_string("%.1f", v / 1e3), F.lit("K"))).otherwise(F.format_string("%.2f", v))
+        F.when(a >= 1e9, F.concat(fixed(v / 1e9, 2), F.lit("B"))).when(a >= 1e6, F.concat(fixed(v / 1e6, 2), F.lit("M")))
+        .when(a >= 1e3, F.concat(fixed(v / 1e3, 1), F.lit("K"))).otherwise(fixed(v, 2))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import FinanceConfig
-from ..functions.numbers import format_si
+from ..functions.numbers import fixed, format_si
 from . import portfolio
 
 #: Days between the points of a curve whose instruments all mature on one day.
@@ -33,7 +33,7 @@ CARDS = [
 
 
 def percent(v: Column, digits: int) -> Column:
-    return F.concat(F.format_string(f"%.{digits}f", v), F.lit("%"))
+    return F.concat(fixed(v, digits), F.lit("%"))
 
 
 def yield_curve(instruments: DataFrame, by: list[str], name: str, order: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -57,7 +57,7 @@ def ladder_notes(instruments: DataFrame, by: list[str]) -> DataFrame:
     m = portfolio.maturities(instruments, by)
     years = F.col("mean_days") / 365
     note = F.concat(
-        F.lit("Vencimiento promedio ponderado: "), F.format_string("%.1f", years), F.lit(" anos"),
+        F.lit("Vencimiento promedio ponderado: "), fixed(years, 1), F.lit(" anos"),
         F.when(F.col("n_matured") > 0, F.concat(F.lit("  ("), F.col("n_matured").cast("string"), F.lit(MATURED[1] + ")"))).otherwise(F.lit("")),
         F.when(years > LONG_YEARS, F.lit("  " + CHECK_DATES)).otherwise(F.lit("")),
     )
@@ -89,7 +89,7 @@ def pareto(instruments: DataFrame, funds: DataFrame, cash: DataFrame, by: list[s
 
 def concentration_notes(k: DataFrame, by: list[str]) -> DataFrame:
     """(by, subtitle, verdict, status) from rows with hhi, category and the top exposures."""
-    subtitle = F.concat(F.lit("HHI = "), F.format_string("%.0f", "hhi"), F.lit(" ("), "category", F.lit(")  |  Top-1: "), percent(F.col("top1"), 1), F.lit("  |  Top-3: "), percent(F.col("top3"), 1), F.lit("  |  Top-5: "), percent(F.col("top5"), 1))
+    subtitle = F.concat(F.lit("HHI = "), fixed(F.col("hhi"), 0), F.lit(" ("), "category", F.lit(")  |  Top-1: "), percent(F.col("top1"), 1), F.lit("  |  Top-3: "), percent(F.col("top3"), 1), F.lit("  |  Top-5: "), percent(F.col("top5"), 1))
     verdict = F.when(F.col("category") == "bajo", VERDICTS["bajo"]).when(F.col("category") == "moderado", VERDICTS["moderado"]).otherwise(VERDICTS["alto"])
     return k.where("category is not null").select(*by, subtitle.alias("subtitle"), verdict.alias("verdict"), portfolio.status(F.lit("hhi"), F.col("hhi"), F.col("category")).alias("status"))
 
@@ -109,15 +109,15 @@ def parameters(config: FinanceConfig) -> Column:
 def cards(k: DataFrame, by: list[str]) -> DataFrame:
     """(by, position, label, kpi, value, shown, sub, status): the eight cards of the dashboard, from rows with their figures."""
     x = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    two = lambda c: F.format_string("%.2f", x(c))
+    two = lambda c: fixed(x(c), 2)
     shown = {
         "total_portafolio": F.concat(F.lit("$"), format_si(x("total_portafolio"))), "weighted_yield": percent(x("weighted_yield"), 2), "modified": F.concat(two("modified"), F.lit(" anos")), "hhi": format_si(x("hhi")),
         "top3": percent(x("top3"), 1), "sharpe": two("sharpe"), "max_drawdown": percent(x("max_drawdown"), 2), "real_return_pct": percent(x("real_return_pct"), 2),
     }
-    fixed = {"total_portafolio": "accent", "weighted_yield": "positive", "modified": "warning", "top3": "neutral"}
+    always = {"total_portafolio": "accent", "weighted_yield": "positive", "modified": "warning", "top3": "neutral"}
     category = F.coalesce("category", F.lit(""))
     kind = {"real_return_pct": "real_return"}
-    colour = lambda c: F.lit(fixed[c]) if c in fixed else portfolio.status(F.lit(kind.get(c, c)), x(c), category)
+    colour = lambda c: F.lit(always[c]) if c in always else portfolio.status(F.lit(kind.get(c, c)), x(c), category)
     each = [
         F.struct(F.lit(n).alias("position"), F.lit(label).alias("label"), F.lit(c).alias("kpi"), x(c).alias("value"), shown[c].alias("shown"), (category if c == "hhi" else F.lit(sub)).alias("sub"), colour(c).alias("status"))
         for n, (label, c, sub) in enumerate(CARDS, 1)

@@ -309,9 +309,9 @@ def fund_fields(spark, d):
     return legacy.fund_fields(prepared(spark, d), "holder_id")
 
 
-@query("SELECT holder_id, instrument_id AS name, issue_date, maturity_date, issue_date AS purchase_date, CASE WHEN market_value >= 100000 THEN market_value ELSE 0.0::DOUBLE END AS market_value FROM instruments", dates=("issue_date", "maturity_date", "purchase_date"))
+@query("SELECT holder_id, instrument_id AS name, issue_date, maturity_date, issue_date AS purchase_date, CASE WHEN market_value >= 100000 OR market_value >= 100 AND market_value < 1000 THEN market_value ELSE 0.0::DOUBLE END AS market_value FROM instruments", dates=("issue_date", "maturity_date", "purchase_date"))
 def instrument_lines(spark, d):
-    """Rows found in plain lines below the section's title, by the names of papers. By this rule amounts below 100,000 count as rates, so only larger market values are found."""
+    """Rows found in plain lines below the section's title, by the names of papers. By this rule an amount from 1,000 to 100,000 reads as a rate, its point taken for a decimal one, and so does one below 100: other market values are found."""
     return legacy.line_rows(prepared(spark, d), "holder_id").select("holder_id", "name", "issue_date", "maturity_date", "purchase_date", "market_value")
 
 

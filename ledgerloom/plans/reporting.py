@@ -43,6 +43,8 @@ def whole_statements(spark, d) -> DataFrame:
     return c.select("holder_id", text.alias("json"))
 
 
+EVEN = lambda x, n: f"printf('%.{n}f', round_even(round({x}, 6) * {10**n}, 0) / {10**n})"
+R9 = lambda x: f"round({x}, 9) + 0.0::DOUBLE"  # noqa: E731  means of cents end in the seventh decimal
 _MADE: dict[tuple, DataFrame] = {}
 
 
@@ -65,19 +67,20 @@ FIGURES = f"{HOLDINGS}, h AS ({HHI}), t AS ({TOPS}), i AS (SELECT holder_id, {YI
 
 
 @query(f"""{FIGURES} SELECT i.holder_id::VARCHAR AS statement_id, {R('wy')} AS weighted_yield, {R('fy')} AS face_yield, {R('wy - fy')} AS spread, {R('md / 365')} AS macaulay, {R('md / 365 / (1 + wy / 100)')} AS modified, {R('md')} AS mean_days, n_matured, {R('hhi')} AS hhi,
-CASE WHEN hhi < 1500 THEN 'bajo' WHEN hhi < 2500 THEN 'moderado' ELSE 'alto' END AS category, {R('top1')} AS top1, {R('top3')} AS top3, {R('top5')} AS top5, n_spreads, {R('spread_sum')} AS spread_sum, {R('coalesce(ar, 0)')} AS annual_return,
-{R('coalesce((ar - 9.25) / nullif(sigma, 0), 0)')} AS sharpe, {R('100 * ((1 + coalesce(ar, 0) / 100) / 1.048::DOUBLE - 1)')} AS real_return_pct
+CASE WHEN hhi < 1500 THEN 'bajo' WHEN hhi < 2500 THEN 'moderado' ELSE 'alto' END AS category, {R('top1')} AS top1, {R('top3')} AS top3, {R('top5')} AS top5, n_spreads, {R('spread_sum')} AS spread_sum, {R9('coalesce(ar, 0)')} AS annual_return,
+{R9('coalesce((ar - 9.25) / nullif(sigma, 0), 0)')} AS sharpe, {R9('100 * ((1 + coalesce(ar, 0) / 100) / 1.048::DOUBLE - 1)')} AS real_return_pct
 FROM i JOIN h USING (holder_id) JOIN t USING (holder_id) JOIN sp USING (holder_id) LEFT JOIN fs USING (holder_id)""")
 def analysis_kpis(spark, d):
     """All figures of whole statements, which may list an instrument more than once."""
     k = analysed(spark, d).kpis().where("n_matured is not null")
     k = k.withColumns({"n_spreads": F.size("spreads").cast("long"), "spread_sum": F.aggregate(F.map_values("spreads"), F.lit(0.0), lambda a, x: a + x)})
-    names = ["weighted_yield", "face_yield", "spread", "macaulay", "modified", "mean_days", "hhi", "top1", "top3", "top5", "spread_sum", "annual_return", "sharpe", "real_return_pct"]
-    return rounded(k.select("statement_id", "n_matured", "category", "n_spreads", *names), *names)
+    names = ["weighted_yield", "face_yield", "spread", "macaulay", "modified", "mean_days", "hhi", "top1", "top3", "top5", "spread_sum"]
+    returns = ["annual_return", "sharpe", "real_return_pct"]
+    return rounded(rounded(k.select("statement_id", "n_matured", "category", "n_spreads", *names, *returns), *names), *returns, digits=9)
 
 
 ASSETS = "a0 AS (SELECT c_custkey AS holder_id, mv, f.new_balance, c_acctbal, coalesce(mv, 0) + coalesce(f.new_balance, 0) + c_acctbal AS total FROM customer LEFT JOIN (SELECT holder_id, sum(market_value) AS mv FROM instruments GROUP BY 1) m ON m.holder_id = c_custkey LEFT JOIN funds f ON f.holder_id = c_custkey), pc AS (SELECT holder_id, u.asset, 100 * u.v / total AS pct FROM (SELECT holder_id, total, unnest([{'asset': 'FIC', 'v': new_balance}, {'asset': 'Renta Fija', 'v': mv}, {'asset': 'Saldos en Efectivo', 'v': c_acctbal}]) AS u FROM a0 WHERE total > 0) WHERE u.v IS NOT NULL)"
-CENTS = lambda x: f"printf('%.2f', round_even(({x}) * 100, 0) / 100)"
+CENTS = lambda x: EVEN(x, 2)
 ROW = lambda c: " || ',' || ".join(CENTS(f"coalesce({f}({c}), 0)") for f in ("avg", "stddev_samp", "median", "min", "max")) + f" || ',' || count({c})"
 OVER = lambda c: f"{ROW(f'CASE WHEN {c} > 0 THEN {c} END')}"
 
@@ -154,7 +157,7 @@ def yield_curve_notes(spark, d):
     return charts.matured(V.instruments(spark, d).withColumn("as_of", F.lit(V.AS_OF)), H)
 
 
-@query(f"""SELECT holder_id, {R('y')} AS mean_years, n_matured, y > 30 AS warns, 'Vencimiento promedio ponderado: ' || printf('%.1f', y) || ' anos' || CASE WHEN n_matured > 0 THEN '  (' || n_matured || ' CDT vencido(s) excluido(s))' ELSE '' END || CASE WHEN y > 30 THEN '  [AVISO: verificar fechas de vencimiento en los datos]' ELSE '' END AS note
+@query(f"""SELECT holder_id, {R('y')} AS mean_years, n_matured, y > 30 AS warns, 'Vencimiento promedio ponderado: ' || {EVEN('y', 1)} || ' anos' || CASE WHEN n_matured > 0 THEN '  (' || n_matured || ' CDT vencido(s) excluido(s))' ELSE '' END || CASE WHEN y > 30 THEN '  [AVISO: verificar fechas de vencimiento en los datos]' ELSE '' END AS note
 FROM (SELECT holder_id, {LIVE} / 365 AS y, count(*) FILTER (WHERE days <= 0) AS n_matured FROM instruments GROUP BY 1)""")
 def ladder_notes(spark, d):
     return rounded(charts.ladder_notes(V.instruments(spark, d), H), "mean_years")
@@ -173,7 +176,7 @@ def pareto_chart(spark, d):
 
 
 @query(f"""{HOLDINGS}, h AS ({HHI}), t AS ({TOPS}), k AS (SELECT *, CASE WHEN hhi < 1500 THEN 'bajo' WHEN hhi < 2500 THEN 'moderado' ELSE 'alto' END AS category FROM h JOIN t USING (holder_id))
-SELECT holder_id, 'HHI = ' || printf('%.0f', round(hhi, 6)) || ' (' || category || ')  |  Top-1: ' || printf('%.1f', round(top1, 6)) || '%  |  Top-3: ' || printf('%.1f', round(top3, 6)) || '%  |  Top-5: ' || printf('%.1f', round(top5, 6)) || '%' AS subtitle,
+SELECT holder_id, 'HHI = ' || {EVEN('hhi', 0)} || ' (' || category || ')  |  Top-1: ' || {EVEN('top1', 1)} || '%  |  Top-3: ' || {EVEN('top3', 1)} || '%  |  Top-5: ' || {EVEN('top5', 1)} || '%' AS subtitle,
 CASE category WHEN 'bajo' THEN 'Diversificacion saludable' WHEN 'moderado' THEN 'Concentracion moderada - vigilar' ELSE 'Alta concentracion - riesgo' END AS verdict, CASE category WHEN 'bajo' THEN 'positive' WHEN 'moderado' THEN 'warning' ELSE 'negative' END AS status FROM k""")
 def concentration_notes(spark, d):
     every = portfolio.holdings(V.instruments(spark, d), V.funds(spark, d), V.cash(spark, d))
@@ -188,15 +191,15 @@ def boxplot_values(spark, d):
     return longs(rounded(charts.few_values(soon, H, "valuation_rate", "instrument_id"), "value"), "position")
 
 
-SI = lambda v: f"CASE WHEN abs({v}) >= 1e9 THEN printf('%.2f', {v} / 1e9) || 'B' WHEN abs({v}) >= 1e6 THEN printf('%.2f', {v} / 1e6) || 'M' WHEN abs({v}) >= 1e3 THEN printf('%.1f', {v} / 1e3) || 'K' ELSE printf('%.2f', {v}) END"
+SI = lambda v: f"CASE WHEN abs({v}) >= 1e9 THEN {EVEN(f'{v} / 1e9', 2)} || 'B' WHEN abs({v}) >= 1e6 THEN {EVEN(f'{v} / 1e6', 2)} || 'M' WHEN abs({v}) >= 1e3 THEN {EVEN(f'{v} / 1e3', 1)} || 'K' ELSE {EVEN(v, 2)} END"
 
 
 @query(f"""{FIGURES}, {ASSETS}, k AS (SELECT a0.holder_id, round(a0.total, 2) AS total, round(coalesce(wy, 0), 6) AS wy, round(coalesce(md / 365 / (1 + wy / 100), 0), 6) AS mo, round(hhi, 6) AS hhi, CASE WHEN hhi < 1500 THEN 'bajo' WHEN hhi < 2500 THEN 'moderado' ELSE 'alto' END AS cat, round(top3, 6) AS top3,
 round(coalesce((ar - 9.25) / nullif(sigma, 0), 0), 6) AS sh, round(100 * ((1 + coalesce(ar, 0) / 100) / 1.048::DOUBLE - 1), 6) AS re FROM a0 JOIN h USING (holder_id) JOIN t USING (holder_id) LEFT JOIN i USING (holder_id) LEFT JOIN fs USING (holder_id)),
-r AS (SELECT holder_id, unnest([{{'position': 1, 'label': 'TOTAL PORTAFOLIO', 'value': total, 'shown': '$' || {SI('total')}, 'sub': 'valor de mercado', 'status': 'accent'}}, {{'position': 2, 'label': 'YIELD PONDERADO', 'value': wy, 'shown': printf('%.2f', wy) || '%', 'sub': 'TIR del portafolio', 'status': 'positive'}},
-{{'position': 3, 'label': 'DURACION MODIFICADA', 'value': mo, 'shown': printf('%.2f', mo) || ' anos', 'sub': 'sensibilidad a tasas', 'status': 'warning'}}, {{'position': 4, 'label': 'HHI CONCENTRACION', 'value': hhi, 'shown': {SI('hhi')}, 'sub': cat, 'status': CASE cat WHEN 'bajo' THEN 'positive' WHEN 'moderado' THEN 'warning' ELSE 'negative' END}},
-{{'position': 5, 'label': 'TOP-3 EXPOSURE', 'value': top3, 'shown': printf('%.1f', top3) || '%', 'sub': 'concentrado en 3 holdings', 'status': 'neutral'}}, {{'position': 6, 'label': 'SHARPE FIC', 'value': sh, 'shown': printf('%.2f', sh), 'sub': 'rendimiento ajust. riesgo', 'status': CASE WHEN sh > 1.5 THEN 'positive' WHEN sh >= 0 THEN 'warning' ELSE 'negative' END}},
-{{'position': 7, 'label': 'MAX DRAWDOWN', 'value': 0.0::DOUBLE, 'shown': '0.00%', 'sub': 'peor caida historica', 'status': 'warning'}}, {{'position': 8, 'label': 'RETORNO REAL', 'value': re, 'shown': printf('%.2f', re) || '%', 'sub': 'ajustado por inflacion', 'status': CASE WHEN re > 0 THEN 'positive' ELSE 'negative' END}}]) AS c FROM k)
+r AS (SELECT holder_id, unnest([{{'position': 1, 'label': 'TOTAL PORTAFOLIO', 'value': total, 'shown': '$' || {SI('total')}, 'sub': 'valor de mercado', 'status': 'accent'}}, {{'position': 2, 'label': 'YIELD PONDERADO', 'value': wy, 'shown': {EVEN('wy', 2)} || '%', 'sub': 'TIR del portafolio', 'status': 'positive'}},
+{{'position': 3, 'label': 'DURACION MODIFICADA', 'value': mo, 'shown': {EVEN('mo', 2)} || ' anos', 'sub': 'sensibilidad a tasas', 'status': 'warning'}}, {{'position': 4, 'label': 'HHI CONCENTRACION', 'value': hhi, 'shown': {SI('hhi')}, 'sub': cat, 'status': CASE cat WHEN 'bajo' THEN 'positive' WHEN 'moderado' THEN 'warning' ELSE 'negative' END}},
+{{'position': 5, 'label': 'TOP-3 EXPOSURE', 'value': top3, 'shown': {EVEN('top3', 1)} || '%', 'sub': 'concentrado en 3 holdings', 'status': 'neutral'}}, {{'position': 6, 'label': 'SHARPE FIC', 'value': sh, 'shown': {EVEN('sh', 2)}, 'sub': 'rendimiento ajust. riesgo', 'status': CASE WHEN sh > 1.5 THEN 'positive' WHEN sh >= 0 THEN 'warning' ELSE 'negative' END}},
+{{'position': 7, 'label': 'MAX DRAWDOWN', 'value': 0.0::DOUBLE, 'shown': '0.00%', 'sub': 'peor caida historica', 'status': 'warning'}}, {{'position': 8, 'label': 'RETORNO REAL', 'value': re, 'shown': {EVEN('re', 2)} || '%', 'sub': 'ajustado por inflacion', 'status': CASE WHEN re > 0 THEN 'positive' ELSE 'negative' END}}]) AS c FROM k)
 SELECT holder_id::VARCHAR AS statement_id, c.position::BIGINT AS position, c.label AS label, c.value + 0.0::DOUBLE AS value, c.shown AS shown, c.sub AS sub, c.status AS status FROM r""")
 def dashboard_cards(spark, d):
     """The eight cards of the dashboard of each statement."""

@@ -10,7 +10,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import format_cop_money, format_cop_percent
+from ..functions.numbers import fixed, format_cop_money, format_cop_percent
 from ..functions.text import escape_csv
 
 if TYPE_CHECKING:
@@ -31,8 +31,7 @@ FIGURES = {
 
 
 def two(x: Column | str) -> Column:
-    """With two decimals, ties to even."""
-    return F.format_string("%.2f", F.rint((F.col(x) if isinstance(x, str) else x) * 100) / 100)
+    return fixed(F.col(x) if isinstance(x, str) else x, 2)
 
 
 def ordered(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
