@@ -39,13 +39,19 @@ def interval95(x: str, sign: int) -> Column:
     return F.when(n >= 2, F.avg(x) + sign * 1.96 * F.stddev_samp(x) / F.sqrt(n)).otherwise(0.0)
 
 
+#: How far, of their size, figures of doubles may be apart by the order of their sums.
+LAST_BITS = 1e-12
+
+
 def outliers(df: DataFrame, by: list[str], x: str, sigma: float = 2.0) -> DataFrame:
     """Rows farther than sigma deviations from their group's mean; groups need 3 rows and some spread.
 
     The groups' figures come from a pre-aggregated pass and are joined back, so that a hot group's rows need not meet in one task.
+    A row at the limit itself is no outlier: mean and deviation differ in their last bits with the order of the rows, which must not decide.
     """
     g = df.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std_dev"), F.count(x).alias("n")).where("n >= 3 and std_dev >= 1e-9")
-    return df.join(g, by).where(F.abs(F.col(x) - F.col("mean")) > sigma * F.col("std_dev"))
+    off = F.abs(F.col(x) - F.col("mean"))
+    return df.join(g, by).where(off - sigma * F.col("std_dev") > LAST_BITS * (off + F.abs("mean")))
 
 
 def boxplot(df: DataFrame, by: list[str], x: str) -> DataFrame:
